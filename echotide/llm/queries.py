@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, sentencepiece_bpe, sharding, simhash
+from . import decontamination, fingerprint, language, quality, sentencepiece_bpe, sharding, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,31 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def remainder(column: str, modulus: int) -> Column:
+    """crc32 of the value as text, modulo a number."""
+    return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(modulus))
+
+
+def learn_quality(spark: SparkSession, sf_dir: str) -> quality.Network:
+    """The network fitted to the labelled rows that are not held out."""
+    labels = table(spark, sf_dir, "labels").where(remainder("doc_id", 5) != 0)
+    return quality.train(table(spark, sf_dir, "documents"), labels)
+
+
+ACCEPT = 0.3
+
+
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality.score(docs, learn_quality(spark, sf_dir))
+    return scored.select(
+        "doc_id",
+        F.coalesce(remainder("doc_id", 5) == 0, F.lit(False)).alias("held_out"),
+        F.col("quality_score").alias("score"),
+        (F.col("quality_score") >= ACCEPT).cast("int").alias("predicted"),
+    )
+
+
 def op3_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents")).drop("row_number")
 
@@ -41,13 +66,32 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_multiset_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.compare_edited(table(spark, sf_dir, "documents"))
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    contents = language.train(docs, learn=remainder("doc_id", 4) != 2)
+    return language.identify(docs, contents).select(
+        "doc_id",
+        F.coalesce(remainder("doc_id", 4) == 2, F.lit(False)).alias("held_out"),
+        "lang_pred",
+        "score",
+        "rejected",
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_decontamination,
+        op2_quality_classifier,
         op3_feistel_sharding,
         op6_sentencepiece,
         op7_simhash,
+        op9_multiset_fingerprint,
+        op10_language_id,
     )
 }
 
