@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, fingerprint, language, quality, sentencepiece_bpe, sharding, simhash
+from . import decontamination, fingerprint, language, quality, sentencepiece_bpe, sharding, simhash, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,6 +66,12 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive(table(spark, sf_dir, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
 def op9_multiset_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.compare_edited(table(spark, sf_dir, "documents"))
 
@@ -90,9 +96,25 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op3_feistel_sharding,
         op6_sentencepiece,
         op7_simhash,
+        op8_warc,
         op9_multiset_fingerprint,
         op10_language_id,
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+OP8_SQL = """
+WITH p AS (
+    SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages
+), r AS (
+    SELECT page_id, octet_length(payload)::BIGINT AS payload_bytes, sha1(payload) AS payload_digest FROM p
+), w AS (
+    SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS largest
+    FROM r
+)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN page_id = largest THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> largest THEN largest END AS refers_to
+FROM w
+"""
+
+ORACLE_SQL: dict[str, str] = {"op8_warc": OP8_SQL}
