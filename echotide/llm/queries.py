@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, fingerprint, html_extraction, language, quality, sentencepiece_bpe, sharding, simhash, warc
+from . import (
+    decontamination,
+    fingerprint,
+    html_extraction,
+    language,
+    quality,
+    sentencepiece_bpe,
+    sharding,
+    simhash,
+    suffix_dedup,
+    warc,
+)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,6 +70,10 @@ def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extraction.extract(table(spark, sf_dir, "pages"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.summary(table(spark, sf_dir, "documents"))
+
+
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -99,6 +114,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op2_quality_classifier,
         op3_feistel_sharding,
         op4_html_extraction,
+        op5_suffix_dedup,
         op6_sentencepiece,
         op7_simhash,
         op8_warc,
