@@ -39,6 +39,6 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Hold Arrow batches to a few hundred rows, so that long texts fit a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def small_batches(spark: SparkSession, size: str = "4m") -> None:
+    """Hold Arrow batches to a few megabytes, so that long texts fit a Python worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
