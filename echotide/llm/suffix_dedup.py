@@ -292,6 +292,7 @@ def _decider(length: int, block: int):
         rows = [(cut, *r) for cut, members in groups for r in members]
         if not rows:
             return
+        rows.sort(key=lambda r: r[1:4])  # parts of one group may meet here
         text, start, again = repeated_strings([r[4] for r in rows], length)
         docs, ties, begins = (np.array([r[i] for r in rows], np.int64) for i in (1, 2, 3))
         a = begins[text] + start
