@@ -642,8 +642,7 @@ def climatology(spark, d):
 @query(
     "WITH {day}, " + TREND + """, r AS (SELECT *, price - trend AS rest, month(day) AS mo FROM tr), mm AS (SELECT priority, mo, avg(rest) AS mn FROM r GROUP BY ALL),
     ce AS (SELECT priority, avg(mn) AS c FROM mm GROUP BY 1)
-    SELECT priority, day::VARCHAR AS day, round(trend, 4) AS trend, round(mn - c, 4) AS seasonal, round(rest - (mn - c), 4) AS residual FROM r JOIN mm USING (priority, mo) JOIN ce USING (priority)""",
-    digits=4,
+    SELECT priority, day::VARCHAR AS day, round(trend, 6) AS trend, round(mn - c, 6) AS seasonal, round(rest - (mn - c), 6) AS residual FROM r JOIN mm USING (priority, mo) JOIN ce USING (priority)"""
 )
 def decompose(spark, d):
     out = corpus.decompose(tables.dated(spark, d), ["priority"], "day", "price")
