@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK = 65536
+BLOCK = 8192
 
 
 def _on(keys: list[str], left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
