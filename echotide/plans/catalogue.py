@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars
 from ..functions.scalars import power
-from ..operators import circular, corpus, ecology, events, intervals, levels, network, states
+from ..operators import bearings, circular, corpus, cycles, ecology, events, indices, intervals, levels, network, states
 from . import series, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -449,7 +449,7 @@ def interval_semi_join(spark, d):
 
 
 SHIP = """lst AS (SELECT l_orderkey, max(l_shipdate) AS last FROM lineitem GROUP BY 1), sp AS (
-    SELECT o_orderkey, o_orderpriority AS priority, epoch_us(o_orderdate) / 1e6 AS a, epoch_us(last) / 1e6 AS b
+    SELECT o_orderkey, o_custkey, o_orderpriority AS priority, epoch_us(o_orderdate) / 1e6 AS a, epoch_us(last) / 1e6 AS b
     FROM orders JOIN lst ON o_orderkey = l_orderkey WHERE last > o_orderdate)"""
 
 
@@ -777,6 +777,119 @@ def running_total(spark, d):
     return series.running_sum(tables.numbered(spark, d), NODE, F.col("p"), "total", block=500).select("node", "i", "total")
 
 
+@query(
+    """WITH {s}, x AS (SELECT node, -(((180 - ((t % 360) - 180 + level_db)) % 360 + 360) % 360 - 180) AS e FROM s),
+    g AS (SELECT node, count(*) AS n_frames, quantile_cont(abs(e), 0.5) AS md, quantile_cont(abs(e), 0.75) - quantile_cont(abs(e), 0.25) AS iq,
+    avg(cos(radians(e))) AS c, avg(sin(radians(e))) AS z, avg((abs(e) <= 20)::INT) AS w FROM x GROUP BY node)
+    SELECT node, n_frames, round(md, 4) AS median_abs_deg, round(iq, 4) AS iqr_deg, round(degrees(atan2(z, c)), 4) AS bias_deg,
+    round(degrees(sqrt(-2 * ln(greatest(sqrt(c * c + z * z), 1e-20)))), 4) AS circ_sd_deg, round(w, 4) AS within FROM g""",
+    digits=4,
+)
+def bearing_errors(spark, d):
+    error = scalars.wrap_degrees(F.pmod(F.col("t"), F.lit(360.0)) - 180 + F.col("level_db"))
+    return bearings.error_stats(tables.levels(spark, d).withColumn("e", error), NODE, "e")
+
+
+@query(
+    """WITH {s}, x AS (SELECT node, radians(t % 360) AS b, radians(t % 360) + radians((t * 7) % 360) AS w, p AS k FROM s),
+    g AS (SELECT node, sqrt(pow(sum(k * cos(b)), 2) + pow(sum(k * sin(b)), 2)) / (sum(k) + 1e-20) AS r_rig,
+    sqrt(pow(sum(k * cos(w)), 2) + pow(sum(k * sin(w)), 2)) / (sum(k) + 1e-20) AS r_world, sqrt((sum(k * k) + 1e-20) / pow(sum(k), 2)) AS r_chance, count(*) AS n FROM x GROUP BY node)
+    SELECT node, round(r_rig, 6) AS r_rig, round(r_world, 6) AS r_world, round(r_chance, 6) AS r_chance, n,
+    CASE WHEN greatest(r_rig, r_world) <= r_chance THEN 'neither' WHEN r_rig >= r_world THEN 'rig' ELSE 'world' END AS frame FROM g"""
+)
+def frame_reference(spark, d):
+    t = F.col("t")
+    return bearings.frame_reference(tables.levels(spark, d), NODE, F.pmod(t, F.lit(360.0)), F.pmod(t * 7, F.lit(360.0)), F.col("p"))
+
+
+@query(
+    """WITH {s}, x AS (SELECT node, floor((i - 1) / 6)::BIGINT AS event, (i - 1) % 6 + 1 AS i, (t / 20) % 360 AS az FROM s),
+    st AS (SELECT *, coalesce(-(((180 - (az - lag(az) OVER w)) % 360 + 360) % 360 - 180), az) AS step FROM x WINDOW w AS (PARTITION BY node, event ORDER BY i)),
+    u AS (SELECT *, sum(step) OVER (PARTITION BY node, event ORDER BY i) AS uz FROM st),
+    g AS (SELECT node, event, count(*) AS rows, regr_slope(uz, i::DOUBLE) AS sl, regr_r2(uz, i::DOUBLE) AS r2 FROM u GROUP BY ALL)
+    SELECT node, event, rows, round(sl, 6) AS rate_deg, round(r2, 6) AS r2, round(sl * rows, 6) AS sweep_deg,
+    CASE WHEN sl < 0 THEN 'left-to-right' ELSE 'right-to-left' END AS direction FROM g WHERE rows >= 4 AND abs(sl * rows) >= 25 AND r2 >= 0.7"""
+)
+def pass_by_events(spark, d):
+    rows = tables.numbered(spark, d)
+    at = F.col("i") - 1
+    rows = rows.select(
+        "node", F.floor(at / 6).alias("event"), (F.pmod(at, F.lit(6)) + 1).alias("i"), F.pmod(F.col("t") / 20, F.lit(360.0)).alias("az")
+    )
+    return bearings.pass_bys(rows, ["node", "event"], "az")
+
+
+@query(
+    "WITH " + SHIP + """, z AS (SELECT o_custkey, a, b, row_number() OVER (PARTITION BY o_custkey ORDER BY a, o_orderkey) AS i FROM sp),
+    m AS (SELECT *, max(b) OVER (PARTITION BY o_custkey ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM z)
+    SELECT o_custkey, i, sum(CASE WHEN r IS NULL OR a > r + 43200 THEN 1 ELSE 0 END) OVER (PARTITION BY o_custkey ORDER BY i)::BIGINT AS "row" FROM m"""
+)
+def clock_rows(spark, d):
+    rows = series.number_rows(tables.shipping(spark, d), ["o_custkey"], ["a", "o_orderkey"], "a", 86400.0 * 1000)
+    return bearings.clock_rows(rows, ["o_custkey"], "a", "b", 43200.0).select("o_custkey", "i", F.col("row").cast("bigint").alias("row"))
+
+
+@query(
+    """WITH {s}, e AS (SELECT node, quantile_cont(level_db, 0.05) AS lo, max(level_db) AS hi FROM s GROUP BY node)
+    SELECT s.node, min(i) FILTER (level_db >= lo + 0.2 * (hi - lo)) AS onset, max(i) FILTER (level_db >= lo + 0.2 * (hi - lo)) AS last FROM s JOIN e ON s.node = e.node GROUP BY s.node"""
+)
+def onset_span(spark, d):
+    return cycles.onset_span(tables.numbered(spark, d), NODE, "i", "level_db")
+
+
+OCT = """o AS (SELECT label, vec_id, list_transform(embedding[1:10], lambda x: x::DOUBLE * x::DOUBLE) AS q FROM embeddings)"""
+
+
+def _octaves(spark, d):
+    spec = F.transform(F.slice("embedding", 1, 10), lambda x: x.cast("double") * x.cast("double"))
+    return tables.read(spark, d, "embeddings").select(
+        "label", "vec_id", spec.alias("oct_pow"), (F.col("vec_id") % 10 / 10).alias("diffuse"), (F.col("vec_id") % 7 / 10).alias("flatness")
+    )
+
+
+@query(
+    "WITH " + OCT + """, x AS (SELECT label, (vec_id % 10) / 10.0 AS psi, (vec_id % 7) / 10.0 AS fl, q[1] + q[2] + q[3] AS lo, q[7] + q[8] + q[9] + q[10] AS hi,
+    list_sum(q) AS tot FROM o), g AS (SELECT label, sum(lo) / (sum(tot) + 1e-20) AS lf, sum(hi) / (sum(tot) + 1e-20) AS hf, quantile_cont(psi, 0.5) AS p, quantile_cont(fl, 0.5) AS f FROM x GROUP BY 1)
+    SELECT label, round(lf, 6) AS geo_lowfreq_fraction, round(hf, 6) AS geo_highband_fraction, round(least(lf * p, 1), 6) AS geo_wind_index,
+    round(least(hf * f, 1), 6) AS geo_rain_index, round(greatest(lf * p, hf * f), 6) AS geophony_index FROM g"""
+)
+def geophony(spark, d):
+    return indices.weather(_octaves(spark, d), ["label"])
+
+
+@query(
+    "WITH " + OCT + """ SELECT label, round(sum(q[1] + q[2] + q[3] + q[4]) / (sum(list_sum(q)) + 1e-20), 6) AS mech_lowfreq_fraction,
+    round(10 * log10(avg(q[1] + q[2] + q[3]) + 1e-20), 6) AS mech_rumble_db FROM o GROUP BY label"""
+)
+def mechanical(spark, d):
+    return indices.machines(_octaves(spark, d), ["label"])
+
+
+@query("WITH " + OCT + " SELECT label, round(sum(q[4] + q[5] + q[6] + q[7]) / (sum(list_sum(q)) + 1e-20), 6) AS anthro_voiceband_fraction FROM o GROUP BY label")
+def voice_band(spark, d):
+    return indices.voices(_octaves(spark, d), ["label"])
+
+
+NR_SQL = "[" + ", ".join(f"[{a}, {b}]" for a, b in indices.NR) + "]"
+
+
+@query(
+    "WITH " + OCT + f""", x AS (SELECT label, r.k AS band, quantile_cont(10 * log10(greatest(q[r.k + 1], 1e-12)), 0.5) + 90 AS l FROM o, (SELECT range::INT AS k FROM range(10)) r GROUP BY ALL),
+    y AS (SELECT label, band, round((l - {NR_SQL}[band + 1][1]) / {NR_SQL}[band + 1][2], 9) AS nr FROM x WHERE band <= 8)
+    SELECT label, round(max(nr), 6) AS nr, arg_max(band, (nr, -band)) AS governing_band FROM y GROUP BY label"""
+)
+def noise_rating(spark, d):
+    return indices.noise_rating(indices.band_levels(_octaves(spark, d), ["label"], offset_db=90.0), ["label"], "band", "level_db")
+
+
+@query(
+    """WITH {s} SELECT node, round(avg((level_db >= 6)::INT), 6) AS coverage, round(avg(p) FILTER (level_db >= 6), 6) AS mean_hz,
+    round(stddev_pop(p) FILTER (level_db >= 6), 6) AS sd_hz, round(max(abs(p - 50)) FILTER (level_db >= 6), 6) AS max_dev_hz FROM s GROUP BY node"""
+)
+def mains_summary(spark, d):
+    return indices.mains_summary(tables.levels(spark, d), NODE, "p", "level_db")
+
+
 SQL: dict[str, str] = {
     k: v.replace("{s}", SERIES).replace("{seg}", SEGMENTS).replace("{day}", DAY).replace("{band}", BANDS) for k, v in _SQL.items()
 }

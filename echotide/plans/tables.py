@@ -77,7 +77,7 @@ def shipping(spark: SparkSession, sf_dir: str) -> DataFrame:
     last = read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.max("l_shipdate").alias("last"))
     orders = read(spark, sf_dir, "orders").join(last, F.col("o_orderkey") == F.col("l_orderkey"))
     rows = orders.select(
-        "o_orderkey", F.col("o_orderpriority").alias("priority"), seconds(F.col("o_orderdate")).alias("a"), seconds(F.col("last")).alias("b")
+        "o_orderkey", "o_custkey", F.col("o_orderpriority").alias("priority"), seconds(F.col("o_orderdate")).alias("a"), seconds(F.col("last")).alias("b")
     )
     return rows.where("b > a")
 
