@@ -22,10 +22,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, that with the smallest id; rows without an id stay."""
-    groups = simhash.near_duplicates(docs.select("doc_id", "text"))
-    gone = groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id")
-    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    """One document of each group of near copies, that with the smallest id."""
+    return simhash.keep_first(docs.select(*COLUMNS)).select(*COLUMNS)
 
 
 def repeat_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,9 +34,9 @@ def repeat_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no benchmark item occurs."""
-    found = decontamination.decontaminate(docs.select("doc_id", "text"), queries.table(spark, sf_dir, "benchmark"), min_items=1)
-    leaks = materialise(found.where("contaminated").select("doc_id"), "leaks")
-    return docs.select(*COLUMNS).join(leaks, "doc_id", "left_anti").select(*COLUMNS)
+    items = queries.table(spark, sf_dir, "benchmark")
+    found = decontamination.decontaminate(docs, items, min_items=1, keep=tuple(COLUMNS))
+    return found.where(~F.col("contaminated")).select(*COLUMNS)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -123,8 +123,8 @@ _RUNS = pa.list_(pa.list_(pa.int64()))
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
-def _scanner(block: dict[str, tuple[tuple[str, ...], int]], last: bool):
-    """Scans for one block; the last scan gives the result, others add to what is known."""
+def _scanner(block: dict[str, tuple[tuple[str, ...], int]], last: bool, passed: list[str]):
+    """Scans for one block; the last scan gives the result, others add to what is known.  ``passed`` go along."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = automaton_of(block) if block else None
@@ -146,7 +146,7 @@ def _scanner(block: dict[str, tuple[tuple[str, ...], int]], last: bool):
                 out["text"] = batch.column("text")
                 out["runs"] = pa.array(runs, _RUNS)
                 out["items"] = pa.array(items, pa.list_(pa.string()))
-            yield pa.RecordBatch.from_pydict(out)
+            yield pa.RecordBatch.from_pydict(out | {c: batch.column(c) for c in passed})
 
     return run
 
@@ -162,8 +162,9 @@ def decontaminate(
     window: int = 8,
     min_items: int = 2,
     block_chars: int = 2_000_000,
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Per document: doc_id, n_words, n_hit, items, n_items, spans, contaminated.
+    """Per document: doc_id, n_words, n_hit, items, n_items, spans, contaminated, and the columns ``keep``.
 
     ``items`` are the ids, as strings in order, of the benchmark items that
     occur; ``spans`` the hit stretches as code points of the original text; a
@@ -178,8 +179,11 @@ def decontaminate(
     )
     id_type = docs.select(F.col(id_col).alias("doc_id")).schema["doc_id"].dataType.simpleString()
     head = f"doc_id {id_type}, n_words bigint"
+    passed = {f"kept_{k}": c for k, c in enumerate(keep)}
+    tail = "".join(f", {k} {docs.schema[c].dataType.simpleString()}" for k, c in passed.items())
     rows = docs.select(
         F.col(id_col).alias("doc_id"),
+        *[F.col(f"`{c}`").alias(k) for k, c in passed.items()],
         F.col(text_col).alias("text"),
         F.lit(None).cast("array<array<bigint>>").alias("runs"),
         F.lit(None).cast("array<string>").alias("items"),
@@ -188,12 +192,11 @@ def decontaminate(
     blocks = pattern_blocks(stream, window, block_chars)
     block = next(blocks, {})
     for following in blocks:
-        state = f"{head}, text string, runs array<array<bigint>>, items array<string>"
-        rows = materialise(rows.mapInArrow(_scanner(block, last=False), state), "decontamination")
+        state = f"{head}, text string, runs array<array<bigint>>, items array<string>{tail}"
+        rows = materialise(rows.mapInArrow(_scanner(block, False, [*passed]), state), "decontamination")
         block = following
-    result = f"{head}, n_hit bigint, items array<string>, spans array<struct<start: bigint, end: bigint>>"
-    return (
-        rows.mapInArrow(_scanner(block, last=True), result)
-        .withColumn("n_items", F.size("items").cast("bigint"))
-        .withColumn("contaminated", F.col("n_items") >= min_items)
-    )
+    result = f"{head}, n_hit bigint, items array<string>, spans array<struct<start: bigint, end: bigint>>{tail}"
+    found = rows.mapInArrow(_scanner(block, True, [*passed]), result)
+    n_items = F.size("items").cast("bigint")
+    own = ["doc_id", "n_words", "n_hit", "items", "spans", n_items.alias("n_items"), (n_items >= min_items).alias("contaminated")]
+    return found.select(*own, *[F.col(k).alias(c) for k, c in passed.items() if c != "doc_id"])

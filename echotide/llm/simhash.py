@@ -60,18 +60,20 @@ def fingerprint_of(text: str | None, shingle: int = 3, seed: int = 42) -> int:
 def fingerprints(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seed: int = 42
 ) -> DataFrame:
-    """Per row: doc_id, fingerprint (the 64 bits as a signed long)."""
+    """Per row: doc_id, fingerprint (the 64 bits as a signed long) and tie, a hash of the text."""
     small_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    tie = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), tie.alias("tie"))
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [fingerprint_of(t, shingle, seed) for t in batch.column("text").to_pylist()]
             signed = pa.array([f - (f >> 63 << 64) for f in found], pa.int64())
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "fingerprint": signed})
+            out = {"doc_id": batch.column("doc_id"), "fingerprint": signed, "tie": batch.column("tie")}
+            yield pa.RecordBatch.from_pydict(out)
 
-    return rows.mapInArrow(run, f"doc_id {kind}, fingerprint bigint")
+    return rows.mapInArrow(run, f"doc_id {kind}, fingerprint bigint, tie bigint")
 
 
 class BKTree:
@@ -196,7 +198,7 @@ def near_duplicates(
     radius: int = 2,
     shard_size: int = 4096,
 ) -> DataFrame:
-    """Per row: doc_id, fingerprint (16 hex digits) and component_id, the smallest doc_id reachable by links."""
+    """Per row: doc_id, fingerprint (16 hex digits), component_id, the smallest doc_id reachable by links, and tie."""
     rows = materialise(
         fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle, seed=seed), "fingerprints"
     )
@@ -208,5 +210,23 @@ def near_duplicates(
     smallest = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
     named = rooted.join(smallest, "root").select(F.col("fingerprint").alias("known"), "component_id")
     return rows.join(named, rows.fingerprint == named.known).select(
-        "doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id"
+        "doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id", "tie"
     )
+
+
+def keep_first(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
+    """All columns of one row of each component, that with the smallest id.
+
+    Of rows equal in id and text one stays.  Rows without an id go if their component has one; else they all stay, but
+    for equal texts.
+    """
+    groups = materialise(near_duplicates(docs, id_col=id_col, text_col=text_col, **settings), "components")
+    known = F.col("component_id").isNotNull()
+    gone = groups.where(known & ~F.col("doc_id").eqNullSafe(F.col("component_id")))
+    gone = gone.select(F.col("doc_id").alias("__id"), F.col("tie").alias("__tie")).distinct()
+    tie = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    left = docs.join(gone, F.col(id_col).eqNullSafe(F.col("__id")) & (tie == F.col("__tie")), "left_anti")
+    stay = groups.where(~known | F.col("doc_id").eqNullSafe(F.col("component_id")))
+    if stay.groupBy("doc_id", "tie").count().where("count > 1").isEmpty():
+        return left
+    return left.withColumn("__tie", tie).dropDuplicates([id_col, "__tie"]).drop("__tie")

@@ -69,3 +69,11 @@ def test_empty_tables(spark, docs, no_docs):
     none = spark.createDataFrame([], ITEMS)
     assert decontamination.decontaminate(no_docs, none).count() == 0
     assert all(r.n_hit == 0 for r in decontamination.decontaminate(docs, none).collect())
+
+
+def test_columns_go_along(spark, docs, items):
+    table = spark.createDataFrame([(i, t, 0) for i, t in items], ITEMS)
+    got = decontamination.decontaminate(docs, table, block_chars=60, keep=("doc_id", "text", "bucket", "digest"))
+    assert sorted((str(r.doc_id), r.text, r.bucket) for r in got.collect() if r.text) == sorted(
+        (str(r.doc_id), r.text, r.bucket) for r in docs.collect() if r.text
+    )

@@ -77,3 +77,20 @@ def test_tree_search():
 
 def test_empty(no_docs):
     assert simhash.near_duplicates(no_docs).count() == 0
+
+
+def test_keep_first(docs, texts):
+    got = [(r.doc_id, r.text) for r in simhash.keep_first(docs).collect()]
+    component = {}
+    for (i, t), (_, _, c) in zip(texts, sorted_components(texts), strict=True):
+        component[i, t] = c
+    want = {(i, t) for i, t in texts if component[i, t] is None or component[i, t] == i}
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def sorted_components(texts):
+    """The component of each row, in the rows' order."""
+    by = {}
+    for i, f, c in brute([(i, fingerprint(t)) for i, t in texts]):
+        by[i, f] = c
+    return [(i, t, by[i, f"{fingerprint(t):016x}"]) for i, t in texts]
