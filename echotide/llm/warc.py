@@ -20,8 +20,8 @@ ids are written in decimal, null as ``-``; an empty table gives a manifest
 without files; other columns are ignored.
 
 Scale: groups of copies are found over digests alone, pre-aggregated; payloads
-are shuffled for the join with their group, where one group may be split, and
-for the range sort.  Folders must be reachable from every executor.
+are shuffled once, for the range sort, together with short notices of which of
+them are revisits.  Folders must be reachable from every executor.
 """
 
 from __future__ import annotations
@@ -54,21 +54,24 @@ def _files(root: str):
 
 
 def classify(pages: DataFrame, *, id_col: str, url_col: str, payload_col: str, revisit_from: int) -> DataFrame:
-    """page_id, url, payload (binary), digest (hex SHA-1), refers_to (null for responses)."""
+    """Records (kind 1: page_id, url, payload, digest) and notices (kind 0: page_id, digest, refers_to).
+
+    A notice says that the records of its id and digest are revisits; it sorts before them.  So groups of copies are
+    found and told of over digests alone, and payloads need no join.
+    """
     payload = F.coalesce(F.col(payload_col).cast("binary"), F.lit(b""))
-    rows = pages.select(
-        F.col(id_col).alias("page_id"), F.coalesce(F.col(url_col), F.lit("")).alias("url"), payload.alias("payload")
-    ).withColumn("digest", F.sha1("payload"))
-    large = F.octet_length("payload") >= revisit_from
+    url = F.coalesce(F.col(url_col), F.lit(""))
+    rows = pages.select(F.col(id_col).alias("page_id"), url.alias("url"), payload.alias("payload"))
+    rows = rows.withColumn("digest", F.unhex(F.sha1("payload")))
+    large = rows.where(F.octet_length("payload") >= revisit_from).select("page_id", "digest")
     groups = (
-        rows.where(large)
-        .groupBy(F.col("digest").alias("group"))
+        large.groupBy(F.col("digest").alias("group"))
         .agg(F.max("page_id").alias("largest"), F.count("*").alias("n"))
         .where("n > 1 and largest is not null")
     )
-    joined = rows.join(groups, (F.col("digest") == F.col("group")) & large, "left")
-    other = F.col("largest").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("largest"))
-    return joined.select("page_id", "url", "payload", "digest", F.when(other, F.col("largest")).alias("refers_to"))
+    copies = large.join(groups, F.col("digest") == F.col("group")).where(~F.col("page_id").eqNullSafe(F.col("largest")))
+    notices = copies.select("page_id", "digest", F.col("largest").alias("refers_to"), F.lit(0).alias("kind"))
+    return rows.withColumn("kind", F.lit(1)).unionByName(notices, allowMissingColumns=True)
 
 
 def _record_id(page_id, digest: str) -> str:
@@ -162,16 +165,22 @@ def write(
     files.create_dir(posixpath.join(folder, "_temporary"), recursive=True)
     rows = classify(pages, id_col=id_col, url_col=url_col, payload_col=payload_col, revisit_from=revisit_from)
     parts = [ranges] if ranges else []
-    sorted_rows = rows.repartitionByRange(*parts, "page_id", "digest").sortWithinPartitions("page_id", "digest", "url")
+    sorted_rows = rows.repartitionByRange(*parts, "page_id", "digest")
+    sorted_rows = sorted_rows.sortWithinPartitions("page_id", "digest", "kind", "url")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         roll = _Roll(root, TaskContext.get().partitionId(), roll_bytes)
+        told: tuple = ()
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("page_id", "url", "payload", "digest", "refers_to")]
-            for page_id, url, payload, digest, refers_to in zip(*columns, strict=True):
-                roll.add(member(record(page_id, url, payload, digest, refers_to, date), level), page_id)
+            columns = [batch.column(c).to_pylist() for c in ("kind", "page_id", "url", "payload", "digest", "refers_to")]
+            for kind, page_id, url, payload, digest, refers_to in zip(*columns, strict=True):
+                if kind == 0:
+                    told = page_id, digest, refers_to
+                    continue
+                of = told[2] if told[:2] == (page_id, digest) else None
+                roll.add(member(record(page_id, url, payload, digest.hex(), of, date), level), page_id)
                 if roll.full():
                     yield pa.RecordBatch.from_pydict(roll.close())
         if roll.sink is not None:
@@ -246,7 +255,8 @@ def read(spark: SparkSession, root: str, *, id_type: str = "bigint", payloads: b
         f"page_id {id_type}, url string, payload binary, payload_bytes bigint, payload_digest string,"
         f" record_type string, refers_to {id_type}"
     )
-    return manifest(spark, root).select("file").repartition("file").mapInArrow(run, shape)
+    names = manifest(spark, root).select("file")
+    return names.repartitionByRange(max(1, min(10_000, names.count())), "file").mapInArrow(run, shape)
 
 
 def _row(data: bytes, as_is, payloads: bool) -> dict:
