@@ -23,6 +23,8 @@ the rows at the end of its neighbour, and a window runs within a range.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -110,16 +112,28 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     )
 
 
-def with_next(rows: DataFrame, *, id_col: str, tie_col: str, carry: list[str], ranges: int) -> DataFrame:
-    """Adds ``next_<c>`` for each column c of ``carry``: that of the next row in descending id, after the last the first's."""
+def _below(held: Column, bounds: list, value: Column) -> Column:
+    """How many of the bounds, in order, are less than the value: first among every step-th, then among the step's."""
+    step = math.isqrt(len(bounds)) + 1
+    coarse = F.array(*[F.lit(b) for b in bounds[step - 1 :: step]]) if len(bounds) >= step else None
+    skipped = F.lit(0) if coarse is None else step * F.size(F.filter(coarse, lambda b: b < value))
+    return skipped + F.size(F.filter(F.slice(held, skipped + 1, step), lambda b: b < value))
+
+
+def with_next(rows: DataFrame, *, id_col: str, tie_col: str, carry: list[str], range_rows: int) -> DataFrame:
+    """Adds ``next_<c>`` for each column c of ``carry``: that of the next row in descending id, after the last the first's.
+
+    Ranges take about ``range_rows`` rows each, but there are at most 16,384 of them.
+    """
+    ranges = min(16384, max(64, -(-rows.count() // range_rows)))
     cuts = [k / ranges for k in range(1, ranges)] + [1.0]
-    found = rows.agg(F.percentile_approx(id_col, cuts, 100 * ranges).alias("cuts"), F.max(id_col).alias("top")).first()
+    found = rows.agg(F.percentile_approx(id_col, cuts, 20 * ranges).alias("cuts"), F.max(id_col).alias("top")).first()
     bounds = sorted({*(found["cuts"] or []), *([found["top"]] if found["top"] is not None else [])})
     if not bounds:
         bounds = [0]
     last = len(bounds) - 1
     held = F.array(*[F.lit(b) for b in bounds])
-    home = F.size(F.filter(held, lambda b: b < F.col(id_col)))
+    home = _below(held, bounds, F.col(id_col))
     at_edge = F.col(id_col) == F.get(held, home)
     spare = F.struct((home + 1).alias("range"), F.lit(1).alias("spare"))
     wrapped = F.struct(F.lit(0).alias("range"), F.lit(2).alias("spare"))
@@ -138,7 +152,7 @@ def with_next(rows: DataFrame, *, id_col: str, tie_col: str, carry: list[str], r
 
 
 def compare_edited(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ranges: int = 256
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", range_rows: int = 1000
 ) -> DataFrame:
     """Per row: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
@@ -150,7 +164,7 @@ def compare_edited(
         id_col="doc_id",
         tie_col="text",
         carry=["text", "lanes"],
-        ranges=ranges,
+        range_rows=range_rows,
     )
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
