@@ -150,7 +150,8 @@ def floor_summary(spark, d):
 
 @query(
     """WITH {s}, f AS (SELECT node, min(level_db) OVER (PARTITION BY node ORDER BY i ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING) + 1.5 AS a,
-    min(level_db) OVER (PARTITION BY node ORDER BY i ROWS BETWEEN 100 PRECEDING AND 100 FOLLOWING) + 1.5 AS b FROM s),
+    CASE WHEN n <= 201 THEN min(level_db) OVER (PARTITION BY node) ELSE
+    min(level_db) OVER (PARTITION BY node ORDER BY i ROWS BETWEEN 100 PRECEDING AND 100 FOLLOWING) END + 1.5 AS b FROM s),
     g AS (SELECT node, round(quantile_cont(b, 0.5), 6) AS self_noise_db, round(avg((a - b >= 3)::INT), 6) AS machine_duty,
     round(quantile_cont(CASE WHEN a - b >= 3 THEN a - b END, 0.5), 6) AS steady_excess_db FROM f GROUP BY node)
     SELECT *, machine_duty > 0.02 AND machine_duty < 0.98 AS machine_detected FROM g"""
@@ -271,9 +272,14 @@ def duty_cycle(spark, d):
     """WITH {s}, {seg}, x AS (SELECT *, segment = max(segment) OVER (PARTITION BY node) AS cut FROM seg),
     y AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY segment) - 1.0 AS k,
     lead(t0) OVER (PARTITION BY node ORDER BY segment) - t0 AS pr, CASE WHEN NOT cut THEN rows END AS ln FROM x WHERE state = 'on')
-    SELECT node, count(*) AS n_cycles, round(corr(k, ln), 6) AS on_rho, round(regr_slope(ln, k), 6) AS on_per_cycle,
-    (max(ln) - min(ln))::DOUBLE AS on_spread, round(corr(k, pr), 6) AS period_rho, round(regr_slope(pr, k), 6) AS period_per_cycle,
-    (max(pr) - min(pr))::DOUBLE AS period_spread, bool_or(cut) AS truncated_final_run FROM y GROUP BY node"""
+    SELECT node, count(*) AS n_cycles,
+    CASE WHEN count(ln) >= 3 THEN round(CASE WHEN stddev_pop(ln) = 0 THEN 0 ELSE corr(k, ln) END, 6) END AS on_rho,
+    CASE WHEN count(ln) >= 3 THEN round(CASE WHEN stddev_pop(ln) = 0 THEN 0 ELSE regr_slope(ln, k) END, 6) END AS on_per_cycle,
+    CASE WHEN count(ln) >= 3 THEN (max(ln) - min(ln))::DOUBLE END AS on_spread,
+    CASE WHEN count(pr) >= 3 THEN round(CASE WHEN stddev_pop(pr) = 0 THEN 0 ELSE corr(k, pr) END, 6) END AS period_rho,
+    CASE WHEN count(pr) >= 3 THEN round(CASE WHEN stddev_pop(pr) = 0 THEN 0 ELSE regr_slope(pr, k) END, 6) END AS period_per_cycle,
+    CASE WHEN count(pr) >= 3 THEN (max(pr) - min(pr))::DOUBLE END AS period_spread,
+    bool_or(cut) AS truncated_final_run FROM y GROUP BY node"""
 )
 def cycle_series(spark, d):
     return states.cycle_series(_segments(spark, d), NODE)
