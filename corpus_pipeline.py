@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from echotide.llm import decontamination, quality, queries, sentencepiece_bpe, simhash, suffix_dedup
+from echotide.llm import decontamination, near_copies, quality, queries, sentencepiece_bpe, suffix_dedup
 from echotide.llm._store import materialise
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -22,8 +22,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, that with the smallest id."""
-    return simhash.keep_first(docs.select(*COLUMNS)).select(*COLUMNS)
+    """One document of each group of near copies (five-word Jaccard of 0.8 or more), that with the smallest id."""
+    return near_copies.keep_first(docs.select(*COLUMNS)).select(*COLUMNS)
 
 
 def repeat_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

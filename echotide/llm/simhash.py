@@ -39,24 +39,35 @@ from ._store import discard, materialise, small_batches
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
-def fingerprint_of(text: str | None, shingle: int = 3, seed: int = 42) -> int:
-    import numpy as np
+def hashes_of(text: str | None, shingle: int = 3, seed: int = 42) -> list[int]:
+    """The hashes of a text's runs of words, repeats included."""
     import xxhash
 
     words = text.encode("utf-8", "surrogatepass").translate(_LOWER).split() if text else []
     if not words:
-        return 0
+        return []
     digest = xxhash.xxh64_intdigest
     if len(words) <= shingle:
-        hashes = [digest(b" ".join(words), seed)]
-    else:
-        runs = zip(*(words[i:] for i in range(shingle)), strict=False)
-        hashes = [digest(b" ".join(run), seed) for run in runs]
+        return [digest(b" ".join(words), seed)]
+    runs = zip(*(words[i:] for i in range(shingle)), strict=False)
+    return [digest(b" ".join(run), seed) for run in runs]
+
+
+def majority(hashes: list[int]) -> int:
+    """The bits set in over half the hashes."""
+    import numpy as np
+
+    if not hashes:
+        return 0
     bits = np.unpackbits(np.array(hashes, ">u8").view(np.uint8).reshape(-1, 8), axis=1)
     over = bits.sum(axis=0, dtype=np.int64) * 2 > len(hashes)
     return int.from_bytes(np.packbits(over).tobytes(), "big")
 
 
+def fingerprint_of(text: str | None, shingle: int = 3, seed: int = 42) -> int:
+    return majority(hashes_of(text, shingle, seed))
+
+
 def fingerprints(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seed: int = 42
 ) -> DataFrame:
@@ -221,6 +232,11 @@ def keep_first(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     for equal texts.
     """
     groups = materialise(near_duplicates(docs, id_col=id_col, text_col=text_col, **settings), "components")
+    return first_of(docs, groups, id_col=id_col, text_col=text_col)
+
+
+def first_of(docs: DataFrame, groups: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``keep_first`` by ``groups``: per row doc_id, component_id and tie."""
     known = F.col("component_id").isNotNull()
     gone = groups.where(known & ~F.col("doc_id").eqNullSafe(F.col("component_id")))
     gone = gone.select(F.col("doc_id").alias("__id"), F.col("tie").alias("__tie")).distinct()
