@@ -12,8 +12,9 @@ leaves enough behind it.  So no link is missed, and a large group of copies is n
 
 Defined results: as in ``simhash``; a null text is the empty text.
 
-Scale: equal texts collapse first.  The order puts grams that a sample of the texts shows often last, so that common
-lines make no pairs; the sample decides only the order, never the result.
+Scale: the order puts grams that a sample of the texts shows often last, so that common lines make few pairs; the
+sample decides only the order, never the result.  Before sets are fetched, pairs are held against bitmaps: the bits in
+which the parities of two sets differ are at most the grams in which the sets do.
 """
 
 from __future__ import annotations
@@ -21,17 +22,19 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import simhash
-from ._store import materialise, small_batches
+from ._store import discard, materialise, small_batches
 
-_CONTENTS = "tie bigint, fingerprint bigint, size int, grams array<bigint>"
+BITS = 512
+
+_CONTENTS = "tie bigint, fingerprint bigint, size int, bits array<bigint>, grams array<bigint>"
 
 
 def contents(docs: DataFrame, *, text_col: str, shingle: int, seed: int) -> DataFrame:
-    """Per distinct text: tie (its hash), fingerprint, size and grams (sorted)."""
+    """Per row: tie (a hash of the text), fingerprint, size, bits (the parities of the grams) and grams (sorted)."""
     import numpy as np
 
     small_batches(docs.sparkSession)
@@ -48,11 +51,14 @@ def contents(docs: DataFrame, *, text_col: str, shingle: int, seed: int) -> Data
             ends = np.concatenate([[0], np.cumsum(sizes)]).astype("i4")
             values = np.concatenate(sets) if sets else np.zeros(0, "i8")
             grams = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, pa.int64()))
-            columns = [batch.column("tie"), pa.array(marks, pa.int64()), pa.array(sizes, pa.int32()), grams]
-            yield pa.RecordBatch.from_arrays(columns, ["tie", "fingerprint", "size", "grams"])
+            odd = np.array([np.bincount(s & (BITS - 1), minlength=BITS) & 1 for s in sets], "u1").reshape(-1, BITS)
+            words = np.packbits(odd, axis=1).view("i8").ravel()
+            bits = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * (BITS // 64), pa.int32()), pa.array(words, pa.int64()))
+            columns = [batch.column("tie"), pa.array(marks, pa.int64()), pa.array(sizes, pa.int32()), bits, grams]
+            yield pa.RecordBatch.from_arrays(columns, ["tie", "fingerprint", "size", "bits", "grams"])
 
     texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
-    return texts.dropDuplicates(["tie"]).mapInArrow(run, _CONTENTS)
+    return texts.mapInArrow(run, _CONTENTS)
 
 
 def _prefixes(known: DataFrame, per_mille: int, often: list[int]) -> DataFrame:
@@ -87,14 +93,33 @@ def _prefixes(known: DataFrame, per_mille: int, often: list[int]) -> DataFrame:
     return known.select("tie", "size", "grams").mapInArrow(run, "gram bigint, tie bigint, size int, place int")
 
 
-def _similar(pairs: DataFrame, known: DataFrame, per_mille: int) -> DataFrame:
+def _of(known: DataFrame, ends: DataFrame) -> DataFrame:
+    """The rows of ``known`` whose tie may be among the ``ends``: a bitmap of hashes leaves out most others unshuffled."""
+    bits = min(1 << 26, max(1 << 15, 16 * ends.count()))
+    place = F.pmod(F.xxhash64("tie"), F.lit(bits))
+    group, at = F.floor(place / 32768), F.pmod(place, F.lit(32768)).cast("int")
+    maps = ends.groupBy(group.alias("group")).agg(F.expr(f"bitmap_construct_agg(pmod(pmod(xxhash64(tie), {bits}L), 32768L))").alias("map"))
+    byte = F.conv(F.hex(F.substring("map", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    held = F.pmod(F.floor(byte / F.pow(F.lit(2), F.pmod(at, F.lit(8)))), F.lit(2)) == 1
+    near = known.withColumn("group", group).join(F.broadcast(maps), "group").where(held)
+    return near.drop("group", "map")
+
+
+def _similar(pairs: DataFrame, known: DataFrame, small: DataFrame, per_mille: int) -> DataFrame:
     """Of the pairs (a, b) of texts, those that are similar."""
-    a = known.select(F.col("tie").alias("a"), F.col("grams").alias("grams_a"))
-    b = known.select(F.col("tie").alias("b"), F.col("grams").alias("grams_b"))
+    end = lambda rows, c: rows.select(F.col("tie").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in rows.columns if x != "tie"])
+    marked = pairs.join(end(small, "a"), "a").join(end(small, "b"), "b")
+    differ = sum((F.bit_count(F.get("bits_a", F.lit(i)).bitwiseXOR(F.get("bits_b", F.lit(i)))) for i in range(BITS // 64)), F.lit(0))
+    marked = marked.where(differ * (1000 + per_mille) <= (F.col("size_a") + F.col("size_b")) * (1000 - per_mille))
+    left = materialise(marked.select("a", "b"), "pairs")
+    ends = left.select(F.col("a").alias("tie")).union(left.select("b")).distinct()
+    sets = materialise(_of(known.select("tie", "grams"), ends).dropDuplicates(["tie"]), "sets")
     common = F.size(F.array_intersect("grams_a", "grams_b"))
     union = F.size("grams_a") + F.size("grams_b") - common
-    both = pairs.join(a, "a").join(b, "b")
-    return both.where(common * 1000 >= union * per_mille).select("a", "b")
+    both = left.join(end(sets, "a"), "a").join(end(sets, "b"), "b")
+    found = materialise(both.where(common * 1000 >= union * per_mille).select("a", "b"), "links")
+    discard(sets)
+    return found
 
 
 def _may(size_a: Column, size_b: Column, per_mille: int) -> Column:
@@ -106,18 +131,22 @@ def links(known: DataFrame, *, per_mille: int, radius: int, shard_size: int, sam
     seen = known.where(F.pmod("tie", F.lit(sample)) == 0).select(F.explode("grams").alias("gram")).groupBy("gram").count()
     late = [r["gram"] for r in seen.where("count >= 8").orderBy(F.desc("count")).limit(often).collect()]
     bounds = _prefixes(known, per_mille, late)
-    shared = bounds.groupBy("gram").agg(F.min("tie").alias("a"), F.max("tie").alias("z"), F.min_by("size", "tie").alias("size_a"))
-    met = materialise(bounds.join(shared.where("a <> z").drop("z"), "gram"), "prefixes")
+    of_gram = Window.partitionBy("gram")
+    least = F.min(F.struct("tie", "size")).over(of_gram)
+    met = bounds.select("*", least["tie"].alias("a"), least["size"].alias("size_a"), F.max("tie").over(of_gram).alias("z"))
+    met = materialise(met.where("a <> z").drop("z").dropDuplicates(["gram", "tie"]), "prefixes")
+    small = materialise(known.select("tie", "size", "bits", "fingerprint").dropDuplicates(["tie"]), "texts")
     stars = met.where("tie <> a").where(_may(F.col("size"), F.col("size_a"), per_mille)).select("a", F.col("tie").alias("b"))
-    marks = known.groupBy("fingerprint").agg(F.min("tie").alias("least"))
+    marks = small.groupBy("fingerprint").agg(F.min("tie").alias("least"))
     marks = materialise(marks, "fingerprints")
     alike = simhash.links(marks, radius, shard_size)
     end = lambda c: marks.select(F.col("fingerprint").alias(c), F.col("least").alias(f"least_{c}"))
     alike = alike.join(end("a"), "a").join(end("b"), "b").select(F.col("least_a").alias("a"), F.col("least_b").alias("b"))
-    equal = known.select("fingerprint", "tie").join(marks, "fingerprint").where("tie <> least")
+    equal = small.select("fingerprint", "tie").join(marks, "fingerprint").where("tie <> least")
     proposed = stars.unionByName(alike).unionByName(equal.select(F.col("least").alias("a"), F.col("tie").alias("b")))
     proposed = proposed.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    first = materialise(_similar(proposed, known, per_mille), "links")
+    small = small.drop("fingerprint")
+    first = _similar(proposed, known, small, per_mille)
     roots = simhash.components(first).withColumnRenamed("node", "tie")
     rooted = met.select("gram", "tie", "size", "place").join(roots, "tie", "left")
     rooted = rooted.withColumn("root", F.coalesce("root", "tie"))
@@ -128,7 +157,10 @@ def links(known: DataFrame, *, per_mille: int, radius: int, shard_size: int, sam
     enough = left * (1000 + per_mille) >= (F.col("x.size") + F.col("y.size")) * per_mille
     pairs = x.join(y, (F.col("x.gram") == F.col("y.gram")) & (F.col("x.tie") < F.col("y.tie")) & (F.col("x.root") != F.col("y.root")) & enough)
     pairs = pairs.select(F.col("x.tie").alias("a"), F.col("y.tie").alias("b")).distinct()
-    return first.unionByName(materialise(_similar(pairs, known, per_mille), "links"))
+    found = first.unionByName(_similar(pairs, known, small, per_mille))
+    discard(met)
+    discard(rooted)
+    return found
 
 
 def near_copies(
@@ -147,6 +179,7 @@ def near_copies(
     """Per row: doc_id, component_id, the smallest doc_id reachable by links, and tie, a hash of the text."""
     known = materialise(contents(docs, text_col=text_col, shingle=shingle, seed=seed), "contents")
     edges = links(known, per_mille=per_mille, radius=radius, shard_size=shard_size, sample=sample, often=often)
+    discard(known)
     roots = simhash.components(edges)
     tie = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
     rows = docs.select(F.col(id_col).alias("doc_id"), tie.alias("tie"))
