@@ -1,15 +1,20 @@
 """Document fingerprints by a homomorphic multiset hash of paragraphs.
 
 A paragraph, the text between two line ends, is hashed to a wide vector: eight
-lanes of 32 bits, all filled, and 64 lanes of 16 bits of which its hash fills
-one.  A document's fingerprint is the sum of its paragraphs' vectors, each lane
+lanes of 32 bits, all filled, and ten groups of 64 lanes of 16 bits.  The first
+group takes every paragraph, each further one the quarter of the one before whose
+hash is least; a hash fills one lane of a group that takes it.  A document's fingerprint is the sum of its paragraphs' vectors, each lane
 modulo the power of two of its width.  It does not depend on the order of the
 paragraphs, equal texts have equal fingerprints, and paragraphs are inserted or
 deleted by adding or subtracting their vectors.
 
-The filled lanes decide equality.  Likeness compares the others: of the lanes
-that hold something in either fingerprint, the share that is equal in both; it is
-1 for equal fingerprints and near 0 for texts without a common paragraph.
+The filled lanes decide equality.  Likeness compares the finest group of the others
+that is not crowded (at most 44 lanes hold something in either fingerprint; the last,
+if all are): the numbers of differing and of all paragraphs follow from the shares
+of lanes that differ and that hold something, and likeness is 1 less their quotient,
+an estimate of the share of distinct paragraphs that both texts have, as often.  It
+is 1 for equal fingerprints and near 0 for texts without a common paragraph, up to
+some 16 million paragraphs.
 
 Defined results: a null text is the empty text, which is one empty paragraph;
 rows with a null id follow all others and rows that repeat an id follow one
@@ -30,6 +35,7 @@ from pyspark.sql import functions as F
 
 DENSE, DENSE_BITS = 8, 32
 SPARSE, SPARSE_BITS = 64, 16
+GROUPS, CROWDED = 10, 44
 
 
 def _lane(root: Column, salt: int, modulus: int) -> Column:
@@ -50,19 +56,35 @@ def vector(roots: Column) -> Column:
         return F.aggregate(roots, zero, lambda total, r: F.pmod(total + _lane(r, i, wide), F.lit(wide)))
 
     dense = [filled(i) for i in range(DENSE)]
+    least = 4 ** (GROUPS - 1)
     pairs = F.transform(
         roots,
         lambda r: F.struct(
-            _lane(r, DENSE, SPARSE).alias("lane"), (_lane(r, DENSE + 1, narrow - 1) + 1).alias("value")
+            _lane(r, DENSE, SPARSE).alias("lane"),
+            (_lane(r, DENSE + 1, narrow - 1) + 1).alias("value"),
+            _lane(r, DENSE + 2, least).alias("rank"),
         ),
     )
-    sparse = F.transform(
-        F.sequence(zero, F.lit(SPARSE - 1).cast("bigint")),
-        lambda lane: F.aggregate(
-            pairs,
+    taken = F.transform(
+        F.array(*[F.lit(least >> 2 * g).cast("bigint") for g in range(GROUPS)]),
+        lambda bound: F.filter(pairs, lambda p: p["rank"] < bound),
+    )
+    lanes = F.sequence(zero, F.lit(SPARSE - 1).cast("bigint"))
+
+    def filled_one(held: Column, lane: Column) -> Column:
+        return F.aggregate(
+            held,
             zero,
             lambda total, p: F.when(p["lane"] == lane, F.pmod(total + p["value"], F.lit(narrow))).otherwise(total),
-        ),
+        )
+
+    sparse = F.flatten(
+        F.transform(
+            taken,
+            lambda held: F.when(F.size(held) == 0, F.array_repeat(zero, SPARSE)).otherwise(
+                F.transform(lanes, lambda lane: filled_one(held, lane))
+            ),
+        )
     )
     return F.concat(F.array(*dense), sparse)
 
@@ -87,21 +109,36 @@ def deleted(fingerprint: Column, text: Column) -> Column:
 
 def as_hex(lanes: Column) -> Column:
     wide = F.transform(F.slice(lanes, 1, DENSE), lambda x: F.lpad(F.lower(F.hex(x)), DENSE_BITS // 4, "0"))
-    narrow = F.transform(F.slice(lanes, DENSE + 1, SPARSE), lambda x: F.lpad(F.lower(F.hex(x)), SPARSE_BITS // 4, "0"))
+    narrow = F.transform(F.slice(lanes, DENSE + 1, GROUPS * SPARSE), lambda x: F.lpad(F.lower(F.hex(x)), SPARSE_BITS // 4, "0"))
     return F.concat(F.array_join(wide, ""), F.array_join(narrow, ""))
 
 
 def likeness(a: Column, b: Column) -> Column:
     """0 to 1 for two fingerprints as lanes."""
     both = F.zip_with(
-        F.slice(a, DENSE + 1, SPARSE),
-        F.slice(b, DENSE + 1, SPARSE),
+        F.slice(a, DENSE + 1, GROUPS * SPARSE),
+        F.slice(b, DENSE + 1, GROUPS * SPARSE),
         lambda x, y: F.when((x == 0) & (y == 0), F.lit(0)).when(x == y, F.lit(1)).otherwise(F.lit(2)),
     )
-    same = F.size(F.filter(both, lambda x: x == 1)).cast("double")
-    held = F.size(F.filter(both, lambda x: x > 0))
+
+    def counted(codes: Column) -> Column:
+        held, differ = F.filter(codes, lambda x: x > 0), F.filter(codes, lambda x: x == 2)
+        return F.struct(F.size(held).alias("held"), F.size(differ).alias("differ"))
+
+    counts = F.transform(
+        F.sequence(F.lit(0), F.lit(GROUPS - 1)), lambda g: counted(F.slice(both, g * SPARSE + 1, F.lit(SPARSE)))
+    )
+    of = F.coalesce(F.get(F.filter(counts, lambda c: c["held"] <= CROWDED), F.lit(0)), F.element_at(counts, -1))
+
+    def fallen(lanes: Column) -> Column:
+        """How many paragraphs fill so many lanes."""
+        return -F.log(1 - F.least(lanes.cast("double"), F.lit(SPARSE - 0.5)) / SPARSE)
+
+    near = F.transform(
+        F.array(of), lambda c: F.when(c["held"] == 0, F.lit(0.0)).otherwise(1 - fallen(c["differ"]) / fallen(c["held"]))
+    )
     same_dense = F.slice(a, 1, DENSE) == F.slice(b, 1, DENSE)
-    return F.when(same_dense, F.lit(1.0)).when(held == 0, F.lit(0.0)).otherwise(same / held)
+    return F.when(same_dense, F.lit(1.0)).otherwise(F.get(near, F.lit(0)))
 
 
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -45,3 +45,13 @@ def test_small_tables(spark, no_docs):
     assert fingerprint.compare_edited(no_docs).count() == 0
     one = spark.createDataFrame([(None, "ab")], "doc_id bigint, text string")
     assert fingerprint.compare_edited(one).first().edited_sha256 == hashlib.sha256(b"aa").hexdigest()
+
+
+@pytest.mark.parametrize("n", [10, 60, 150, 700, 3000])
+def test_likeness_does_not_sink_with_length(spark, n):
+    text = lambda a, z: "\n".join(f"paragraph {k}" for k in range(a, z))
+    rows = [(text(0, 2 * n), text(n // 2, 2 * n + n // 2), "part"), (text(0, n), text(n, 2 * n), "none"), (text(0, n), text(0, n), "all")]
+    vec = lambda c: fingerprint.vector(fingerprint.paragraph_roots(F.col(c)))
+    table = spark.createDataFrame(rows, "a string, b string, what string").select("what", vec("a").alias("a"), vec("b").alias("b"))
+    got = {r.what: r.near for r in table.select("what", fingerprint.likeness(F.col("a"), F.col("b")).alias("near")).collect()}
+    assert abs(got["part"] - 0.6) < 0.2 and got["none"] < 0.1 and got["all"] == 1.0
