@@ -2,7 +2,7 @@
 
 A page is cut into tokens: tags, told apart by the path of elements they stand
 in, and runs of text.  For each host, a token's occurrence vector says how often
-it occurs in each page.  Tokens with equal vectors form an equivalence class;
+it occurs in each distinct page: copies of one page count once.  Tokens with equal vectors form an equivalence class;
 classes of at least two tokens that occur in a good share of the host's pages
 are its template.  On a page a class is valid if its tokens come in the class's
 order, and nests if it lies whole between two neighbouring tokens of another.
@@ -17,11 +17,11 @@ for template, so copies of a page keep their text.
 
 Defined results: a null page is the empty page, with empty text; a page of a host
 with fewer than ``min_pages`` pages, or that no class fits, is one slot for the
-rules above; a null url is a host of its own; markup that is cut off at the end
+rules above, as are those of a host with fewer distinct pages; a null url is a host of its own; markup that is cut off at the end
 is markup; rows that repeat a page are extracted alike; other columns are
 ignored.
 
-Scale: vectors are compared by sums of hashes, one for each page, so a host's
+Scale: pages are dealt by a hash of their payload, so that copies meet.  Vectors are compared by sums of hashes, one for each page, so a host's
 pages are never gathered: token statistics are pre-aggregated in each batch and
 again before the shuffle.  Template size is bounded by the tokens of a page over
 ``min_share``.  Templates are broadcast while they are under ``broadcast_tokens``
@@ -290,37 +290,42 @@ _STATS = "host string, role bigint, pages bigint, total bigint, one bigint, two
 def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sums: dict[tuple[str | None, int], list[int]] = {}
-        columns = [batch.column(c).to_pylist() for c in ("page_id", "url", "html")]
-        for page_id, url, source in zip(*columns, strict=True):
+        columns = [batch.column(c).to_pylist() for c in ("payload", "url", "html")]
+        for payload, url, source in zip(*columns, strict=True):
             host = host_of(url)
             counts: dict[int, list[int]] = {}
             for place, (role, _) in enumerate(Page(source).units()):
                 mine = counts.setdefault(role, [0, place])
                 mine[0] += 1
-            key = f"{page_id}\x00{url}"
+            key = payload.hex()
             known = sums.setdefault((host, 0), [0, 0, 0, 0, 0])
             known[0] += 1
             for role, (n, place) in counts.items():
                 h = _hash(key, str(n))
                 s = sums.setdefault((host, role), [0, 0, 0, 0, 0])
+    """Token sums of each host's distinct pages; pages of equal payload come in one task."""
+    seen: set[tuple[str | None, bytes]] = set()
                 for i, x in enumerate((1, n, h & 0x7FFFFFFF, h >> 32, place)):
                     s[i] += x
         hosts, roles = zip(*sums, strict=True) if sums else ((), ())
         numbers = list(zip(*sums.values(), strict=True)) if sums else [()] * 5
         yield pa.RecordBatch.from_arrays(
             [pa.array(hosts, pa.string()), pa.array(roles, pa.int64()), *(pa.array(x, pa.int64()) for x in numbers)],
+            if (host, payload) in seen:
+                continue
+            seen.add((host, payload))
             ["host", "role", "pages", "total", "one", "two", "place"],
         )
 
 
 def deduce(
-    pages: DataFrame, *, id_col: str, url_col: str, html_col: str, min_pages: int, min_share: float, min_size: int
+    pages: DataFrame, *, url_col: str, html_col: str, min_pages: int, min_share: float, min_size: int
 ) -> DataFrame:
     """Per host, its template: an array of (class, place, role), classes told apart by a hash."""
     small_batches(pages.sparkSession)
-    rows = pages.select(
-        F.col(id_col).cast("string").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html")
-    )
+    html = F.coalesce(F.col(html_col), F.lit(""))
+    payload = F.unhex(F.sha1(html.cast("binary")))
+    rows = pages.select(payload.alias("payload"), F.col(url_col).alias("url"), html.alias("html")).repartition("payload")
     sums = (
         rows.mapInArrow(_statistics, _STATS)
         .groupBy("host", "role")
@@ -358,7 +363,6 @@ def extract(
     templates = materialise(
         deduce(
             pages,
-            id_col=id_col,
             url_col=url_col,
             html_col=html_col,
             min_pages=min_pages,

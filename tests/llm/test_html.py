@@ -64,3 +64,12 @@ def test_table(spark, rows, broadcast_tokens):
 
 def test_empty(spark):
     assert html_extraction.extract(spark.createDataFrame([], PAGES)).count() == 0
+
+
+@pytest.mark.parametrize("url", ["http://small.example/{}", None])
+def test_copies_without_an_article_keep_their_text(spark, url):
+    plain = "<body><div>Welcome</div><div><p>Story {0}</p><p>More {0}</p></div><div>Contact us</div></body>"
+    held = [(k, plain.format("copied" if k < 6 else k)) for k in range(10)]
+    table = spark.createDataFrame([(k, url and url.format(k), h, None, "x") for k, h in held], PAGES).repartition(3)
+    got = {r.page_id: r.text for r in html_extraction.extract(table).collect()}
+    assert got == {k: "Story {0}\nMore {0}".format("copied" if k < 6 else k) for k, _ in held}
