@@ -61,13 +61,21 @@ _INLINE = {
     "img", "ins", "kbd", "mark", "q", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time",
     "tt", "u", "var", "wbr",
 }
-#: Words of class, id and role that mark what isn't the article.
-_MARKED = re.compile(
-    r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|breadcrumbs?|header|masthead|footer|sidebar|side|aside|complementary"
-    r"|contentinfo|notice|notices|cookies?|consent|gdpr|banner|ads?|adverts?|advertisement|sponsor(?:ed)?|promo"
-    r"|comments?|replies|disqus|related|recommended|share|sharing|social|newsletter|subscribe|signup|login|search"
-    r"|popup|modal|overlay|widget|toolbar|pagination|pager|alert|skip)(?:$|[\s_-])"
+#: Names, each a whole class, id or role, that mark what isn't the article, there or anywhere; a place may follow.
+_INSIDE = (
+    "nav|navbar|navigation|menu|breadcrumbs?|masthead|footer|sidebar|complementary|contentinfo|cookies?|consent|gdpr"
+    "|ads?|adverts?|advertisement|sponsored"
 )
+_OUTSIDE = (
+    "header|side|aside|notices?|banner|sponsor|promo|related|recommended|share|sharing|social|newsletter|subscribe"
+    "|signup|login|search|popup|modal|overlay|widget|toolbar|pagination|pager|alert|skip"
+)
+_PLACE = r"(?:[_-](?:left|right|top|bottom|first|second|primary|secondary|main|\d+))?"
+_MARKED_INSIDE = re.compile(rf"(?:^|\s)(?:{_INSIDE}){_PLACE}(?:$|\s)")
+_MARKED = re.compile(rf"(?:^|\s)(?:{_INSIDE}|{_OUTSIDE}){_PLACE}(?:$|\s)")
+#: Reader comments stay out even where each is an article of its own.
+_COMMENTS = re.compile(rf"(?:^|\s)(?:comments?|replies|disqus){_PLACE}(?:$|\s)")
+_HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _STOP = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table", "tbody", "thead", "tfoot"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "option": {"select"}}
 
@@ -86,6 +94,7 @@ class Page:
     def __init__(self, source: str | None):
         self.tokens: list[tuple[int, int, str, bool, bool]] = []
         self.open: list[tuple[str, str, bool, bool]] = []  # name, path, in main, dropped
+        self.firm: list[bool] = []  # of each open element, whether dropped for more than a mark
         self.roles: dict[tuple[str, str], int] = {}
         self._cut(source or "")
 
@@ -134,8 +143,13 @@ class Page:
         if not inline and name not in _VOID:
             path, main, dropped = self._state()
             in_main = main or name in _MAIN
+            if name in _MAIN and not main:  # a mark around an article does not hold for it
+                dropped = self.firm[-1] if self.firm else False
             structural = name in _DROPPED and not (name == "header" and main)
-            marked = bool(names) and name not in ("html", "body", *_MAIN) and _MARKED.search(names) is not None
+            may = bool(names) and name not in ("html", "body", *_MAIN, *_HEADINGS)
+            structural |= may and _COMMENTS.search(names) is not None
+            marked = may and (_MARKED_INSIDE if main else _MARKED).search(names) is not None
+            self.firm.append(structural or bool(self.firm and self.firm[-1]))
             self.open.append((name, f"{path}/{name}[{names}]", in_main, dropped or structural or marked))
         self._tag(f"<{name}>", inline)
         if name == "br":
@@ -156,6 +170,7 @@ class Page:
 
     def _pop(self) -> None:
         self.open.pop()
+        self.firm.pop()
         self.tokens.append((BREAK, -1, "", *self._state()[1:]))
 
     def _close(self, name: str) -> None:
@@ -288,12 +303,17 @@ _STATS = "host string, role bigint, pages bigint, total bigint, one bigint, two
 
 
 def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Token sums of each host's distinct pages; pages of equal payload come in one task."""
+    seen: set[tuple[str | None, bytes]] = set()
     for batch in batches:
         sums: dict[tuple[str | None, int], list[int]] = {}
         columns = [batch.column(c).to_pylist() for c in ("payload", "url", "html")]
         for payload, url, source in zip(*columns, strict=True):
             host = host_of(url)
             counts: dict[int, list[int]] = {}
+            if (host, payload) in seen:
+                continue
+            seen.add((host, payload))
             for place, (role, _) in enumerate(Page(source).units()):
                 mine = counts.setdefault(role, [0, place])
                 mine[0] += 1
@@ -303,17 +323,12 @@ def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for role, (n, place) in counts.items():
                 h = _hash(key, str(n))
                 s = sums.setdefault((host, role), [0, 0, 0, 0, 0])
-    """Token sums of each host's distinct pages; pages of equal payload come in one task."""
-    seen: set[tuple[str | None, bytes]] = set()
                 for i, x in enumerate((1, n, h & 0x7FFFFFFF, h >> 32, place)):
                     s[i] += x
         hosts, roles = zip(*sums, strict=True) if sums else ((), ())
         numbers = list(zip(*sums.values(), strict=True)) if sums else [()] * 5
         yield pa.RecordBatch.from_arrays(
             [pa.array(hosts, pa.string()), pa.array(roles, pa.int64()), *(pa.array(x, pa.int64()) for x in numbers)],
-            if (host, payload) in seen:
-                continue
-            seen.add((host, payload))
             ["host", "role", "pages", "total", "one", "two", "place"],
         )
 

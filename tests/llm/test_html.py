@@ -73,3 +73,18 @@ def test_copies_without_an_article_keep_their_text(spark, url):
     table = spark.createDataFrame([(k, url and url.format(k), h, None, "x") for k, h in held], PAGES).repartition(3)
     got = {r.page_id: r.text for r in html_extraction.extract(table).collect()}
     assert got == {k: "Story {0}\nMore {0}".format("copied" if k < 6 else k) for k, _ in held}
+
+
+WRAPPED = [
+    ("<div class='layout with-sidebar'><article><p>x</p></article></div>", "x"),
+    ("<div class='no-sidebar'><main><p>x</p></main></div>", "x"),
+    ("<div class='sidebar'><article><p>x</p></article></div>", "x"),
+    ("<article><h2 id='related-work'>R</h2><section id='side-effects'>s</section><p id='search-methods'>m</p></article>", "R\ns\nm"),
+    ("<article><p class='alert'>a</p><h2 class='menu'>h</h2><div class='menu'>no</div></article>", "a\nh"),
+    ("<article><p>x</p></article><div class='comments'><article>c</article></div><aside><article>n</article></aside>", "x"),
+]
+
+
+@pytest.mark.parametrize("body, text", WRAPPED)
+def test_marks_drop_no_article_text(body, text):
+    assert main_text(Page(f"<body>{body}</body>"), {}) == text
