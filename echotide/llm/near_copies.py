@@ -5,7 +5,7 @@ gram, and texts without words share one gram.  Two texts are linked if their set
 ``per_mille`` thousandths of their union; groups are the components of these links.
 
 No radius of a SimHash is sure to reach a given similarity, so SimHash only proposes: its links, and links of each
-text to the least text that shares one of its first grams, are checked and joined to components.  Then all pairs
+text to one text, drawn for each of its first grams, that shares it, are checked and joined to components.  Then all pairs
 that could still be similar and lie in different components are checked.  These follow from prefixes: with all
 grams in one order, similar sets share one among the first n - ceil(t n) + 1 of each, and the first they share
 leaves enough behind it.  So no link is missed, and a large group of copies is not compared pair by pair.
@@ -132,9 +132,10 @@ def links(known: DataFrame, *, per_mille: int, radius: int, shard_size: int, sam
     late = [r["gram"] for r in seen.where("count >= 8").orderBy(F.desc("count")).limit(often).collect()]
     bounds = _prefixes(known, per_mille, late)
     of_gram = Window.partitionBy("gram")
-    least = F.min(F.struct("tie", "size")).over(of_gram)
-    met = bounds.select("*", least["tie"].alias("a"), least["size"].alias("size_a"), F.max("tie").over(of_gram).alias("z"))
-    met = materialise(met.where("a <> z").drop("z").dropDuplicates(["gram", "tie"]), "prefixes")
+    centre = F.min(F.struct(F.xxhash64("tie", "gram").alias("draw"), "tie", "size")).over(of_gram)
+    ends = [F.min("tie").over(of_gram).alias("y"), F.max("tie").over(of_gram).alias("z")]
+    met = bounds.select("*", centre["tie"].alias("a"), centre["size"].alias("size_a"), *ends)
+    met = materialise(met.where("y <> z").drop("y", "z").dropDuplicates(["gram", "tie"]), "prefixes")
     small = materialise(known.select("tie", "size", "bits", "fingerprint").dropDuplicates(["tie"]), "texts")
     stars = met.where("tie <> a").where(_may(F.col("size"), F.col("size_a"), per_mille)).select("a", F.col("tie").alias("b"))
     marks = small.groupBy("fingerprint").agg(F.min("tie").alias("least"))
