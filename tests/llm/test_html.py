@@ -26,8 +26,8 @@ CASES = [
 
 @pytest.mark.parametrize("body, text", CASES)
 def test_one_page(body, text):
-    assert main_text(Page(page("h", 1, body)), {}) == text
-    assert main_text(Page(page("h", 1, body, end="<foot")), {}) == text
+    assert main_text(Page(page("h", 1, body))) == text
+    assert main_text(Page(page("h", 1, body, end="<foot"))) == text
 
 
 def test_classes_nest_or_go():
@@ -87,4 +87,93 @@ WRAPPED = [
 
 @pytest.mark.parametrize("body, text", WRAPPED)
 def test_marks_drop_no_article_text(body, text):
-    assert main_text(Page(f"<body>{body}</body>"), {}) == text
+    assert main_text(Page(f"<body>{body}</body>")) == text
+
+
+NAMES = [
+    ("<article><p>x</p><div class='social-science'>a</div><div class='search-results'>b</div>"
+     "<p class='side-effects'>c</p><section id='comment-on-law'>d</section></article>", "x\na\nb\nc\nd"),
+    ("<form id='all'><article><p>x</p><form>no</form></article></form>", "x"),
+    ("<main><p>x</p><div class='ad'>no</div><section id='comments'><article>no</article></section></main>", "x"),
+]
+
+
+@pytest.mark.parametrize("body, text", NAMES)
+def test_longer_names_stay(body, text):
+    assert main_text(Page(f"<body>{body}</body>")) == text
+
+
+@pytest.mark.parametrize(
+    "source, text",
+    [
+        ("<div>" * 100_000 + "x", "x"),
+        ("<ul><li>" * 50_000 + "x" + "</b></li></ul>" * 50_000, "x"),
+        ("<li><ul>" + "<div>" * 50_000 + "<li>x" * 50_000, "\n".join("x" * 50_000)),
+        ("<p>" + "word " * 200_000 + "</p>", " ".join(["word"] * 200_000)),
+    ],
+)
+def test_deep_and_long_pages(source, text):
+    import time
+    import tracemalloc
+
+    tracemalloc.start()
+    began = time.time()
+    assert main_text(Page(source)) == text
+    assert tracemalloc.get_traced_memory()[1] < 200 << 20 and time.time() - began < 60
+    tracemalloc.stop()
+
+
+def furnished(k: int, story: list[str], *, article: bool = True) -> str:
+    """A page whose furniture only its repetition gives away."""
+    share, teasers = "<p>Tell your friends about this story</p>", "".join(f"<article><p>Teaser {k} {j}</p></article>" for j in range(2))
+    links = "<div>" + "".join(f'<a href="/{k}{j}">See also {k} {j}</a> ' for j in range(3)) + "</div>"
+    body = "".join(f"<p>{s}</p>" for s in story)
+    if not article:
+        return f"<html><body><div><p>The Daily Page</p></div><section>{body}</section><div><p>All rights reserved</p></div></body></html>"
+    return f"<html><body><p>Welcome</p>{teasers}<main><h1>T {k}</h1>{share}{body}{links}</main></body></html>"
+
+
+@pytest.fixture(scope="module")
+def hosts(spark):
+    held, want = [], {}
+    for k in range(12):
+        story = [f"Paragraph {k} {j} of a story that only this page tells." for j in range(6)]
+        held.append((k, f"http://news.example/{k}", furnished(k, story)))
+        want[k] = "\n".join([f"T {k}", *story])
+        held.append((100 + k, f"http://plain.example/{k}", furnished(k, story, article=False)))
+        want[100 + k] = "\n".join(story)
+        shared = [f"What all these near copies say, in part {j}, is their article." for j in range(6)]
+        held.append((200 + k, f"http://mirror.example/{k}", f"<html><body><article>{''.join(f'<p>{s}</p>' for s in shared)}<p>no. {k}</p></article></body></html>"))
+        want[200 + k] = "\n".join([*shared, f"no. {k}"])
+    return spark.createDataFrame([(i, u, h, None, "x") for i, u, h in held], PAGES).repartition(3), held, want
+
+
+def test_the_template_decides(hosts):
+    table, held, want = hosts
+    got = {r.page_id: r.text for r in html_extraction.extract(table).collect()}
+    assert got == want
+    alone = {i: main_text(Page(h)) for i, _, h in held}
+    assert all(alone[i] != want[i] for i in want if i < 200)  # without deduction all furniture stays
+    assert all("Teaser" in alone[i] and "Tell your" in alone[i] and "See also" in alone[i] for i in range(12))
+
+
+def test_classes_equal_brute_force(hosts):
+    """Classes by sums of hashes are those of whole occurrence vectors."""
+    from collections import Counter, defaultdict
+
+    table, held, _ = hosts
+    pages = {"news": [], "plain": [], "mirror": []}
+    for _, u, h in held:
+        pages[u[7:].split(".")[0]].append(Counter(r for r, _, _ in Page(h).units))
+    want = {}
+    for name, counts in pages.items():
+        vectors = defaultdict(set)
+        for role in set().union(*counts):
+            vector = tuple(c[role] for c in counts)
+            if sum(x > 0 for x in vector) >= max(3, len(counts) / 2):
+                vectors[vector].add(role)
+        want[html_extraction.host_key(f"http://{name}.example/")] = {frozenset(c) for c in vectors.values() if len(c) >= 2}
+    got = {}
+    for r in html_extraction.deduce(table).collect():
+        got[r["host"]] = {frozenset(c) for c in html_extraction.Template(r["template"]).classes.values()}
+    assert got == want
