@@ -4,22 +4,38 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Paths of the tables written by this process that are still there.
+WRITTEN: list[str] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a local one only where that is unset."""
+    """The folder named by ``spark.checkpoint.dir``; where that is unset, a local one for a local master, else an error."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    local = tempfile.mkdtemp(prefix="echotide-")
-    spark.conf.set("spark.checkpoint.dir", f"file://{local}")
-    return f"file://{local}"
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    local = f"file://{tempfile.mkdtemp(prefix='echotide-')}"
+    spark.conf.set("spark.checkpoint.dir", local)
+    return local
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    WRITTEN.append(path)
+    return path
+
+
+def files_of(root: str):
+    """The file system of a folder, and the folder's path in it."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(root if "://" in root or root.startswith("file:") else f"file://{root}")
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
@@ -30,15 +46,31 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    held = spark._jvm.org.apache.hadoop.fs.Path(path)
+    held.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(held, True)
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files of a materialised table that nothing reads any more."""
-    jvm = df.sparkSession._jvm
-    conf = df.sparkSession._jsparkSession.sessionState().newHadoopConf()
-    for parent in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(parent)
-        path.getFileSystem(conf).delete(path, True)
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        _delete(df.sparkSession, path)
+        WRITTEN[:] = [p for p in WRITTEN if p.split(":", 1)[-1].lstrip("/") != path.split(":", 1)[-1].lstrip("/")]
+
+
+@contextmanager
+def cleared(spark: SparkSession) -> Iterator[None]:
+    """Deletes the tables written inside; one that is to outlast it gets its path before."""
+    before = set(WRITTEN)
+    yield
+    for path in [p for p in WRITTEN if p not in before]:
+        _delete(spark, path)
+        WRITTEN.remove(path)
 
 
 def small_batches(spark: SparkSession, size: str = "4m") -> None:
-    """Hold Arrow batches to a few megabytes, so that long texts fit a Python worker."""
+    """Hold Arrow batches to a few megabytes, so that long texts fit a Python worker.
+
+    The setting stays with the session, as it must still hold when the caller runs the lazy result.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)

@@ -3,8 +3,9 @@
 Texts are normalised by lower-casing A-Z and keeping words, runs of digits,
 letters a-z and characters beyond ASCII.  Every run of ``window`` consecutive
 words of a benchmark item (the whole item, if it has fewer) is a pattern.  One
-automaton over all patterns scans a document once; the offsets of its matches
-are mapped back to words, and words to code points of the original text.
+automaton over all patterns, whose letters are the numbers of the items' words,
+scans a document once; the offsets of its matches are words of the document, and
+those are mapped back to code points of the original text.
 
 Defined results: a null or empty text has no words and no hits; an item
 without words, or with a null id, gives no pattern; items that share a pattern
@@ -12,22 +13,25 @@ are all reported; rows that repeat a doc_id are scanned and returned
 separately; columns other than the id and the text are ignored.  An empty
 benchmark leaves every document without hits.
 
-Scale: documents are scanned in place, without a shuffle.  Patterns go to the
-executors in blocks of at most ``block_chars`` pattern characters, whatever the
-size of the benchmark; each further block is one more scan.
+Scale: documents are scanned in place, once, without a shuffle.  The automaton is
+built once, on the driver, written to the shared folder and loaded once by each
+Python worker.  It has at most ``window`` nodes for each word of the benchmark,
+whatever the words' length, some 50 bytes each: 20 million characters of patterns
+take about 150 MB.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
-from bisect import bisect_right
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import materialise, small_batches
+from ._store import files_of, fresh_path, small_batches
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _LOWER = {c: c + 32 for c in range(65, 91)}
@@ -42,62 +46,52 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(_FOLD).split() if text else []
 
 
-def patterns_of(text: str | None, window: int) -> list[bytes]:
-    words = words_of(text)
-    if not words:
-        return []
-    return [b" %b " % b" ".join(words[i : i + window]) for i in range(max(1, len(words) - window + 1))]
-
-
-def pattern_blocks(
-    items: Iterable[tuple[str, str | None]], window: int, block_chars: int
-) -> Iterator[dict[str, tuple[tuple[str, ...], int]]]:
-    """Blocks of {pattern: (its items, its words)}, each of about ``block_chars`` characters at most."""
-    block: dict[str, tuple[tuple[str, ...], int]] = {}
-    chars = 0
-    for item, text in items:
-        for pattern in patterns_of(text, window):
-            key = pattern.decode("latin-1")
-            owners, n = block.get(key, ((), pattern.count(b" ") - 1))
-            if item not in owners:
-                block[key] = (*owners, item), n
-            chars += len(key)
-        if chars >= block_chars:
-            yield block
-            block, chars = {}, 0
-    if block:
-        yield block
-
-
-def automaton_of(block: dict[str, tuple[tuple[str, ...], int]]):
-    import ahocorasick
-
-    found = ahocorasick.Automaton()
-    for pattern, (owners, n) in block.items():
-        found.add_word(pattern, (owners, n))
-    found.make_automaton()
-    return found
-
-
-def scan(automaton, text: str | None) -> tuple[int, list[list[int]], set[str]]:
+def windows_of(words: list[bytes], window: int) -> list[tuple[bytes, ...]]:
+    """Every run of ``window`` consecutive words, or all of them if there are fewer."""
+    return [tuple(words[i : i + window]) for i in range(max(1, len(words) - window + 1))] if words else []
+
+
+class Patterns:
+    """One automaton over the windows of all items, its letters the numbers of the items' words.
+
+    A word that no item has is letter 0, which no window holds.
+    """
+
+    def __init__(self, items: Iterable[tuple[str, str | None]], window: int):
+        import ahocorasick
+
+        self.numbers: dict[bytes, int] = {}
+        self.owners: list[list[str]] = []
+        self.sizes: list[int] = []
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+        for item, text in items:
+            for run in windows_of(words_of(text), window):
+                key = tuple(self.numbers.setdefault(w, len(self.numbers) + 1) for w in run)
+                at = self.automaton.get(key, None)
+                if at is None:
+                    self.automaton.add_word(key, len(self.owners))
+                    self.owners.append([item])
+                    self.sizes.append(len(key))
+                elif self.owners[at][-1] != item:  # items come in order
+                    self.owners[at].append(item)
+        if self.owners:
+            self.automaton.make_automaton()
+
+
+def scan(patterns: Patterns, text: str | None) -> tuple[int, list[list[int]], set[str]]:
     """Number of words, hit runs of words as [first, end), and the items that occur."""
     words = words_of(text)
     runs: list[list[int]] = []
     items: set[str] = set()
-    if not words or automaton is None:
-        return len(words), runs, items
-    line = (b" %b " % b" ".join(words)).decode("latin-1")
-    found = [(end, owners, n) for end, (owners, n) in automaton.iter(line)]
-    if not found:
+    if not words or not patterns.owners:
         return len(words), runs, items
-    starts, at = [], 1
-    for w in words:
-        starts.append(at)
-        at += len(w) + 1
-    for end, owners, n in found:
-        items.update(owners)
-        last = bisect_right(starts, end - 1)  # the match ends on the space behind its last word
-        runs.append([last - n, last])
+    number = patterns.numbers.get
+    hits: set[int] = set()
+    for end, at in patterns.automaton.iter(tuple([number(w, 0) for w in words])):
+        hits.add(at)
+        runs.append([end + 1 - patterns.sizes[at], end + 1])
+    for at in hits:
+        items.update(patterns.owners[at])
     return len(words), merged(runs), items
 
 
@@ -119,33 +113,42 @@ def spans_in(text: str | None, runs: list[list[int]]) -> list[dict[str, int]]:
     return [{"start": at[a][0], "end": at[b - 1][1]} for a, b in runs]
 
 
-_RUNS = pa.list_(pa.list_(pa.int64()))
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
-def _scanner(block: dict[str, tuple[tuple[str, ...], int]], last: bool, passed: list[str]):
-    """Scans for one block; the last scan gives the result, others add to what is known.  ``passed`` go along."""
+def _save(patterns: Patterns, folder: str) -> str:
+    """Writes the automaton to the shared folder and returns its path."""
+    files, path = files_of(folder)
+    files.create_dir(path, recursive=True)
+    with files.open_output_stream(f"{path}/patterns.pickle", compression="zstd") as out:
+        pickle.dump(patterns, out, protocol=5)
+    return f"{folder}/patterns.pickle"
+
+
+@lru_cache(maxsize=1)
+def _load(path: str) -> Patterns:
+    """The automaton of a path; a worker keeps the last one over all its tasks."""
+    files, at = files_of(path)
+    with files.open_input_stream(at, compression="zstd") as held:
+        return pickle.loads(held.read())
+
+
+def _scanner(path: str, passed: list[str]):
+    """Scans with the automaton of ``path``; columns ``passed`` go along."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = automaton_of(block) if block else None
+        patterns = _load(path)
         for batch in batches:
-            known = {c: batch.column(c).to_pylist() for c in ("text", "runs", "items")}
-            n_words, runs, items = [], [], []
-            for text, old_runs, old_items in zip(*known.values(), strict=True):
-                n, got, ids = scan(automaton, text)
-                n_words.append(n)
-                runs.append(merged([*(old_runs or []), *got]))
-                items.append(sorted({*(old_items or []), *ids}))
-            out = {"doc_id": batch.column("doc_id"), "n_words": pa.array(n_words, pa.int64())}
-            if last:
-                out["n_hit"] = pa.array([sum(b - a for a, b in r) for r in runs], pa.int64())
-                out["items"] = pa.array(items, pa.list_(pa.string()))
-                spans = [spans_in(t, r) for t, r in zip(known["text"], runs, strict=True)]
-                out["spans"] = pa.array(spans, _SPANS)
-            else:
-                out["text"] = batch.column("text")
-                out["runs"] = pa.array(runs, _RUNS)
-                out["items"] = pa.array(items, pa.list_(pa.string()))
+            texts = batch.column("text").to_pylist()
+            found = [scan(patterns, t) for t in texts]
+            spans = [spans_in(t, r) for t, (_, r, _) in zip(texts, found, strict=True)]
+            out = {
+                "doc_id": batch.column("doc_id"),
+                "n_words": pa.array([n for n, _, _ in found], pa.int64()),
+                "n_hit": pa.array([sum(b - a for a, b in r) for _, r, _ in found], pa.int64()),
+                "items": pa.array([sorted(i) for _, _, i in found], pa.list_(pa.string())),
+                "spans": pa.array(spans, _SPANS),
+            }
             yield pa.RecordBatch.from_pydict(out | {c: batch.column(c) for c in passed})
 
     return run
@@ -161,7 +164,6 @@ def decontaminate(
     item_text_col: str = "text",
     window: int = 8,
     min_items: int = 2,
-    block_chars: int = 2_000_000,
     keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """Per document: doc_id, n_words, n_hit, items, n_items, spans, contaminated, and the columns ``keep``.
@@ -178,25 +180,17 @@ def decontaminate(
         .orderBy("item", "text")
     )
     id_type = docs.select(F.col(id_col).alias("doc_id")).schema["doc_id"].dataType.simpleString()
-    head = f"doc_id {id_type}, n_words bigint"
     passed = {f"kept_{k}": c for k, c in enumerate(keep)}
     tail = "".join(f", {k} {docs.schema[c].dataType.simpleString()}" for k, c in passed.items())
     rows = docs.select(
         F.col(id_col).alias("doc_id"),
         *[F.col(f"`{c}`").alias(k) for k, c in passed.items()],
         F.col(text_col).alias("text"),
-        F.lit(None).cast("array<array<bigint>>").alias("runs"),
-        F.lit(None).cast("array<string>").alias("items"),
     )
-    stream = ((r["item"], r["text"]) for r in known.toLocalIterator())
-    blocks = pattern_blocks(stream, window, block_chars)
-    block = next(blocks, {})
-    for following in blocks:
-        state = f"{head}, text string, runs array<array<bigint>>, items array<string>{tail}"
-        rows = materialise(rows.mapInArrow(_scanner(block, False, [*passed]), state), "decontamination")
-        block = following
-    result = f"{head}, n_hit bigint, items array<string>, spans array<struct<start: bigint, end: bigint>>{tail}"
-    found = rows.mapInArrow(_scanner(block, True, [*passed]), result)
+    patterns = Patterns(((r["item"], r["text"]) for r in known.toLocalIterator()), window)
+    path = _save(patterns, fresh_path(spark, "patterns"))
+    result = f"doc_id {id_type}, n_words bigint, n_hit bigint, items array<string>, spans array<struct<start: bigint, end: bigint>>{tail}"
+    found = rows.mapInArrow(_scanner(path, [*passed]), result)
     n_items = F.size("items").cast("bigint")
     own = ["doc_id", "n_words", "n_hit", "items", "spans", n_items.alias("n_items"), (n_items >= min_items).alias("contaminated")]
     return found.select(*own, *[F.col(k).alias(c) for k, c in passed.items() if c != "doc_id"])

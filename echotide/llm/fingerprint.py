@@ -1,15 +1,16 @@
 """Document fingerprints by a homomorphic multiset hash of paragraphs.
 
-A paragraph, the text between two line ends, is hashed to a wide vector: eight
-lanes of 32 bits, all filled, and ten groups of 64 lanes of 16 bits.  The first
-group takes every paragraph, each further one the quarter of the one before whose
-hash is least; a hash fills one lane of a group that takes it.  A document's fingerprint is the sum of its paragraphs' vectors, each lane
-modulo the power of two of its width.  It does not depend on the order of the
-paragraphs, equal texts have equal fingerprints, and paragraphs are inserted or
-deleted by adding or subtracting their vectors.
+A paragraph, the text between two line ends, is hashed to a wide vector: 192 lanes
+of 20 bits, all filled, three to a word of 64 bits, and ten groups of 64 lanes of
+16 bits.  The first group takes every paragraph, each further one the quarter of
+the one before whose hash is least; a hash fills one lane of a group that takes it.
+A document's fingerprint is the sum of its paragraphs' vectors, each lane modulo
+the power of two of its width.  It does not depend on the order of the paragraphs,
+equal texts have equal fingerprints, and paragraphs are inserted or deleted by
+adding or subtracting their vectors.
 
 The filled lanes decide equality.  Likeness compares the finest group of the others
-that is not crowded (at most 44 lanes hold something in either fingerprint; the last,
+that is not crowded (at most 56 lanes hold something in either fingerprint; the last,
 if all are): the numbers of differing and of all paragraphs follow from the shares
 of lanes that differ and that hold something, and likeness is 1 less their quotient,
 an estimate of the share of distinct paragraphs that both texts have, as often.  It
@@ -18,24 +19,26 @@ some 16 million paragraphs.
 
 Defined results: a null text is the empty text, which is one empty paragraph;
 rows with a null id follow all others and rows that repeat an id follow one
-another in order of their texts; in a table of one row the row follows itself; an
-empty table gives an empty table; other columns are ignored.
+another in order of the first 64 characters, then a hash, of their texts; in a table of one row the row follows
+itself; an empty table gives an empty table; other columns are ignored.
 
-Scale: fingerprints are native expressions over one row.  The next document is
-found in one shuffle: ids are cut at quantiles into ranges, each range also takes
-the rows at the end of its neighbour, and a window runs within a range.
+Scale: fingerprints are native expressions over one row.  To find the next
+document, ids alone are put in order and numbered; texts are shuffled by id, where
+rows equal in id and text become one, and once more to blocks of neighbours.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DENSE, DENSE_BITS = 8, 32
+from ._order import placed
+
+#: Words of three filled lanes each: lane i of a word stands from bit 21 i, with a spare bit above it for the carry.
+DENSE, LANE_BITS = 64, 20
+LANES = sum(((1 << LANE_BITS) - 1) << (LANE_BITS + 1) * i for i in range(3))
 SPARSE, SPARSE_BITS = 64, 16
-GROUPS, CROWDED = 10, 44
+GROUPS, CROWDED = 10, 56
 
 
 def _lane(root: Column, salt: int, modulus: int) -> Column:
@@ -50,10 +53,11 @@ def paragraph_roots(text: Column) -> Column:
 def vector(roots: Column) -> Column:
     """The summed lanes of paragraphs given by their digests, the filled ones first."""
     zero = F.lit(0).cast("bigint")
-    wide, narrow = 1 << DENSE_BITS, 1 << SPARSE_BITS
+    narrow = 1 << SPARSE_BITS
 
     def filled(i: int) -> Column:
-        return F.aggregate(roots, zero, lambda total, r: F.pmod(total + _lane(r, i, wide), F.lit(wide)))
+        drawn = lambda r: F.xxhash64(r, F.lit(i)).bitwiseAND(F.lit(LANES))
+        return F.aggregate(roots, zero, lambda total, r: (total + drawn(r)).bitwiseAND(F.lit(LANES)))
 
     dense = [filled(i) for i in range(DENSE)]
     least = 4 ** (GROUPS - 1)
@@ -91,9 +95,12 @@ def vector(roots: Column) -> Column:
 
 def _moved(fingerprint: Column, roots: Column, sign: int) -> Column:
     change = F.arrays_zip(fingerprint.alias("a"), vector(roots).alias("b"))
+    # less a lane is plus its complement and one, lane by lane
+    ones = F.lit(sum(1 << (LANE_BITS + 1) * i for i in range(3)))
+    less = lambda b: (F.lit(LANES) - b + ones).bitwiseAND(F.lit(LANES))
+    dense = lambda x: (x["a"] + (x["b"] if sign > 0 else less(x["b"]))).bitwiseAND(F.lit(LANES))
     return F.transform(
-        change,
-        lambda x, i: F.pmod(x["a"] + sign * x["b"], F.when(i < DENSE, F.lit(1 << DENSE_BITS)).otherwise(1 << SPARSE_BITS)),
+        change, lambda x, i: F.when(i < DENSE, dense(x)).otherwise(F.pmod(x["a"] + sign * x["b"], F.lit(1 << SPARSE_BITS)))
     )
 
 
@@ -108,7 +115,7 @@ def deleted(fingerprint: Column, text: Column) -> Column:
 
 
 def as_hex(lanes: Column) -> Column:
-    wide = F.transform(F.slice(lanes, 1, DENSE), lambda x: F.lpad(F.lower(F.hex(x)), DENSE_BITS // 4, "0"))
+    wide = F.transform(F.slice(lanes, 1, DENSE), lambda x: F.lpad(F.lower(F.hex(x)), 16, "0"))
     narrow = F.transform(F.slice(lanes, DENSE + 1, GROUPS * SPARSE), lambda x: F.lpad(F.lower(F.hex(x)), SPARSE_BITS // 4, "0"))
     return F.concat(F.array_join(wide, ""), F.array_join(narrow, ""))
 
@@ -144,76 +151,80 @@ def likeness(a: Column, b: Column) -> Column:
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, text (null as empty) and its fingerprint as lanes."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return rows.withColumn("roots", paragraph_roots(F.col("text"))).select(
-        "doc_id", "text", vector(F.col("roots")).alias("lanes")
-    )
-
+    return rows.withColumn("roots", paragraph_roots(F.col("text"))).select("doc_id", "text", vector(F.col("roots")).alias("lanes"))
 
-def _below(held: Column, bounds: list, value: Column) -> Column:
-    """How many of the bounds, in order, are less than the value: first among every step-th, then among the step's."""
-    step = math.isqrt(len(bounds)) + 1
-    coarse = F.array(*[F.lit(b) for b in bounds[step - 1 :: step]]) if len(bounds) >= step else None
-    skipped = F.lit(0) if coarse is None else step * F.size(F.filter(coarse, lambda b: b < value))
-    return skipped + F.size(F.filter(F.slice(held, skipped + 1, step), lambda b: b < value))
 
+def with_next(docs: DataFrame, *, id_col: str, text_col: str, range_rows: int) -> DataFrame:
+    """Per distinct id and text: doc_id, text, copies (rows that have both) and next_text.
 
-def with_next(rows: DataFrame, *, id_col: str, tie_col: str, carry: list[str], range_rows: int) -> DataFrame:
-    """Adds ``next_<c>`` for each column c of ``carry``: that of the next row in descending id, after the last the first's.
-
-    Ranges take about ``range_rows`` rows each, but there are at most 16,384 of them.
+    The next is that in descending id, then by the start and a hash of the text; after the last comes the first.  Blocks hold ``range_rows``
+    neighbours each, and the first of a block also goes to the block before.
     """
-    ranges = min(16384, max(64, -(-rows.count() // range_rows)))
-    cuts = [k / ranges for k in range(1, ranges)] + [1.0]
-    found = rows.agg(F.percentile_approx(id_col, cuts, 20 * ranges).alias("cuts"), F.max(id_col).alias("top")).first()
-    bounds = sorted({*(found["cuts"] or []), *([found["top"]] if found["top"] is not None else [])})
-    if not bounds:
-        bounds = [0]
-    last = len(bounds) - 1
-    held = F.array(*[F.lit(b) for b in bounds])
-    home = _below(held, bounds, F.col(id_col))
-    at_edge = F.col(id_col) == F.get(held, home)
-    spare = F.struct((home + 1).alias("range"), F.lit(1).alias("spare"))
-    wrapped = F.struct(F.lit(0).alias("range"), F.lit(2).alias("spare"))
-    own = F.struct(home.alias("range"), F.lit(0).alias("spare"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    key = F.coalesce(F.concat(F.lit("="), F.col(id_col).cast("string")), F.lit(""))
+    rows = docs.select(key.alias("key"), F.xxhash64(text).alias("tie"), F.col(id_col).alias("doc_id"), text.alias("text"))
+    ids = rows.groupBy("key", "tie").agg(F.first("doc_id").alias("doc_id"), F.min(F.substring("text", 1, 64)).alias("head"))
+    order = [F.col("doc_id").desc_nulls_last(), F.col("key"), F.col("head"), F.col("tie")]
+    places = placed(ids, order).select("key", "tie", "place", "places")
+    distinct = rows.groupBy("key", "tie").agg(
+        F.first("doc_id").alias("doc_id"), F.first("text").alias("text"), F.count("*").alias("copies")
+    )
+    at = distinct.join(places.hint("shuffle_merge"), ["key", "tie"]).drop("key", "tie")
+    home = F.floor(F.col("place") / range_rows)
+    last = F.floor((F.col("places") - 1) / range_rows)
+    own = F.struct(home.alias("block"), F.col("place").alias("at"), F.lit(False).alias("spare"))
+    before = F.struct((home - 1).alias("block"), F.col("place").alias("at"), F.lit(True).alias("spare"))
+    around = F.struct(last.alias("block"), F.col("places").alias("at"), F.lit(True).alias("spare"))
     targets = (
-        F.when(at_edge & (home < last), F.array(own, spare))
-        .when(at_edge | F.lit(found["top"] is None), F.array(own, wrapped))
+        F.when(F.col("place") == 0, F.array(own, around))
+        .when(F.col("place") % range_rows == 0, F.array(own, before))
         .otherwise(F.array(own))
     )
-    dealt = rows.withColumn("target", F.explode(targets))
-    order = Window.partitionBy("target.range").orderBy(
-        F.when(F.col("target.spare") == 2, 1).otherwise(0), F.col(id_col).desc_nulls_last(), F.col("target.spare"), tie_col
-    )
-    nexts = [F.lead(c).over(order).alias(f"next_{c}") for c in carry]
-    return dealt.select("*", *nexts).where("target.spare = 0").drop("target")
+    dealt = at.withColumn("target", F.explode(targets)).drop("place", "places")
+    order = Window.partitionBy("target.block").orderBy("target.at")
+    return dealt.withColumn("next_text", F.lead("text").over(order)).where(~F.col("target.spare")).drop("target")
 
 
-def compare_edited(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", range_rows: int = 1000
-) -> DataFrame:
+def compare_edited(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", range_rows: int = 1000) -> DataFrame:
     """Per row: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
     The edited text has its last floor(n_chars/2) code points replaced by the
     first as many, or all, of the next document's.
     """
-    rows = with_next(
-        fingerprints(docs, id_col=id_col, text_col=text_col),
-        id_col="doc_id",
-        tie_col="text",
-        carry=["text", "lanes"],
-        range_rows=range_rows,
-    )
+    rows = with_next(docs, id_col=id_col, text_col=text_col, range_rows=range_rows)
+    # of rows equal in id and text each but the last is followed by its like
+    follows = F.when(F.col("copies") > 1, F.array(F.struct(F.lit(1).alias("rows"), F.col("next_text").alias("next")),
+                                                  F.struct((F.col("copies") - 1).cast("int").alias("rows"), F.col("text").alias("next"))))
+    follows = follows.otherwise(F.array(F.struct(F.lit(1).alias("rows"), F.col("next_text").alias("next"))))
+    rows = rows.withColumn("follow", F.explode(follows))
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
-    edited = F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half))
-    compared = rows.select("doc_id", n.cast("bigint").alias("n_chars"), "lanes", "next_lanes", edited.alias("edited"))
-    compared = compared.withColumn("roots", paragraph_roots(F.col("edited"))).withColumn("edited_lanes", vector(F.col("roots")))
-    return compared.select(
+    after = F.col("follow.next")
+    edited = F.concat(F.substring("text", F.lit(1), n - half), F.substring(after, F.lit(1), half))
+    compared = rows.select(
+        "doc_id",
+        n.cast("bigint").alias("n_chars"),
+        F.col("follow.rows").alias("rows"),
+        edited.alias("edited"),
+        paragraph_roots(F.col("text")).alias("roots"),
+        paragraph_roots(after).alias("next_roots"),
+    )
+    compared = compared.withColumn("edited_roots", paragraph_roots(F.col("edited")))
+    compared = compared.select(
         "doc_id",
         "n_chars",
+        "rows",
         F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        *[vector(F.col(f"{c}roots")).alias(f"{c}lanes") for c in ("", "edited_", "next_")],
+    )
+    result = compared.select(
+        "doc_id",
+        "n_chars",
+        "edited_sha256",
         as_hex(F.col("lanes")).alias("fingerprint"),
         as_hex(F.col("edited_lanes")).alias("edited_fingerprint"),
         likeness(F.col("lanes"), F.col("edited_lanes")).alias("near_edited"),
         likeness(F.col("lanes"), F.col("next_lanes")).alias("near_next"),
+        "rows",
     )
+    return result.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("rows")))).drop("copy", "rows")

@@ -10,9 +10,10 @@ Folding lower-cases letters and turns runs of other characters into one space,
 so that digits, marks and shouting do not count.  Long texts are compressed in
 pieces of ``piece`` bytes and all pieces count.
 
-Training takes a bounded sample: for each language as many whole texts, chosen by
-a hash of their ids, as fill ``dictionary`` bytes; at most ``sample_docs``
-documents of a language are looked at.
+Training takes a bounded sample: of each language the ``sample_docs`` documents
+that come first by a hash of their ids, and of these, in that order, the texts that
+fit what is left of ``dictionary`` bytes, whole.  A text longer than ``dictionary``
+counts as pieces of ``STRETCH`` bytes, spread evenly over all of it, that fill it.
 
 Defined results: ``und`` with score 0 for a null text, for one without a letter,
 and for every text if no language was learned; rows without a language are not
@@ -25,24 +26,34 @@ is ``dictionary`` bytes for each language.
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import regex
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._store import small_batches
 
 UNDETERMINED = "und"
-_LETTER = re.compile(r"[^\W\d_]")
-_OTHER = re.compile(r"[\W\d_]+")
+_LETTER = regex.compile(r"\p{L}")
+_OTHER = regex.compile(r"\P{L}+")
+STRETCH = 256
 
 
 def folded(text: str) -> bytes:
     return _OTHER.sub(" ", text.lower()).strip().encode("utf-8", "surrogatepass")
 
 
+def spread(data: bytes, size: int) -> bytes:
+    """All of the data if it fits the size, else stretches of it, evenly over its whole length."""
+    if len(data) <= size:
+        return data
+    n = max(1, size // STRETCH)
+    last = len(data) - size // n
+    return b"".join(data[at : at + size // n] for at in (last * k // max(1, n - 1) for k in range(n)))
+
+
 class Dictionaries:
     """Compressors for the learned languages, in order."""
 
@@ -88,28 +99,34 @@ def train(
     small_batches(docs.sparkSession)
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     known = known if learn is None else known.where(learn)
-    draw = F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(1_000_000))
+    draw = F.xxhash64(F.col(id_col), F.lit(seed))
     rows = known.select(
         draw.alias("draw"), F.col(id_col).cast("string").alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")
     )
-    totals = {r["lang"]: r["n"] for r in known.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n")).collect()}
-    chosen = F.lit(False)
+    totals = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    drawn = F.lit(False)  # a share of all 64-bit numbers, with some to spare; what is over is cut below
     for lang, n in totals.items():
-        chosen = chosen | ((F.col("lang") == lang) & (F.col("draw") < int(min(1.0, sample_docs / n) * 1_000_000) + 1))
-    found: dict[str, list[tuple[int, str, bytes]]] = {lang: [] for lang in totals}
+        bound = min((1 << 63) - 1, -(1 << 63) + int((2 * sample_docs + 50) / n * (1 << 64)))
+        drawn = drawn | ((F.col("lang") == lang) & (F.col("draw") <= bound))
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [folded(t)[:dictionary] for t in batch.column("text").to_pylist()]
+            texts = [spread(folded(t), dictionary) for t in batch.column("text").to_pylist()]
             columns = [batch.column(c) for c in ("draw", "doc_id", "lang")]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(texts, pa.binary())], ["draw", "doc_id", "lang", "text"])
 
-    sample = rows.where(chosen).mapInArrow(fold, "draw bigint, doc_id string, lang string, text binary")
+    some = rows.where(drawn).mapInArrow(fold, "draw bigint, doc_id string, lang string, text binary")
+    first = Window.partitionBy("lang").orderBy("draw", "doc_id", "text")
+    sample = some.withColumn("place", F.row_number().over(first)).where(F.col("place") <= sample_docs)
+    found: dict[str, list[tuple[int, bytes]]] = {lang: [] for lang in totals}
     for r in sample.toLocalIterator():
-        found[r["lang"]].append((r["draw"], r["doc_id"], bytes(r["text"])))
+        found[r["lang"]].append((r["place"], bytes(r["text"])))
     contents = {}
     for lang, texts in found.items():
-        joined = b" ".join(t for _, _, t in sorted(texts, key=lambda x: (x[0], x[1] or "", x[2])))[:dictionary]
+        joined = b""
+        for _, t in sorted(texts):
+            if t and len(joined) + len(t) < dictionary + (not joined):
+                joined += b" " * bool(joined) + t
         if len(joined) >= 8:
             contents[lang] = joined
     return contents

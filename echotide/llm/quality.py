@@ -6,9 +6,8 @@ max-pooled over the chunk, and the mean and the maximum over all chunks go
 through one hidden layer into one probability.
 
 The network is trained on the driver, from a bounded sample of the labelled
-rows: ``Settings.sample_docs`` documents, chosen by a hash of their ids, each
-with ``Settings.sample_chunks`` chunks spread evenly over the whole text.  A
-score sees the text alone.
+rows: ``Settings.sample_docs`` documents, chosen by a hash of their ids, each with
+all its chunks.  A score sees the text alone.
 
 Defined results: a null text is the empty text, which is one chunk of padding
 and is scored like any other; labels that are null, or whose document is
@@ -17,7 +16,8 @@ without labels of both classes every score is the share of class 1 (1/2 if
 there are none); other columns are ignored.
 
 Scale: scoring is a map over the documents, without a shuffle; memory follows
-``Settings.block`` chunks and one text.
+``Settings.block`` chunks and one text.  Training holds the sampled texts, and
+works on ``Settings.block`` chunks at a time.
 """
 
 from __future__ import annotations
@@ -44,23 +44,20 @@ class Settings:
     hidden: int = 16
     block: int = 256
     sample_docs: int = 2500
-    sample_chunks: int = 8
     epochs: int = 8
     batch: int = 32
     rate: float = 0.005
     seed: int = 17
 
 
-def chunks_of(text: str | None, s: Settings, most: int | None = None) -> np.ndarray:
-    """The chunks of a text as rows of byte codes; 256 is padding.  ``most`` spreads as many evenly."""
+def chunks_of(text: str | None, s: Settings) -> np.ndarray:
+    """The chunks of a text as rows of byte codes; 256 is padding."""
     data = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
     if len(data) < s.chunk:
         row = np.full((1, s.chunk), 256, np.int16)
         row[0, : len(data)] = data
         return row
     starts = np.append(np.arange(0, len(data) - s.chunk, s.step), len(data) - s.chunk)
-    if most and len(starts) > most:
-        starts = starts[np.linspace(0, len(starts) - 1, most).astype(int)]
     return np.lib.stride_tricks.sliding_window_view(data, s.chunk)[starts].astype(np.int16)
 
 
@@ -114,8 +111,8 @@ class Network:
             total, top = total + part.sum(axis=0), np.maximum(top, part.max(axis=0))
         return float(self.head(np.concatenate([total / len(chunks), top]))) if len(chunks) else 0.0
 
-    def fit(self, examples: list[tuple[np.ndarray, int]]) -> Network:
-        """Adam on the log loss, both classes weighing alike."""
+    def fit(self, examples: list[tuple[str | None, int]]) -> Network:
+        """Adam on the log loss of texts and labels, both classes weighing alike."""
         s = self.settings
         labels = np.array([y for _, y in examples], np.float32)
         if len(set(labels.tolist())) < 2:
@@ -131,7 +128,7 @@ class Network:
             order = rng.permutation(len(examples))
             for at in range(0, len(order), s.batch):
                 picked = order[at : at + s.batch]
-                grads = self._gradients([examples[i][0] for i in picked], labels[picked], weight[picked])
+                grads = self._gradients([chunks_of(examples[i][0], s) for i in picked], labels[picked], weight[picked])
                 turn += 1
                 rate = s.rate * (1 - (turn - 1) / turns)
                 for k, g in grads.items():
@@ -146,10 +143,14 @@ class Network:
         chunks = np.concatenate(docs)
         sizes = np.array([len(d) for d in docs])
         bounds = np.append(0, np.cumsum(sizes))
-        windows = self.windows(chunks)
-        responses = windows @ w["conv"]
-        where = responses.argmax(axis=1)
-        raw = np.take_along_axis(responses, where[:, None], axis=1)[:, 0] + w["conv_b"]
+        parts = [slice(i, i + s.block) for i in range(0, len(chunks), s.block)]
+        where = np.empty((len(chunks), s.filters), np.int32)
+        raw = np.empty((len(chunks), s.filters), w["conv"].dtype)
+        for part in parts:
+            responses = self.windows(chunks[part]) @ w["conv"]
+            where[part] = responses.argmax(axis=1)
+            raw[part] = np.take_along_axis(responses, where[part][:, None], axis=1)[:, 0]
+        raw += w["conv_b"]
         pooled = np.maximum(raw, 0)
         mean = np.add.reduceat(pooled, bounds[:-1]) / sizes[:, None]
         top_at = np.stack([a + pooled[a:b].argmax(axis=0) for a, b in zip(bounds[:-1], bounds[1:], strict=True)])
@@ -164,15 +165,19 @@ class Network:
         d_pooled = np.repeat(d_features[:, : s.filters] / sizes[:, None], sizes, axis=0)
         np.add.at(d_pooled, (top_at, np.arange(s.filters)), d_features[:, s.filters :])
         d_pooled *= raw > 0
-        rows = np.arange(len(chunks))[:, None]
-        taken = windows[rows, where]
-        d_windows = d_pooled[:, :, None] * w["conv"].T
-        codes = chunks[rows[:, :, None], (where * s.stride)[:, :, None] + np.arange(s.width)]
-        flat = d_windows.reshape(-1, s.embed)
-        d_embed = np.stack([np.bincount(codes.ravel(), flat[:, e], minlength=257) for e in range(s.embed)], axis=1)
+        d_embed, d_conv = np.zeros((257, s.embed)), np.zeros(w["conv"].shape)
+        for part in parts:
+            codes = np.take_along_axis(
+                chunks[part][:, None], (where[part] * s.stride)[:, :, None] + np.arange(s.width), axis=2
+            )  # of the window that each filter took
+            taken = w["embed"][codes].reshape(len(codes), s.filters, -1)
+            d_conv += np.einsum("cf,cfd->df", d_pooled[part], taken)
+            flat = (d_pooled[part][:, :, None] * w["conv"].T).reshape(-1, s.embed)
+            for e in range(s.embed):
+                d_embed[:, e] += np.bincount(codes.ravel(), flat[:, e], minlength=257)
         return {
             "embed": d_embed,
-            "conv": np.einsum("cf,cfd->df", d_pooled, taken),
+            "conv": d_conv,
             "conv_b": d_pooled.sum(axis=0),
             "hid": features.T @ d_hidden,
             "hid_b": d_hidden.sum(axis=0),
@@ -195,28 +200,16 @@ def train(
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(
         F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label")
     )
-    share = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(settings.seed)), F.lit(1_000_000))
+    draw = F.xxhash64(F.col("doc_id"), F.lit(settings.seed))
     total = known.count()
-    some = known.where(share < int(min(1.0, 1.2 * settings.sample_docs / max(1, total)) * 1_000_000))
-    some = some.orderBy(share, "doc_id", "label").limit(settings.sample_docs)
+    if total > 2 * settings.sample_docs:  # as a share of all 64-bit numbers, with some to spare
+        bound = -(1 << 63) + int(1.5 * settings.sample_docs / total * (1 << 64))
+        known = known.where(draw < bound)
+    some = known.orderBy(draw, "doc_id", "label").limit(settings.sample_docs)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    joined = rows.join(F.broadcast(some), "doc_id").select("doc_id", "label", "text")
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [chunks_of(t, settings, settings.sample_chunks) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "doc_id": batch.column("doc_id").cast(pa.string()),
-                    "label": batch.column("label"),
-                    "chunks": pa.array([c.tobytes() for c in found], pa.binary()),
-                }
-            )
-
-    got = joined.mapInArrow(cut, "doc_id string, label int, chunks binary").collect()
-    got.sort(key=lambda r: (r["doc_id"], r["label"], bytes(r["chunks"])))
-    examples = [(np.frombuffer(bytes(r["chunks"]), np.int16).reshape(-1, settings.chunk), r["label"]) for r in got]
-    return Network(settings).fit(examples)
+    got = rows.join(F.broadcast(some), "doc_id").select(F.col("doc_id").cast("string"), "label", "text").collect()
+    got.sort(key=lambda r: (r["doc_id"], r["label"], r["text"] or ""))
+    return Network(settings).fit([(r["text"], r["label"]) for r in got])
 
 
 def score(docs: DataFrame, network: Network, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._store import fresh_path, small_batches
+from ._store import files_of, fresh_path, small_batches
 
 _RECORDS = uuid.UUID("6c0f9b52-6c7e-5d0a-9d5c-2f0c7a6a7f11")
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -46,13 +46,6 @@ _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 _MANIFEST = "file string, first string, last string, records bigint, bytes bigint, sha256 string"
 
 
-def _files(root: str):
-    """The file system of a folder, and the folder's path in it."""
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(root if "://" in root or root.startswith("file:") else f"file://{root}")
-
-
 def classify(pages: DataFrame, *, id_col: str, url_col: str, payload_col: str, revisit_from: int) -> DataFrame:
     """Records (kind 1: page_id, url, payload, digest) and notices (kind 0: page_id, digest, refers_to).
 
@@ -113,7 +106,7 @@ class _Roll:
     """Files of one task: opened under a temporary name, renamed when complete."""
 
     def __init__(self, root: str, part: int, roll_bytes: int):
-        self.files, self.folder = _files(root)
+        self.files, self.folder = files_of(root)
         self.part, self.roll_bytes, self.number = part, roll_bytes, 0
         self.sink = None
 
@@ -161,7 +154,7 @@ def write(
     """Writes the archive to ``root`` and returns its manifest, which is also kept there."""
     spark = pages.sparkSession
     small_batches(spark)
-    files, folder = _files(root)
+    files, folder = files_of(root)
     files.create_dir(posixpath.join(folder, "_temporary"), recursive=True)
     rows = classify(pages, id_col=id_col, url_col=url_col, payload_col=payload_col, revisit_from=revisit_from)
     parts = [ranges] if ranges else []
@@ -226,7 +219,7 @@ def read(spark: SparkSession, root: str, *, id_type: str = "bigint", payloads: b
     as_is = (lambda x: int(x)) if id_type in ("bigint", "int", "smallint", "tinyint") else (lambda x: x)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        files, folder = _files(root)
+        files, folder = files_of(root)
         for batch in batches:
             for name in batch.column("file").to_pylist():
                 with files.open_input_stream(posixpath.join(folder, name), compression=None) as stream:

@@ -55,10 +55,9 @@ def items(texts):
     ]
 
 
-@pytest.mark.parametrize("block_chars", [2_000_000, 60])
-def test_matches_brute_force(spark, docs, texts, items, block_chars):
+def test_matches_brute_force(spark, docs, texts, items):
     table = spark.createDataFrame([(i, t, 0) for i, t in items], ITEMS)
-    got = decontamination.decontaminate(docs, table, block_chars=block_chars).collect()
+    got = decontamination.decontaminate(docs, table).collect()
     rows = [(r.doc_id, r.n_words, r.n_hit, tuple(r["items"]), tuple((s.start, s.end) for s in r.spans)) for r in got]
     assert sorted(rows, key=str) == brute(texts, items, 8)
     assert all(r.contaminated == (r.n_items >= 2) and r.n_items == len(r["items"]) for r in got)
@@ -73,7 +72,24 @@ def test_empty_tables(spark, docs, no_docs):
 
 def test_columns_go_along(spark, docs, items):
     table = spark.createDataFrame([(i, t, 0) for i, t in items], ITEMS)
-    got = decontamination.decontaminate(docs, table, block_chars=60, keep=("doc_id", "text", "bucket", "digest"))
+    got = decontamination.decontaminate(docs, table, keep=("doc_id", "text", "bucket", "digest"))
     assert sorted((str(r.doc_id), r.text, r.bucket) for r in got.collect() if r.text) == sorted(
         (str(r.doc_id), r.text, r.bucket) for r in docs.collect() if r.text
     )
+
+
+def test_large_benchmark(spark):
+    """Twenty million characters of patterns are one automaton and one scan of the documents."""
+    import random
+
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(5000)]
+    items = [(i, " ".join(rng.choice(words) for _ in range(120))) for i in range(3300)]
+    size = sum(len(" ".join(w)) for _, t in items for w in zip(*(t.split()[k:] for k in range(8)), strict=False))
+    assert size > 20_000_000
+    texts = [(i, f"clean words {' '.join(t.split()[i % 100 : i % 100 + 8 - i % 2])} and more") for i, t in items[:400]]
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string")
+    got = decontamination.decontaminate(docs, spark.createDataFrame(items, "item_id bigint, text string"))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Exchange" not in plan
+    assert {r.doc_id: list(r["items"]) for r in got.collect()} == {i: [str(i)] if i % 2 == 0 else [] for i, _ in texts}
