@@ -11,9 +11,10 @@ agree on at least two of them.  A shard is one pair of blocks and its value; eac
 shard builds a BK-tree, whose children are keyed by their distance to the parent,
 and a search follows only the edges within the radius of its own distance.  The
 links found in a shard are reduced to a spanning forest before they leave it.
-Trees are not broadcast: all trees together grow with the corpus, so fingerprints
-travel to the shards that may hold a neighbour.  Components follow from
-alternating large-star and small-star steps over the forests' edges.
+Trees are not broadcast: all trees together grow with the corpus, and every
+fingerprint would have to ask every one of them (figures in the README), so
+fingerprints travel to the shards that may hold a neighbour.  Components follow
+from alternating large-star and small-star steps over the forests' edges.
 
 Defined results: a null text is the empty text; rows that repeat an id are linked
 by their own fingerprints; a row with a null id belongs to the component of its
@@ -21,8 +22,10 @@ fingerprint, which has a null id if no row of it has one; an empty table gives a
 empty table; other columns are ignored.
 
 Scale: equal fingerprints collapse before any search, whatever the size of their
-group.  A shard of more than ``shard_size`` members is searched in blocks: every
-member queries one tree of at most that size in each of its tasks.
+group.  A shard of more than ``shard_size`` members is split by further bits: what
+it leaves free is cut into radius+1 blocks, and two members within the radius agree
+on at least one of them, so each member goes to radius+1 smaller shards, again and
+again until they fit or too few bits are free to matter.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ import itertools
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._store import discard, materialise, small_batches
@@ -150,37 +153,56 @@ def _signed(x: int) -> int:
     return x - (x >> 63 << 64)
 
 
+def _finer(mask: int, radius: int) -> list[int]:
+    """The masks that add to ``mask`` one of radius+1 blocks of the bits it leaves free."""
+    free = [i for i in range(64) if not mask >> i & 1]
+    edge = [len(free) * i // (radius + 1) for i in range(radius + 2)]
+    return [mask | sum(1 << i for i in free[a:z]) for a, z in zip(edge[:-1], edge[1:], strict=True)]
+
+
+def _dealt(rows: DataFrame, masks: Column) -> DataFrame:
+    """Each fingerprint in the shard of each of its masks: mask, value and fingerprint."""
+    dealt = rows.select("fingerprint", F.explode(masks).alias("mask"))
+    return dealt.select("mask", F.col("mask").bitwiseAND(F.col("fingerprint")).alias("value"), "fingerprint")
+
+
 def links(distinct: DataFrame, radius: int, shard_size: int) -> DataFrame:
     """Edges (a, b) of fingerprints that connect all those within the radius of each other."""
-    shards = F.array(
-        *[
-            F.struct(F.lit(i).alias("mask"), F.col("fingerprint").bitwiseAND(F.lit(_signed(m))).alias("value"))
-            for i, m in enumerate(_masks(radius))
-        ]
-    )
-    dealt = distinct.select("fingerprint", F.explode(shards).alias("shard")).select("fingerprint", "shard.*")
-    sizes = dealt.groupBy("mask", "value").agg(F.count("*").alias("size")).where("size > 1")
-    members = dealt.join(sizes, ["mask", "value"])
-    pieces = F.ceil(F.col("size") / shard_size).cast("int")
-    own = F.pmod(F.xxhash64("fingerprint"), pieces).cast("int")
-    asked = members.select(
-        "mask", "value", "fingerprint", own.alias("own"), F.explode(F.sequence(F.lit(0), pieces - 1)).alias("piece")
-    )
+    masks = _masks(radius)
+    dealt = _dealt(distinct, F.array(*[F.lit(_signed(m)) for m in masks]))
+    found: DataFrame | None = None
+    while True:
+        free = 64 - min(m.bit_count() for m in masks)
+        small = 1 << free <= shard_size or len(masks) > 486  # four times finer leaves some six bits free
+        sizes = materialise(dealt.groupBy("mask", "value").agg(F.count("*").alias("size")).where("size > 1"), "shards")
+        large = sizes.where(F.col("size") > shard_size)
+        last = small or large.isEmpty()
+        members = dealt.join(sizes if last else sizes.where(F.col("size") <= shard_size), ["mask", "value"])
+        edges = _searched(members.select("mask", "value", "fingerprint"), radius)
+        if last:
+            return edges if found is None else found.unionByName(edges)
+        edges = materialise(edges, "edges")
+        found = edges if found is None else found.unionByName(edges)
+        finer = F.create_map(*[F.lit(x) for m in masks for x in (_signed(m), [_signed(f) for f in _finer(m, radius)])])
+        rows = dealt.join(large, ["mask", "value"]).select("fingerprint", "mask")
+        dealt = materialise(_dealt(rows, F.get(F.array(finer[F.col("mask")]), F.lit(0))).distinct(), "dealt")
+        masks = sorted({f for m in masks for f in _finer(m, radius)})
+
+
+def _searched(members: DataFrame, radius: int) -> DataFrame:
+    """A forest of each shard's links."""
+    names = ("mask", "value", "fingerprint")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = (r for b in batches for r in zip(*(b.column(c).to_pylist() for c in _ASKED), strict=True))
-        for (_, _, piece), group in itertools.groupby(rows, key=lambda r: r[:3]):
-            asked = sorted({(f % (1 << 64), own == piece) for *_, f, own in group})
-            found = list(forest([f for f, held in asked if held], [f for f, _ in asked], radius))
+        rows = (r for b in batches for r in zip(*(b.column(c).to_pylist() for c in names), strict=True))
+        for _, group in itertools.groupby(rows, key=lambda r: r[:2]):
+            held = sorted(f % (1 << 64) for *_, f in group)
+            found = list(forest(held, held, radius))
             if found:
                 a, b = ([_signed(x) for x in side] for side in zip(*found, strict=True))
                 yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    dealt_out = asked.select(*_ASKED).repartition("mask", "value", "piece").sortWithinPartitions("mask", "value", "piece")
-    return dealt_out.mapInArrow(search, "a bigint, b bigint")
-
-
-_ASKED = ("mask", "value", "piece", "fingerprint", "own")
+    return members.repartition("mask", "value").sortWithinPartitions("mask", "value").mapInArrow(search, "a bigint, b bigint")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -235,11 +257,20 @@ def keep_first(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     return first_of(docs, groups, id_col=id_col, text_col=text_col)
 
 
+#: Rows of 16 bytes or little more that are broadcast at most: some 3 MB.
+FEW = 200_000
+
+
 def first_of(docs: DataFrame, groups: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``keep_first`` by ``groups``: per row doc_id, component_id and tie."""
+    """``keep_first`` by ``groups``: per row doc_id, component_id and tie.
+
+    Rows to drop are broadcast while they are few; beyond, they are met in a shuffle.
+    """
     known = F.col("component_id").isNotNull()
     gone = groups.where(known & ~F.col("doc_id").eqNullSafe(F.col("component_id")))
     gone = gone.select(F.col("doc_id").alias("__id"), F.col("tie").alias("__tie")).distinct()
+    gone = materialise(gone, "gone")
+    gone = F.broadcast(gone) if gone.count() <= FEW else gone
     tie = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
     left = docs.join(gone, F.col(id_col).eqNullSafe(F.col("__id")) & (tie == F.col("__tie")), "left_anti")
     stay = groups.where(~known | F.col("doc_id").eqNullSafe(F.col("component_id")))

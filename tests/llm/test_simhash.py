@@ -94,3 +94,32 @@ def sorted_components(texts):
     for i, f, c in brute([(i, fingerprint(t)) for i, t in texts]):
         by[i, f] = c
     return [(i, t, by[i, f"{fingerprint(t):016x}"]) for i, t in texts]
+
+
+def test_crowded_shards_are_split(spark):
+    """Ten thousand fingerprints that share 32 bits: no shard holds many, and rows grow by a few times only."""
+    rng = random.Random(8)
+    top = rng.getrandbits(32) << 32
+    values = sorted({top | rng.getrandbits(32) for _ in range(10_000)} | {top | 1, top | 7, top | 31, top | 0x80000001})
+    rows = spark.createDataFrame([(simhash._signed(x),) for x in values], "fingerprint bigint")
+    roots = {r.node: r.root for r in simhash.components(simhash.links(rows, 2, 64)).collect()}
+    parent = {x: x for x in values}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    known = set(values)
+    flips = [1 << a for a in range(32)] + [1 << a | 1 << b for a in range(32) for b in range(a)]
+    for x in values:
+        for f in flips:
+            if x ^ f in known:
+                parent[root(x)] = root(x ^ f)
+    groups = {}
+    for x in values:
+        groups.setdefault(root(x), []).append(x)
+    mine = {}
+    for x in values:
+        mine.setdefault(roots.get(simhash._signed(x), simhash._signed(x)), []).append(x)
+    assert sorted(map(sorted, groups.values())) == sorted(map(sorted, mine.values()))
