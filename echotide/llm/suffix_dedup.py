@@ -7,24 +7,25 @@ cross documents and are judged on the input.
 Search.  Every string of ``length`` bytes has one anchor, the leftmost of its
 ``gram``-byte pieces with the smallest hash.  Strings that follow one another and
 share their anchor make up a segment, so equal strings lie in segments with equal
-anchors, at the same distance from them.  Of segments that are equal as a whole
-all but the first are repeats throughout, and they collapse, first within a
-batch.  What is left of anchors with several different segments goes through
-suffix arrays: the segments of many anchors are put together to blocks of about
-``block`` bytes, a suffix array of a block brings equal strings side by side, and
-in each run of equal strings all but the first are repeats.
-
-Anchors with very many different segments (found on a sample of documents; it
-decides only how work is dealt out) are spread over ``pieces`` parts, and groups
-that outgrow a block are cut.  The first strings of each part are then compared
-across parts by a 128-bit digest, pre-aggregated.
+anchors, at the same distance from them.  Of segments that are equal as a whole (in
+a 128-bit digest of their bytes) all but the first are repeats throughout, and they
+collapse, first within a batch.  What is left of anchors with several different
+segments goes through suffix arrays: the segments of many anchors are put together
+to blocks of about ``block`` bytes, a suffix array of a block brings equal strings
+side by side, and in each run of equal strings all but the first are repeats.
+Anchors whose hashes (of ``bits`` bits) collide are only searched together.
+
+Anchors with many different segments (counted on a sample of documents; it decides
+only how work is dealt out) are spread over parts of about ``hot`` segments, and
+groups that outgrow a block are cut.  The first strings of each part are then
+compared across parts by a 128-bit digest, pre-aggregated.
 
 Defined results: a null text is empty; a text shorter than ``length`` bytes loses
 nothing; rows that are equal in id and text are one document and are marked
 alike; rows equal in id alone come in order of a hash of their texts; a null id
-comes after all others; an empty table gives an empty table.  Other columns are
-kept; if they have the name of a column that is added, the added one replaces
-them.
+comes after all others; ids are whole numbers, and other types are refused; an
+empty table gives an empty table.  Other columns are kept; if they have the name of
+a column that is added, the added one replaces them.
 
 Scale: one shuffle of about one short row for every 37 bytes of text, one of the
 texts that have such segments, and one of all texts for the result.
@@ -37,8 +38,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from ._store import materialise, small_batches
 from .suffix_array import suffix_array
@@ -49,9 +52,10 @@ _LAST = (1 << 63) - 1
 
 
 class Hashes:
-    """Hashes of all pieces of a fixed length, and of any stretch, of a byte string."""
+    """Hashes of all pieces of a fixed length of a byte string."""
 
-    def __init__(self, seed: int = 5):
+    def __init__(self, bits: int = 64, seed: int = 5):
+        self.shift = _U(64 - bits)
         self.codes = np.random.default_rng(seed).integers(0, 1 << 63, 256, np.uint64) * _U(2) + _U(1)
         self.powers = self.inverses = np.ones(1, np.uint64)
 
@@ -75,12 +79,8 @@ class Hashes:
         np.cumsum(self.codes[data] * self.powers[: len(data)], out=total[1:], dtype=np.uint64)
         return total
 
-    def stretch(self, total: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        h = (total[end] - total[start]) * self.inverses[start]
-        return self.mixed(h + (end - start).astype(np.uint64) * _U(0xD6E8FEB86659FD93))
-
     def pieces(self, total: np.ndarray, n: int) -> np.ndarray:
-        return self.mixed((total[n:] - total[:-n]) * self.inverses[: len(total) - n])
+        return self.mixed((total[n:] - total[:-n]) * self.inverses[: len(total) - n]) >> self.shift
 
 
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
@@ -92,12 +92,12 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(values[:-rest], values[rest:]) if rest else values
 
 
-def segments(data: np.ndarray, length: int, gram: int, hashes: Hashes) -> tuple[np.ndarray, ...]:
-    """Per segment: hash of its anchor, hash of all of it, its start and its end."""
+def segments(data: bytes, length: int, gram: int, hashes: Hashes) -> tuple[np.ndarray, ...]:
+    """Per segment: hash of its anchor, the halves of a digest of all of it, its start and its end."""
     if len(data) < length:
         nothing = np.zeros(0, np.int64)
-        return nothing.astype(np.uint64), nothing.astype(np.uint64), nothing, nothing
-    total = hashes.sums(data)
+        return nothing.astype(np.uint64), nothing.astype(np.uint64), nothing.astype(np.uint64), nothing, nothing
+    total = hashes.sums(np.frombuffer(data, np.uint8))
     width = length - gram + 1
     grams = hashes.pieces(total, gram)
     least = sliding_min(grams, width)
@@ -105,7 +105,10 @@ def segments(data: np.ndarray, length: int, gram: int, hashes: Hashes) -> tuple[
     change = np.flatnonzero((least[1:] != least[:-1]) | (grams[: len(least) - 1] == least[:-1])) + 1
     start = np.concatenate([[0], change])
     end = np.concatenate([change, [len(least)]]) - 1 + length
-    return least[start], hashes.stretch(total, start, end), start, end
+    digest = xxhash.xxh3_128_digest
+    said = b"".join([digest(data[a:z]) for a, z in zip(start.tolist(), end.tolist(), strict=True)])
+    halves = np.frombuffer(said, np.uint64).reshape(-1, 2)
+    return least[start], halves[:, 0], halves[:, 1], start, end
 
 
 def union(starts: np.ndarray, ends: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -124,44 +127,47 @@ def _signed(h: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(h).view(np.int64)
 
 
-_FOUND = "kind int, key bigint, seg bigint, doc bigint, tie bigint, start int, end int"
+_FOUND = "kind int, key bigint, seg bigint, more bigint, doc bigint, tie bigint, start int, end int"
 
 
-def _batch(kind, key, seg, doc, tie, start, end) -> pa.RecordBatch:
-    n = len(doc)
-    ints, longs = pa.int32(), pa.int64()
-    fill = lambda x, t: pa.array(np.full(n, x) if np.isscalar(x) else x, t)
-    return pa.RecordBatch.from_arrays(
-        [fill(kind, ints), fill(key, longs), fill(seg, longs), fill(doc, longs), fill(tie, longs), fill(start, ints), fill(end, ints)],
-        ["kind", "key", "seg", "doc", "tie", "start", "end"],
-    )
+def _batch(names: tuple[str, ...], *columns) -> pa.RecordBatch:
+    """Columns by name; a number stands for a column of it."""
+    n = max(len(c) for c in columns if not np.isscalar(c))
+    kinds = [pa.int32() if name in ("kind", "start", "end") else pa.int64() for name in names]
+    arrays = [pa.array(np.full(n, c) if np.isscalar(c) else c, k) for c, k in zip(columns, kinds, strict=True)]
+    return pa.RecordBatch.from_arrays(arrays, list(names))
+
 
+_NAMES = ("kind", "key", "seg", "more", "doc", "tie", "start", "end")
 
-def _searcher(length: int, gram: int, gather: int = 8 << 20):
+
+def _searcher(length: int, gram: int, bits: int = 64, gather: int = 8 << 20):
     """Segments of texts (kind 0); of equal ones in a batch only the first, the others as repeats (kind 1)."""
 
     def flush(held: list[tuple[int, int, bytes]], hashes: Hashes) -> Iterator[pa.RecordBatch]:
         held.sort(key=lambda d: d[:2])
-        parts = [segments(np.frombuffer(data, np.uint8), length, gram, hashes) for _, _, data in held]
+        parts = [segments(data, length, gram, hashes) for _, _, data in held]
         counts = [len(p[0]) for p in parts]
         if not sum(counts):
             return
-        key, seg, start, end = (np.concatenate(x) for x in zip(*parts, strict=True))
+        key, seg, more, start, end = (np.concatenate(x) for x in zip(*parts, strict=True))
         at = np.repeat(np.arange(len(held)), counts)
-        both = key * _U(0xFF51AFD7ED558CCD) + seg
-        by = np.argsort(both, kind="stable")
+        by = np.argsort(seg, kind="stable")
+        now, before = by[1:], by[:-1]
         again = np.zeros(len(by), bool)
-        again[by[1:]] = both[by[1:]] == both[by[:-1]]
+        again[now] = (seg[now] == seg[before]) & (more[now] == more[before]) & (key[now] == key[before])
         docs = np.array([d for d, _, _ in held], np.int64)
         ties = np.array([t for _, t, _ in held], np.int64)
         first = ~again
-        yield _batch(0, _signed(key[first]), _signed(seg[first]), docs[at[first]], ties[at[first]], start[first], end[first])
+        halves = _signed(seg[first]), _signed(more[first])
+        yield _batch(_NAMES, 0, _signed(key[first]), *halves, docs[at[first]], ties[at[first]], start[first], end[first])
         owner, a, b = union(start[again], end[again], at[again])
         if len(a):
-            yield _batch(1, _signed(Hashes.mixed(docs[owner].view(np.uint64))), 0, docs[owner], ties[owner], a, b)
+            spread = _signed(Hashes.mixed(docs[owner].view(np.uint64)))
+            yield _batch(_NAMES, 1, spread, 0, 0, docs[owner], ties[owner], a, b)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, held, size = Hashes(), [], 0
+        hashes, held, size = Hashes(bits), [], 0
         for batch in batches:
             for doc in zip(*(batch.column(c).to_pylist() for c in ("doc", "tie", "data")), strict=True):
                 held.append(doc)
@@ -178,12 +184,12 @@ _GROUPED = "kind int, key bigint, piece int, doc bigint, tie bigint, start int,
 
 
 def _sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From segments in order of key, segment, document and start: repeats, and what suffix arrays must decide.
+    """From segments in order of key, digest, document and start: repeats, and what suffix arrays must decide.
 
     Only the last row's state is carried on, however large a key's group is.
     """
-    last: tuple | None = None  # key, seg, whether its key's first segment is still to be given, that segment
-    names = ("kind", "key", "seg", "doc", "tie", "start", "end", "piece")
+    last: tuple | None = None  # key and part, digest, and the key's first segment if it is still to be given
+    names = (*_NAMES, "piece")
     order = ("kind", "key", "piece", "doc", "tie", "start", "end")
     for batch in batches:
         if not batch.num_rows:
@@ -191,11 +197,11 @@ def _sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = {n: batch.column(n).to_numpy(zero_copy_only=False) for n in names}
         new_key = np.ones(batch.num_rows, bool)
         new_seg = np.ones(batch.num_rows, bool)
-        new_key[1:] = (c["key"][1:] != c["key"][:-1]) | (c["kind"][1:] != c["kind"][:-1])
-        new_seg[1:] = c["seg"][1:] != c["seg"][:-1]
+        new_key[1:] = (c["key"][1:] != c["key"][:-1]) | (c["piece"][1:] != c["piece"][:-1]) | (c["kind"][1:] != c["kind"][:-1])
+        new_seg[1:] = (c["seg"][1:] != c["seg"][:-1]) | (c["more"][1:] != c["more"][:-1])
         if last is not None:
-            new_key[0] = c["kind"][0] == 1 or c["key"][0] != last[0]
-            new_seg[0] = c["seg"][0] != last[1]
+            new_key[0] = c["kind"][0] == 1 or (c["key"][0], c["piece"][0]) != last[0]
+            new_seg[0] = (c["seg"][0], c["more"][0]) != last[1]
         known = c["kind"] == 1
         first = (new_key | new_seg) & ~known
         repeat = ~first
@@ -224,7 +230,7 @@ def _sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 else:
                     at = int(np.flatnonzero(first & (run == run[end]))[0])
                     waiting = {n: c[n][at].item() for n in order} | {"kind": 0}
-            last = (c["key"][end], c["seg"][end], waiting)
+            last = ((c["key"][end], c["piece"][end]), (c["seg"][end], c["more"][end]), waiting)
 
 
 def _cutter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -334,18 +340,24 @@ def _decider(length: int, block: int):
     return run
 
 
-def _decided(kind, one, two, doc, tie, start, end) -> pa.RecordBatch:
-    return _batch(kind, one, two, doc, tie, start, end).rename_columns(["kind", "one", "two", "doc", "tie", "start", "end"])
+def _decided(*columns) -> pa.RecordBatch:
+    return _batch(("kind", "one", "two", "doc", "tie", "start", "end"), *columns)
 
 
 def _keys(docs: DataFrame, id_col: str, text_col: str) -> tuple[Column, Column, bool]:
     """A document's place in order, what tells rows with equal ids apart, and whether no two have one."""
+    if not isinstance(docs.schema[id_col].dataType, IntegralType):
+        raise TypeError(f"{id_col} must be a whole number, as documents come in its order")
     doc = F.coalesce(F.col(id_col).cast("bigint"), F.lit(_LAST))
     unique = docs.groupBy(doc.alias("doc")).count().where("count > 1").isEmpty()
     tie = F.lit(0) if unique else F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
     return doc, tie.cast("bigint"), unique
 
 
+#: Anchors of 12 bytes that are broadcast at most; more are met in a shuffle.
+FEW = 200_000
+
+
 def spans(
     docs: DataFrame,
     *,
@@ -354,9 +366,9 @@ def spans(
     length: int = 100,
     gram: int = 32,
     block: int = 1 << 20,
-    pieces: int = 64,
     sample: int = 64,
-    hot: int = 64,
+    hot: int = 512,
+    bits: int = 64,
     keys: tuple[Column, Column, bool] | None = None,
 ) -> DataFrame:
     """Per document that has any: doc, tie and its ``spans`` of bytes that are repeats, in order and apart."""
@@ -366,13 +378,16 @@ def spans(
     data = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     rows = docs.select(doc.alias("doc"), tie.alias("tie"), data.alias("data")).where(F.octet_length("data") >= length)
     rows = rows if unique else rows.dropDuplicates(["doc", "tie"])
-    search = _searcher(length, gram)
+    search = _searcher(length, gram, bits)
     some = rows.where(F.pmod(F.xxhash64("doc", "tie"), F.lit(sample)) == 0).mapInArrow(search, _FOUND)
-    many = some.where("kind = 0").groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= hot)
-    crowded = [r["key"] for r in many.orderBy(F.desc("n"), "key").limit(5000).collect()]
-    piece = F.when((F.col("kind") == 0) & F.col("key").isin(crowded), F.pmod("seg", F.lit(pieces))).otherwise(-1)
-    found = rows.mapInArrow(search, _FOUND).withColumn("piece", piece.cast("int"))
-    dealt = found.repartition("key", "piece").sortWithinPartitions("kind", "key", "piece", "seg", "doc", "tie", "start")
+    counts = some.where("kind = 0").groupBy(F.col("key").alias("of")).agg(F.count_distinct("seg").alias("n"))
+    parts = F.ceil(F.col("n") * sample / hot).cast("int")
+    crowded = materialise(counts.where(F.col("n") * sample >= hot).where("n > 1").select("of", parts.alias("parts")), "crowded")
+    crowded = F.broadcast(crowded) if crowded.count() <= FEW else crowded
+    found = rows.mapInArrow(search, _FOUND).join(crowded, (F.col("kind") == 0) & (F.col("key") == F.col("of")), "left")
+    piece = F.when(F.col("parts").isNotNull(), F.pmod("seg", "parts")).otherwise(-1)
+    found = found.withColumn("piece", piece.cast("int")).drop("of", "parts")
+    dealt = found.repartition("key", "piece").sortWithinPartitions("kind", "key", "piece", "seg", "more", "doc", "tie", "start")
     sifted = materialise(dealt.mapInArrow(_sift, _GROUPED), "segments")
 
     listed = (

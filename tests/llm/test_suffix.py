@@ -40,7 +40,7 @@ def brute(texts, length):
     return out
 
 
-@pytest.mark.parametrize("more", [{}, {"block": 600}, {"hot": 1, "sample": 1, "pieces": 3, "block": 900}])
+@pytest.mark.parametrize("more", [{}, {"block": 600}, {"hot": 1, "sample": 1, "block": 900}, {"bits": 8, "block": 5000}])
 def test_matches_brute_force(spark, docs, texts, more):
     unique = {}
     for i, t in texts:  # distinct texts of one id have no fixed order
@@ -61,7 +61,7 @@ def test_random_repeats(spark, block):
     pool = ["".join(rng.choice("abcdef ") for _ in range(rng.randint(20, 300))) for _ in range(12)]
     rows = [(i, "".join(rng.choice(pool) for _ in range(rng.randint(0, 5))) + ("xy" * rng.randint(0, 120))) for i in range(80)]
     table = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
-    got = suffix_dedup.summary(table, length=100, block=block, hot=4, sample=2, pieces=3).collect()
+    got = suffix_dedup.summary(table, length=100, block=block, hot=4, sample=2).collect()
     expected = brute(rows, 100)
     assert {(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == {
         (i, *expected[i, t]) for i, t in rows
@@ -74,3 +74,20 @@ def test_all_columns_are_kept(docs, no_docs):
     assert out.count() == docs.count()
     assert suffix_dedup.deduplicate(no_docs).count() == 0
     assert suffix_dedup.summary(no_docs).count() == 0
+
+
+def test_ids_that_are_no_numbers_are_refused(spark):
+    with pytest.raises(TypeError, match="whole number"):
+        suffix_dedup.summary(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
+
+
+def test_one_anchor_in_most_segments(spark):
+    """A line that all documents share, with other words around it: its anchor is split, the result is exact."""
+    rng = random.Random(12)
+    line = "".join(rng.choice("abcdefgh ") for _ in range(70))
+    word = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    rows = [(i, word(60) + line + word(60)) for i in range(300)]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    got = suffix_dedup.summary(table, length=100, hot=16, sample=1, block=4000).collect()
+    expected = brute(rows, 100)
+    assert {(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == {(i, *expected[i, t]) for i, t in rows}
