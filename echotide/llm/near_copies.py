@@ -8,7 +8,8 @@ No radius of a SimHash is sure to reach a given similarity, so SimHash only prop
 text to one text, drawn for each of its first grams, that shares it, are checked and joined to components.  Then all pairs
 that could still be similar and lie in different components are checked.  These follow from prefixes: with all
 grams in one order, similar sets share one among the first n - ceil(t n) + 1 of each, and the first they share
-leaves enough behind it.  So no link is missed, and a large group of copies is not compared pair by pair.
+leaves enough behind it.  So no link is missed, and a large group of copies is not compared pair by pair.  Where a gram
+is met by texts of several components, they are held against each other in place, and only pairs that pass leave.
 
 Defined results: as in ``simhash``; a null text is the empty text.
 
@@ -105,20 +106,89 @@ def _of(known: DataFrame, ends: DataFrame) -> DataFrame:
     return near.drop("group", "map")
 
 
-def _similar(pairs: DataFrame, known: DataFrame, small: DataFrame, per_mille: int) -> DataFrame:
-    """Of the pairs (a, b) of texts, those that are similar."""
-    end = lambda rows, c: rows.select(F.col("tie").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in rows.columns if x != "tie"])
-    marked = pairs.join(end(small, "a"), "a").join(end(small, "b"), "b")
+def _meeting(per_mille: int):
+    """From texts in order of gram: the pairs of one gram, of other components, that sizes, places and bitmaps let be similar."""
+    import numpy as np
+
+    names = ("gram", "p", "q", "tie", "root", "size", "place")
+
+    def passed(held: dict, bits) -> pa.RecordBatch:
+        found = []
+        key = np.stack([held["gram"], held["p"], held["q"]])
+        at, step = np.arange(len(held["gram"])), 0
+        while len(at):  # pairs of rows that stand ``step`` apart, for all groups at once
+            step += 1
+            at = at[at + step < len(held["gram"])]
+            at = at[(key[:, at] == key[:, at + step]).all(axis=0)]
+            a, b = at, at + step
+            left = np.minimum(held["size"][a] - held["place"][a], held["size"][b] - held["place"][b])
+            both = held["size"][a] + held["size"][b]
+            may = (held["root"][a] != held["root"][b]) & (left * (1000 + per_mille) >= both * per_mille)
+            a, b, both = a[may], b[may], both[may]
+            differ = np.bitwise_count(bits[a] ^ bits[b]).sum(axis=1, dtype=np.int64)
+            may = differ * (1000 + per_mille) <= both * (1000 - per_mille)
+            found.append(np.stack([held["tie"][a[may]], held["tie"][b[may]]]))
+        pairs = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
+        pairs = np.unique(np.sort(pairs, axis=0), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[0], pa.int64()), pa.array(pairs[1], pa.int64())], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict | None = None
+        words = np.zeros((0, BITS // 64), np.uint64)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            now = {n: batch.column(n).to_numpy(zero_copy_only=False).astype(np.int64) for n in names}
+            bits = batch.column("bits").flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, BITS // 64)
+            if kept is not None:
+                now = {n: np.concatenate([kept[n], now[n]]) for n in names}
+                bits = np.concatenate([words, bits])
+            key = np.stack([now["gram"], now["p"], now["q"]])
+            cut = int(np.flatnonzero((key == key[:, -1:]).all(axis=0))[0])  # the last group may go on
+            yield passed({n: now[n][:cut] for n in names}, bits[:cut])
+            kept, words = {n: now[n][cut:] for n in names}, bits[cut:]
+        if kept is not None:
+            yield passed(kept, words)
+
+    return run
+
+
+def _met_pairs(rooted: DataFrame, small: DataFrame, per_mille: int, group: int) -> DataFrame:
+    """The pairs left to be checked.  A gram of more than ``group`` texts is dealt to tasks by pairs of its pieces."""
+    sizes = rooted.groupBy(F.col("gram").alias("of")).agg(F.count("*").alias("n"))
+    large = sizes.where(F.col("n") > group).select("of", F.ceil(F.col("n") / group).cast("int").alias("pieces"))
+    rows = rooted.join(large, F.col("gram") == F.col("of"), "left").withColumn("pieces", F.coalesce("pieces", F.lit(1)))
+    rows = rows.join(small.select(F.col("tie").alias("t"), "bits"), F.col("tie") == F.col("t"))
+    own = F.pmod(F.xxhash64("tie"), F.col("pieces")).cast("int")
+    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+    rows = rows.withColumn("p", F.least("own", "other")).withColumn("q", F.greatest("own", "other"))
+    dealt = rows.select("gram", "p", "q", "tie", "root", "size", "place", "bits").repartition("gram", "p", "q")
+    return dealt.sortWithinPartitions("gram", "p", "q").mapInArrow(_meeting(per_mille), "a bigint, b bigint").distinct()
+
+
+def _end(rows: DataFrame, c: str) -> DataFrame:
+    return rows.select(F.col("tie").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in rows.columns if x != "tie"])
+
+
+def _near(pairs: DataFrame, small: DataFrame, per_mille: int) -> DataFrame:
+    """Of the pairs (a, b) of texts, those that bitmaps let be similar."""
+    marked = pairs.join(_end(small, "a"), "a").join(_end(small, "b"), "b")
     differ = sum((F.bit_count(F.get("bits_a", F.lit(i)).bitwiseXOR(F.get("bits_b", F.lit(i)))) for i in range(BITS // 64)), F.lit(0))
     marked = marked.where(differ * (1000 + per_mille) <= (F.col("size_a") + F.col("size_b")) * (1000 - per_mille))
-    left = materialise(marked.select("a", "b"), "pairs")
+    return marked.select("a", "b")
+
+
+def _similar(pairs: DataFrame, known: DataFrame, per_mille: int) -> DataFrame:
+    """Of the pairs (a, b) of texts, those that are similar."""
+    left = materialise(pairs, "pairs")
     ends = left.select(F.col("a").alias("tie")).union(left.select("b")).distinct()
     sets = materialise(_of(known.select("tie", "grams"), ends).dropDuplicates(["tie"]), "sets")
     common = F.size(F.array_intersect("grams_a", "grams_b"))
     union = F.size("grams_a") + F.size("grams_b") - common
-    both = left.join(end(sets, "a"), "a").join(end(sets, "b"), "b")
+    both = left.join(_end(sets, "a"), "a").join(_end(sets, "b"), "b")
     found = materialise(both.where(common * 1000 >= union * per_mille).select("a", "b"), "links")
     discard(sets)
+    discard(left)
     return found
 
 
@@ -126,7 +196,7 @@ def _may(size_a: Column, size_b: Column, per_mille: int) -> Column:
     return F.least(size_a, size_b) * 1000 >= F.greatest(size_a, size_b) * per_mille
 
 
-def links(known: DataFrame, *, per_mille: int, radius: int, shard_size: int, sample: int, often: int) -> DataFrame:
+def links(known: DataFrame, *, per_mille: int, radius: int, shard_size: int, sample: int, often: int, group: int) -> DataFrame:
     """Edges (a, b) of similar texts that connect all similar texts."""
     seen = known.where(F.pmod("tie", F.lit(sample)) == 0).select(F.explode("grams").alias("gram")).groupBy("gram").count()
     late = [r["gram"] for r in seen.where("count >= 8").orderBy(F.desc("count")).limit(often).collect()]
@@ -147,18 +217,13 @@ def links(known: DataFrame, *, per_mille: int, radius: int, shard_size: int, sam
     proposed = stars.unionByName(alike).unionByName(equal.select(F.col("least").alias("a"), F.col("tie").alias("b")))
     proposed = proposed.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     small = small.drop("fingerprint")
-    first = _similar(proposed, known, small, per_mille)
+    first = _similar(_near(proposed, small, per_mille), known, per_mille)
     roots = simhash.components(first).withColumnRenamed("node", "tie")
     rooted = met.select("gram", "tie", "size", "place").join(roots, "tie", "left")
     rooted = rooted.withColumn("root", F.coalesce("root", "tie"))
     mixed = rooted.groupBy("gram").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("gram")
     rooted = materialise(rooted.join(mixed, "gram"), "rooted")
-    x, y = rooted.alias("x"), rooted.alias("y")
-    left = F.least(F.col("x.size") - F.col("x.place"), F.col("y.size") - F.col("y.place"))
-    enough = left * (1000 + per_mille) >= (F.col("x.size") + F.col("y.size")) * per_mille
-    pairs = x.join(y, (F.col("x.gram") == F.col("y.gram")) & (F.col("x.tie") < F.col("y.tie")) & (F.col("x.root") != F.col("y.root")) & enough)
-    pairs = pairs.select(F.col("x.tie").alias("a"), F.col("y.tie").alias("b")).distinct()
-    found = first.unionByName(_similar(pairs, known, small, per_mille))
+    found = first.unionByName(_similar(_met_pairs(rooted, small, per_mille, group), known, per_mille))
     discard(met)
     discard(rooted)
     return found
@@ -176,10 +241,11 @@ def near_copies(
     shard_size: int = 4096,
     sample: int = 16,
     often: int = 100_000,
+    group: int = 4096,
 ) -> DataFrame:
     """Per row: doc_id, component_id, the smallest doc_id reachable by links, and tie, a hash of the text."""
     known = materialise(contents(docs, text_col=text_col, shingle=shingle, seed=seed), "contents")
-    edges = links(known, per_mille=per_mille, radius=radius, shard_size=shard_size, sample=sample, often=often)
+    edges = links(known, per_mille=per_mille, radius=radius, shard_size=shard_size, sample=sample, often=often, group=group)
     discard(known)
     roots = simhash.components(edges)
     tie = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))

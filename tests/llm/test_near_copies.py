@@ -62,6 +62,13 @@ def test_order_of_grams_never_decides(spark):
     assert got == brute(rows)
 
 
+def test_large_grams_are_dealt_by_pieces(spark):
+    rows = corpus(4)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = sorted(r.doc_id for r in near_copies.keep_first(docs, group=3).collect())
+    assert got == brute(rows)
+
+
 def test_null_ids_and_empty(spark, no_docs, texts):
     assert near_copies.keep_first(no_docs).count() == 0
     rows = spark.createDataFrame([(None, "a b"), (None, "a b"), (4, None), (None, ""), (5, "c")], "doc_id bigint, text string")
