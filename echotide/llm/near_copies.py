@@ -14,8 +14,9 @@ is met by texts of several components, they are held against each other in place
 Defined results: as in ``simhash``; a null text is the empty text.
 
 Scale: the order puts grams that a sample of the texts shows often last, so that common lines make few pairs; the
-sample decides only the order, never the result.  Before sets are fetched, pairs are held against bitmaps: the bits in
-which the parities of two sets differ are at most the grams in which the sets do.
+sample decides only the order, never the result.  Before sets are fetched, pairs are held against bitmaps, short ones and
+then wide ones: the bits in which the parities of two sets differ are at most the grams in which the sets do.  Sets and
+wide bitmaps are not kept, but made anew from the texts of the pairs that are left.
 """
 
 from __future__ import annotations
@@ -29,69 +30,87 @@ from pyspark.sql import functions as F
 from . import simhash
 from ._store import discard, materialise, small_batches
 
-BITS = 512
+BITS, WIDE = 512, 8192
 
-_CONTENTS = "tie bigint, fingerprint bigint, size int, bits array<bigint>, grams array<bigint>"
+
+def _grams(text: str, shingle: int, seed: int):
+    """A text's grams in order of value, as signed numbers, and the hashes of all its runs."""
+    import numpy as np
+
+    hashes = simhash.hashes_of(text, shingle, seed)
+    some = hashes or simhash.hashes_of("-", shingle, ~seed % (1 << 64))
+    return np.unique(np.array(some, "u8").view("i8")), hashes
 
 
-def contents(docs: DataFrame, *, text_col: str, shingle: int, seed: int) -> DataFrame:
-    """Per row: tie (a hash of the text), fingerprint, size, bits (the parities of the grams) and grams (sorted)."""
+def _parities(sets: list, bits: int):
+    """Per set, of its grams by their lowest bits, which places hold an odd number."""
     import numpy as np
 
-    small_batches(docs.sparkSession)
+    odd = np.array([np.bincount(s & (bits - 1), minlength=bits) & 1 for s in sets], "u1").reshape(-1, bits)
+    return np.packbits(odd, axis=1)
+
+
+def _lists(sets: list) -> pa.Array:
+    import numpy as np
+
+    ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype("i4")
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets) if sets else np.zeros(0, "i8"), pa.int64()))
+
+
+def texts_of(docs: DataFrame, text_col: str) -> DataFrame:
+    """Per row: text (null as empty) and tie, its hash."""
+    texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return texts.withColumn("tie", F.xxhash64("text"))
+
+
+def _sets(texts: DataFrame, shingle: int, seed: int) -> DataFrame:
+    """Per row: tie and grams, in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            marks, sets = [], []
-            for text in batch.column("text").to_pylist():
-                hashes = simhash.hashes_of(text, shingle, seed)
-                f = simhash.majority(hashes)
-                marks.append(simhash._signed(f))
-                sets.append(np.unique(np.array(hashes or simhash.hashes_of("-", shingle, ~seed % (1 << 64)), "u8").view("i8")))
-            sizes = [len(s) for s in sets]
-            ends = np.concatenate([[0], np.cumsum(sizes)]).astype("i4")
-            values = np.concatenate(sets) if sets else np.zeros(0, "i8")
-            grams = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, pa.int64()))
-            odd = np.array([np.bincount(s & (BITS - 1), minlength=BITS) & 1 for s in sets], "u1").reshape(-1, BITS)
-            words = np.packbits(odd, axis=1).view("i8").ravel()
-            bits = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * (BITS // 64), pa.int32()), pa.array(words, pa.int64()))
-            columns = [batch.column("tie"), pa.array(marks, pa.int64()), pa.array(sizes, pa.int32()), bits, grams]
-            yield pa.RecordBatch.from_arrays(columns, ["tie", "fingerprint", "size", "bits", "grams"])
-
-    texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
-    return texts.mapInArrow(run, _CONTENTS)
-
-
-def _prefixes(known: DataFrame, per_mille: int, often: list[int]) -> DataFrame:
-    """Per text and gram of its prefix: gram, tie, size and place; grams of ``often`` come last."""
+            found = [_grams(t, shingle, seed)[0] for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("tie"), _lists(found)], ["tie", "grams"])
+
+    return texts.mapInArrow(run, "tie bigint, grams array<bigint>")
+
+
+def _maps(texts: DataFrame, shingle: int, seed: int) -> DataFrame:
+    """Per row: tie, size and map, the parities of the grams in ``WIDE`` places."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [_grams(t, shingle, seed)[0] for t in batch.column("text").to_pylist()]
+            maps = pa.array([m.tobytes() for m in _parities(found, WIDE)], pa.binary())
+            sizes = pa.array([len(f) for f in found], pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column("tie"), sizes, maps], ["tie", "size", "map"])
+
+    return texts.mapInArrow(run, "tie bigint, size int, map binary")
+
+
+def contents(texts: DataFrame, late: list[int], *, shingle: int, seed: int, per_mille: int) -> DataFrame:
+    """Per row: tie, fingerprint, size, bits (the parities of the grams) and prefix, the first grams, those ``late`` last."""
     import numpy as np
 
-    held = known.sparkSession.sparkContext.broadcast(np.sort(np.array(often, "i8")))
+    held = texts.sparkSession.sparkContext.broadcast(np.sort(np.array(late, "i8")))
+
+    def first(grams):
+        if len(held.value):
+            at = np.minimum(np.searchsorted(held.value, grams), len(held.value) - 1)
+            grams = grams[np.argsort(held.value[at] == grams, kind="stable")]
+        return grams[: len(grams) - (len(grams) * per_mille + 999) // 1000 + 1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        late = held.value
         for batch in batches:
-            lists = batch.column("grams")
-            values = lists.flatten().to_numpy(zero_copy_only=False)
-            sizes = batch.column("size").to_numpy(zero_copy_only=False)
-            if not len(sizes):
-                continue
-            text = np.repeat(np.arange(len(sizes)), sizes)
-            if len(late):
-                is_late = late[np.minimum(np.searchsorted(late, values), len(late) - 1)] == values
-                order = np.lexsort((is_late, text))
-                values = values[order]
-            place = np.arange(len(values)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            taken = place < np.repeat(sizes - (sizes.astype("i8") * per_mille + 999) // 1000 + 1, sizes)
-            out = {
-                "gram": pa.array(values[taken], pa.int64()),
-                "tie": pa.array(batch.column("tie").to_numpy(zero_copy_only=False)[text[taken]], pa.int64()),
-                "size": pa.array(sizes[text[taken]], pa.int32()),
-                "place": pa.array(place[taken].astype("i4"), pa.int32()),
-            }
-            yield pa.RecordBatch.from_pydict(out)
-
-    return known.select("tie", "size", "grams").mapInArrow(run, "gram bigint, tie bigint, size int, place int")
+            found = [_grams(t, shingle, seed) for t in batch.column("text").to_pylist()]
+            sets = [g for g, _ in found]
+            marks = pa.array([simhash._signed(simhash.majority(h)) for _, h in found], pa.int64())
+            words = pa.array(_parities(sets, BITS).view("i8").ravel(), pa.int64())
+            bits = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * (BITS // 64), pa.int32()), words)
+            sizes = pa.array([len(g) for g in sets], pa.int32())
+            columns = [batch.column("tie"), marks, sizes, bits, _lists([first(g) for g in sets])]
+            yield pa.RecordBatch.from_arrays(columns, ["tie", "fingerprint", "size", "bits", "prefix"])
+
+    return texts.mapInArrow(run, "tie bigint, fingerprint bigint, size int, bits array<bigint>, prefix array<bigint>")
 
 
 def _of(known: DataFrame, ends: DataFrame) -> DataFrame:
@@ -178,16 +197,38 @@ def _near(pairs: DataFrame, small: DataFrame, per_mille: int) -> DataFrame:
     return marked.select("a", "b")
 
 
-def _similar(pairs: DataFrame, known: DataFrame, per_mille: int) -> DataFrame:
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("tie")).union(pairs.select("b")).distinct()
+
+
+def _nearer(pairs: DataFrame, texts: DataFrame, shingle: int, seed: int, per_mille: int) -> DataFrame:
+    """Of the pairs (a, b) of texts, those that wide bitmaps let be similar; these hold for long texts too."""
+    maps = _maps(_of(texts, _ends(pairs)), shingle, seed).dropDuplicates(["tie"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "u8").reshape(-1, WIDE // 64) for c in ("map_a", "map_b"))
+            differ = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+            both = batch.column("size_a").to_numpy().astype("i8") + batch.column("size_b").to_numpy()
+            may = pa.array(differ * (1000 + per_mille) <= both * (1000 - per_mille))
+            yield batch.select(["a", "b"]).filter(may)
+
+    joined = pairs.join(_end(maps, "a"), "a").join(_end(maps, "b"), "b")
+    return joined.select("a", "b", "size_a", "size_b", "map_a", "map_b").mapInArrow(run, "a bigint, b bigint")
+
+
+def _similar(pairs: DataFrame, texts: DataFrame, shingle: int, seed: int, per_mille: int) -> DataFrame:
     """Of the pairs (a, b) of texts, those that are similar."""
-    left = materialise(pairs, "pairs")
-    ends = left.select(F.col("a").alias("tie")).union(left.select("b")).distinct()
-    sets = materialise(_of(known.select("tie", "grams"), ends).dropDuplicates(["tie"]), "sets")
+    some = materialise(pairs, "pairs")
+    left = materialise(_nearer(some, texts, shingle, seed, per_mille), "pairs")
+    sets = _sets(_of(texts, _ends(left)), shingle, seed).dropDuplicates(["tie"])
     common = F.size(F.array_intersect("grams_a", "grams_b"))
     union = F.size("grams_a") + F.size("grams_b") - common
     both = left.join(_end(sets, "a"), "a").join(_end(sets, "b"), "b")
     found = materialise(both.where(common * 1000 >= union * per_mille).select("a", "b"), "links")
-    discard(sets)
+    discard(some)
     discard(left)
     return found
 
@@ -196,11 +237,16 @@ def _may(size_a: Column, size_b: Column, per_mille: int) -> Column:
     return F.least(size_a, size_b) * 1000 >= F.greatest(size_a, size_b) * per_mille
 
 
-def links(known: DataFrame, *, per_mille: int, radius: int, shard_size: int, sample: int, often: int, group: int) -> DataFrame:
-    """Edges (a, b) of similar texts that connect all similar texts."""
-    seen = known.where(F.pmod("tie", F.lit(sample)) == 0).select(F.explode("grams").alias("gram")).groupBy("gram").count()
+def links(
+    texts: DataFrame, *, shingle: int, seed: int, per_mille: int, radius: int, shard_size: int, sample: int, often: int, group: int
+) -> DataFrame:
+    """Edges (a, b) of similar texts, by tie, that connect all similar texts."""
+    check = lambda pairs: _similar(pairs, texts, shingle, seed, per_mille)
+    seen = _sets(texts.where(F.pmod("tie", F.lit(sample)) == 0), shingle, seed)
+    seen = seen.select(F.explode("grams").alias("gram")).groupBy("gram").count()
     late = [r["gram"] for r in seen.where("count >= 8").orderBy(F.desc("count")).limit(often).collect()]
-    bounds = _prefixes(known, per_mille, late)
+    known = materialise(contents(texts, late, shingle=shingle, seed=seed, per_mille=per_mille), "contents")
+    bounds = known.select("tie", "size", F.posexplode("prefix").alias("place", "gram"))
     of_gram = Window.partitionBy("gram")
     centre = F.min(F.struct(F.xxhash64("tie", "gram").alias("draw"), "tie", "size")).over(of_gram)
     ends = [F.min("tie").over(of_gram).alias("y"), F.max("tie").over(of_gram).alias("z")]
@@ -217,13 +263,14 @@ def links(known: DataFrame, *, per_mille: int, radius: int, shard_size: int, sam
     proposed = stars.unionByName(alike).unionByName(equal.select(F.col("least").alias("a"), F.col("tie").alias("b")))
     proposed = proposed.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     small = small.drop("fingerprint")
-    first = _similar(_near(proposed, small, per_mille), known, per_mille)
+    first = check(_near(proposed, small, per_mille))
     roots = simhash.components(first).withColumnRenamed("node", "tie")
     rooted = met.select("gram", "tie", "size", "place").join(roots, "tie", "left")
     rooted = rooted.withColumn("root", F.coalesce("root", "tie"))
     mixed = rooted.groupBy("gram").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("gram")
     rooted = materialise(rooted.join(mixed, "gram"), "rooted")
-    found = first.unionByName(_similar(_met_pairs(rooted, small, per_mille, group), known, per_mille))
+    found = first.unionByName(check(_met_pairs(rooted, small, per_mille, group)))
+    discard(known)
     discard(met)
     discard(rooted)
     return found
@@ -244,9 +291,11 @@ def near_copies(
     group: int = 4096,
 ) -> DataFrame:
     """Per row: doc_id, component_id, the smallest doc_id reachable by links, and tie, a hash of the text."""
-    known = materialise(contents(docs, text_col=text_col, shingle=shingle, seed=seed), "contents")
-    edges = links(known, per_mille=per_mille, radius=radius, shard_size=shard_size, sample=sample, often=often, group=group)
-    discard(known)
+    small_batches(docs.sparkSession)
+    edges = links(
+        texts_of(docs, text_col), shingle=shingle, seed=seed, per_mille=per_mille, radius=radius, shard_size=shard_size,
+        sample=sample, often=often, group=group,
+    )
     roots = simhash.components(edges)
     tie = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
     rows = docs.select(F.col(id_col).alias("doc_id"), tie.alias("tie"))
