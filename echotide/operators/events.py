@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import quantile
@@ -22,16 +24,34 @@ def detect(df: DataFrame, keys: list[str], size: int, min_frames: int, x: str =
     """Runs of at least ``min_frames`` rows more than ``rise_db`` above the background.
 
     Per run its first and last row (from 0), its first loudest row, and how far that stands above the background.
+    Runs are found in blocks; only those that touch a block's edge are then put together in order.
     """
-    above = running_background(df, keys, size, x).withColumn("above", F.col(x) > F.col("background_db") + rise_db)
-    cut = series.runs(above, keys, "above").where("above")
-    loudest = F.max(F.struct(F.col(x).alias("x"), (-F.col("i")).alias("at"), F.col("background_db").alias("bg")))
-    found = cut.groupBy(*keys, "run").agg(
-        (F.min("i") - 1).alias("i0"), (F.max("i") - 1).alias("i1"), loudest.alias("_m")
-    )
-    return found.where(F.col("i1") - F.col("i0") + 1 >= min_frames).select(
-        *keys, "i0", "i1", (-F.col("_m.at") - 1).alias("ipk"), (F.col("_m.x") - F.col("_m.bg")).alias("exceed_db")
-    )
+
+    def kernel(table: pa.Table, own: np.ndarray, _: int) -> pa.Table:
+        level, i = table.column(x).to_numpy().astype(float)[own], table.column("i").to_numpy()[own]
+        background = series.ranked(table, own, x, size, 10.0)
+        edge = np.diff((level > background + rise_db).astype(np.int8), prepend=0, append=0)
+        a, z = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        top = np.array([s + int(level[s:e].argmax()) for s, e in zip(a, z, strict=True)], int)
+        n = table.column("n")[0].as_py()
+        open_ = ((a == 0) & (i[a] > 1) if len(a) else a == 1) | ((z == len(level)) & (i[z - 1] < n) if len(z) else z == 1)
+        made = {k: pa.repeat(table.column(k)[0], len(a)) for k in keys}
+        made |= {"i0": i[a] - 1, "i1": i[z - 1] - 1, "ipk": i[top] - 1, "x": level[top], "bg": background[top], "cut": open_}
+        return pa.table(made)
+
+    rows = df.select(*keys, "i", "n", x)
+    found = series.blocks(rows, keys, size // 2, size // 2, kernel, series.schema_of(df.select(*keys), **_RUN))
+    in_order = Window.partitionBy("cut", *keys).orderBy("i0")
+    new = F.when(F.col("cut") & (F.lag("i1").over(in_order) + 1 == F.col("i0")), 0).otherwise(1)
+    put = found.withColumn("_new", new).withColumn("run", F.sum("_new").over(in_order))
+    loudest = F.max(F.struct("x", (-F.col("ipk")).alias("at"), "bg"))
+    whole = put.where("cut").groupBy("cut", *keys, "run").agg(F.min("i0").alias("i0"), F.max("i1").alias("i1"), loudest.alias("_m"))
+    whole = whole.select(*keys, "i0", "i1", (-F.col("_m.at")).alias("ipk"), F.col("_m.x").alias("x"), F.col("_m.bg").alias("bg"))
+    every = found.where("not cut").select(*whole.columns).unionByName(whole)
+    return every.where(F.col("i1") - F.col("i0") + 1 >= min_frames).select(*keys, "i0", "i1", "ipk", (F.col("x") - F.col("bg")).alias("exceed_db"))
+
+
+_RUN = {"i0": "bigint", "i1": "bigint", "ipk": "bigint", "x": "double", "bg": "double", "cut": "boolean"}
 
 
 def cessations(df: DataFrame, keys: list[str], before: int, after: int, x: str = "level_db", drop_db: float = 6.0) -> DataFrame:

@@ -58,9 +58,10 @@ def timeline(df: DataFrame, keys: list[str], t: str = "t", x: str = "level_db",
 def noise_floor(df: DataFrame, keys: list[str], n: int, x: str = "level_db", name: str = "floor_db", bias_db: float = MIN_BIAS_DB) -> DataFrame:
     """Adds the running minimum over ``n`` frames, lifted by ``bias_db``; the whole series' if it is no longer."""
     left = n // 2
-    out = series.framed(df, keys, left, n - 1 - left, {"_m": lambda w: F.min(x).over(w)})
-    whole = df.groupBy(*keys).agg(F.min(x).alias("_all"))
-    return out.join(whole, keys).withColumn(name, F.when(F.col("n") <= n, F.col("_all")).otherwise(F.col("_m")) + bias_db).drop("_m", "_all")
+    near = lambda w: F.min(x).over(w.rowsBetween(-left, n - 1 - left))
+    # all rows of a series of no more than n lie within n - 1 of each
+    out = series.framed(df, keys, n - 1, n - 1, {"_m": near, "_all": lambda w: F.min(x).over(w)})
+    return out.withColumn(name, F.when(F.col("n") <= n, F.col("_all")).otherwise(F.col("_m")) + bias_db).drop("_m", "_all")
 
 
 def floor_corrected(df: DataFrame, keys: list[str], n: int, x: str = "level_db", margin_db: float = MARGIN_DB) -> DataFrame:

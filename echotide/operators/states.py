@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,20 +60,43 @@ def segments(df: DataFrame, keys: list[str], thresholds: DataFrame, x: str = "le
     A state changes only beyond half the hysteresis; runs shorter than ``min_rows``, but for the first and the last,
     take the state before.  Per segment: state, t0 (row from 0), rows, median and deviation of the raw level.
     """
-    k = max(3, smooth | 1)
-    smoothed = series.rank_filter(df, keys, x, k, 50.0, "smooth").join(thresholds, keys)
-    off = F.col("smooth") < F.col("threshold_db") - hysteresis_db / 2
-    on = F.col("smooth") > F.col("threshold_db") + hysteresis_db / 2
-    first = F.when(F.col("i") == 1, (F.col("smooth") > F.col("threshold_db")).cast("int"))
-    flip = F.when(off, 0).when(on, 1).otherwise(first)
-    state = series.runs(series.last_value(smoothed, keys, flip, "on"), keys, "on")
-    runs = state.groupBy(*keys, "run", "on", "n").agg(F.min("i").alias("i0"), F.max("i").alias("i1"))
-    in_order = Window.partitionBy(*keys).orderBy("run")
+    size = max(3, smooth | 1)
+
+    def kernel(table: pa.Table, own: np.ndarray, number: int) -> pa.Table:
+        """The block's runs; until a level first decides, the state is that of the block before (null)."""
+        level, i = series.ranked(table, own, x, size, 50.0), table.column("i").to_numpy()[own]
+        threshold = table.column("threshold_db")[0].as_py()
+        flip = np.where(level < threshold - hysteresis_db / 2, 0, np.where(level > threshold + hysteresis_db / 2, 1, -1))
+        if i[0] == 1 and flip[0] < 0:
+            flip[0] = level[0] > threshold
+        decided = np.maximum.accumulate(np.where(flip >= 0, np.arange(len(flip)), -1))
+        state = np.where(decided >= 0, flip[decided], -1)
+        a = np.flatnonzero(np.diff(state, prepend=-2))
+        z = np.append(a[1:], len(state)) - 1
+        made = {k: pa.repeat(table.column(k)[0], len(a)) for k in keys}
+        on = pa.array(state[a], pa.int32(), mask=state[a] < 0)
+        return pa.table(made | {"n": pa.repeat(table.column("n")[0], len(a)), "on": on, "i0": i[a], "i1": i[z]})
+
+    rows = df.select(*keys, "i", "n", x)
+    shape = series.schema_of(rows.select(*keys, "n"), on="int", i0="bigint", i1="bigint")
+    runs = series.blocks(rows.join(thresholds, keys), keys, size // 2, size // 2, kernel, shape)
+
+    in_order = Window.partitionBy(*keys).orderBy("i0")
+
+    def joined(runs: DataFrame) -> DataFrame:
+        """Neighbouring runs of one state made one."""
+        new = F.when(F.col("on").eqNullSafe(F.lag("on").over(in_order)), 0).otherwise(1)
+        told = runs.withColumn("_new", new).withColumn("segment", F.sum("_new").over(in_order))
+        return told.groupBy(*keys, "n", "segment", "on").agg(F.min("i0").alias("i0"), F.max("i1").alias("i1"))
+
+    runs = joined(runs.withColumn("on", F.last("on", True).over(in_order)))
     stays = (F.col("i1") - F.col("i0") + 1 >= min_rows) | (F.col("i0") == 1) | (F.col("i1") == F.col("n"))
-    runs = runs.withColumn("on", F.last(F.when(stays, F.col("on")), True).over(in_order))
-    new = F.when(F.col("on").eqNullSafe(F.lag("on").over(in_order)), 0).otherwise(1)
-    runs = runs.withColumn("_new", new).withColumn("segment", F.sum("_new").over(in_order))
-    named = state.select(*keys, "run", "i", x).join(runs.select(*keys, "run", "on", "segment"), [*keys, "run"])
+    segs = joined(runs.withColumn("on", F.last(F.when(stays, F.col("on")), True).over(in_order)))
+
+    block = series.BLOCK
+    reach = F.sequence(F.floor((F.col("i0") - 1) / block), F.floor((F.col("i1") - 1) / block))
+    dealt = segs.select(*keys, "segment", "on", F.col("i0").alias("_a"), F.col("i1").alias("_z"), F.explode(reach).alias("_blk"))
+    named = rows.withColumn("_blk", F.floor((F.col("i") - 1) / block)).join(dealt, [*keys, "_blk"]).where("i BETWEEN _a AND _z")
     return (
         named.groupBy(*keys, "segment", "on")
         .agg(

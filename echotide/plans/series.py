@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -94,18 +96,52 @@ def runs(df: DataFrame, keys: list[str], state: str, block: int = BLOCK) -> Data
     return running_sum(changed, keys, new, "run", block).drop("_p")
 
 
-def rank_filter(df: DataFrame, keys: list[str], x: str, size: int, pct: float, name: str, block: int = BLOCK) -> DataFrame:
-    """Adds the element ``floor(size*pct/100)`` of the sorted centred frame; rows beyond the ends repeat the end rows."""
+def blocks(df: DataFrame, keys: list[str], left: int, right: int, kernel: Callable[[pa.Table, np.ndarray, int], pa.Table], schema: str, block: int = BLOCK) -> DataFrame:
+    """What ``kernel`` makes of each block: its rows in order with up to ``left`` and ``right`` neighbours, which of them
+    are its own, and the number of the block.  Needs ``i`` and ``n``; one exchange."""
+    block = max(block, left + right)
+    at = F.col("i") - 1
+    lowest = F.floor(F.greatest(at - right, F.lit(0)) / block)
+    highest = F.floor(F.least(at + left, F.col("n") - 1) / block)
+    dealt = df.withColumn("_blk", F.explode(F.sequence(lowest, highest)))
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("i")
+        number = table.column("_blk")[0].as_py()
+        own = (table.column("i").to_numpy() - 1) // block == number
+        return kernel(table.drop_columns(["_blk"]), own, number)
+
+    return dealt.groupBy(*keys, "_blk").applyInArrow(run, schema)
+
+
+def edged(values: np.ndarray, own: np.ndarray, left: int, right: int) -> np.ndarray:
+    """The values with the end ones repeated, so that each own row has all its neighbours."""
+    first, last = int(own.argmax()), len(own) - 1 - int(own[::-1].argmax())
+    start = np.repeat(values[:1], max(0, left - first))
+    end = np.repeat(values[-1:], max(0, right - (len(values) - 1 - last)))
+    return np.concatenate([start, values[max(0, first - left) : last + 1 + right], end])
+
+
+def ranked(table: pa.Table, own: np.ndarray, x: str, size: int, pct: float) -> np.ndarray:
+    """For the own rows, the element ``floor(size*pct/100)`` of the sorted centred frame; rows beyond the ends repeat them."""
     k = size // 2
-    copies = (
-        F.when((F.col("i") == 1) & (F.col("n") == 1), F.sequence(F.lit(1 - k), F.lit(1 + k)))
-        .when(F.col("i") == 1, F.sequence(F.lit(1 - k), F.lit(1)))
-        .when(F.col("i") == F.col("n"), F.sequence(F.col("n"), F.col("n") + k))
-        .otherwise(F.array(F.col("i")))
-    )
-    padded = df.select(*[c for c in df.columns if c != "i"], F.explode(copies).alias("_i"))
-    shifted = padded.withColumn("i", F.col("_i") + k).withColumn("n", F.col("n") + 2 * k)
+    values = edged(table.column(x).to_numpy().astype(float), own, k, size - 1 - k)
+    frames = np.lib.stride_tricks.sliding_window_view(values, size)
     pick = min(size - 1, int(size * pct / 100))
-    out = framed(shifted, keys, k, k, {name: lambda w: F.sort_array(F.collect_list(x).over(w))[pick]}, block)
-    n = F.col("n") - 2 * k
-    return out.withColumn("i", F.col("_i")).withColumn("n", n).drop("_i").where((F.col("i") >= 1) & (F.col("i") <= F.col("n")))
+    parts = [np.partition(frames[a : a + 1024], pick, axis=1)[:, pick] for a in range(0, len(frames), 1024)]
+    return np.concatenate(parts)
+
+
+def schema_of(df: DataFrame, **more: str) -> str:
+    """The columns of ``df`` and more, by name and type."""
+    return ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name not in more), *(f"`{k}` {v}" for k, v in more.items())])
+
+
+def rank_filter(df: DataFrame, keys: list[str], x: str, size: int, pct: float, name: str, block: int = BLOCK) -> DataFrame:
+    """Adds the element ``floor(size*pct/100)`` of the sorted centred frame; rows beyond the ends repeat the end rows."""
+
+    def kernel(table: pa.Table, own: np.ndarray, _: int) -> pa.Table:
+        return table.filter(pa.array(own)).append_column(name, pa.array(ranked(table, own, x, size, pct)))
+
+    rows = df.drop(name)
+    return blocks(rows, keys, size // 2, size // 2, kernel, schema_of(rows, **{name: "double"}), block)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import db
 from . import series
+from .store import written
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,8 +35,8 @@ def levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """:func:`levels` with each row's number ``i`` in its node's series of ``n`` rows."""
-    return series.number_rows(levels(spark, sf_dir), ["node"], ["t", "event_id"], "t", 86400.0)
+    """:func:`levels` with each row's number ``i`` in its node's series of ``n`` rows; written, as plans read it more than once."""
+    return written(series.number_rows(levels(spark, sf_dir), ["node"], ["t", "event_id"], "t", 86400.0), "series")
 
 
 def hour_angle(t: Column) -> Column:
