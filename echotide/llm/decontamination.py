@@ -3,7 +3,7 @@
 Texts are normalised by lower-casing A-Z and keeping words, runs of digits,
 letters a-z and characters beyond ASCII.  Every run of ``window`` consecutive
 words of a benchmark item (the whole item, if it has fewer) is a pattern.  One
-automaton over all patterns, whose letters are the numbers of the items' words,
+automaton over all patterns, which reads words as the numbers of the items' words,
 scans a document once; the offsets of its matches are words of the document, and
 those are mapped back to code points of the original text.
 
@@ -15,9 +15,8 @@ benchmark leaves every document without hits.
 
 Scale: documents are scanned in place, once, without a shuffle.  The automaton is
 built once, on the driver, written to the shared folder and loaded once by each
-Python worker.  It has at most ``window`` nodes for each word of the benchmark,
-whatever the words' length, some 50 bytes each: 20 million characters of patterns
-take about 150 MB.
+Python worker.  It has at most ``window`` nodes for each word of the benchmark and
+digit of its number, whatever the words' length.
 """
 
 from __future__ import annotations
@@ -51,27 +50,45 @@ def windows_of(words: list[bytes], window: int) -> list[tuple[bytes, ...]]:
     return [tuple(words[i : i + window]) for i in range(max(1, len(words) - window + 1))] if words else []
 
 
+#: Digits of the words' numbers.  Few, as the automaton looks for a letter among a node's children one by one; the digits
+#: of each place are characters of their own, so that no match begins inside a word.
+_BASE = 64
+
+
+def code_of(number: int, width: int) -> str:
+    """A word's number as ``width`` digits."""
+    return "".join(chr(1 + place * _BASE + number // _BASE**place % _BASE) for place in range(width))
+
+
 class Patterns:
-    """One automaton over the windows of all items, its letters the numbers of the items' words.
+    """One automaton over the windows of all items, its letters the digits of the numbers of the items' words.
 
-    A word that no item has is letter 0, which no window holds.
+    A word that no item has is as many characters 0, which no window holds.
     """
 
     def __init__(self, items: Iterable[tuple[str, str | None]], window: int):
         import ahocorasick
 
-        self.numbers: dict[bytes, int] = {}
+        texts = [(item, words_of(text)) for item, text in items]
+        numbers: dict[bytes, int] = {}
+        for _, words in texts:
+            for w in words:
+                numbers.setdefault(w, len(numbers))
+        self.width = 1
+        while _BASE**self.width < len(numbers):
+            self.width += 1
+        self.codes = {w: code_of(n, self.width) for w, n in numbers.items()}
         self.owners: list[list[str]] = []
         self.sizes: list[int] = []
-        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-        for item, text in items:
-            for run in windows_of(words_of(text), window):
-                key = tuple(self.numbers.setdefault(w, len(self.numbers) + 1) for w in run)
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        for item, words in texts:
+            for run in windows_of(words, window):
+                key = "".join([self.codes[w] for w in run])
                 at = self.automaton.get(key, None)
                 if at is None:
                     self.automaton.add_word(key, len(self.owners))
                     self.owners.append([item])
-                    self.sizes.append(len(key))
+                    self.sizes.append(len(run))
                 elif self.owners[at][-1] != item:  # items come in order
                     self.owners[at].append(item)
         if self.owners:
@@ -85,13 +102,14 @@ def scan(patterns: Patterns, text: str | None) -> tuple[int, list[list[int]], se
     items: set[str] = set()
     if not words or not patterns.owners:
         return len(words), runs, items
-    number = patterns.numbers.get
+    code, none = patterns.codes.get, "\0" * patterns.width
     hits: set[int] = set()
-    for end, at in patterns.automaton.iter(tuple([number(w, 0) for w in words])):
-        hits.add(at)
-        runs.append([end + 1 - patterns.sizes[at], end + 1])
-    for at in hits:
-        items.update(patterns.owners[at])
+    for at, found in patterns.automaton.iter("".join([code(w, none) for w in words])):
+        end = at // patterns.width + 1
+        hits.add(found)
+        runs.append([end - patterns.sizes[found], end])
+    for found in hits:
+        items.update(patterns.owners[found])
     return len(words), merged(runs), items
 
 

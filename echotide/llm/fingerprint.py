@@ -1,6 +1,6 @@
 """Document fingerprints by a homomorphic multiset hash of paragraphs.
 
-A paragraph, the text between two line ends, is hashed to a wide vector: 192 lanes
+A paragraph, the text between two line ends, is hashed to a wide vector: 72 lanes
 of 20 bits, all filled, three to a word of 64 bits, and ten groups of 64 lanes of
 16 bits.  The first group takes every paragraph, each further one the quarter of
 the one before whose hash is least; a hash fills one lane of a group that takes it.
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from ._order import placed
 
 #: Words of three filled lanes each: lane i of a word stands from bit 21 i, with a spare bit above it for the carry.
-DENSE, LANE_BITS = 64, 20
+DENSE, LANE_BITS = 24, 20
 LANES = sum(((1 << LANE_BITS) - 1) << (LANE_BITS + 1) * i for i in range(3))
 SPARSE, SPARSE_BITS = 64, 16
 GROUPS, CROWDED = 10, 56

@@ -31,6 +31,8 @@ from . import simhash
 from ._store import discard, materialise, small_batches
 
 BITS, WIDE = 512, 8192
+#: Parts that the texts of a component are dealt to when they are told its smallest id.
+SALTS = 32
 
 
 def _grams(text: str, shingle: int, seed: int):
@@ -296,12 +298,19 @@ def near_copies(
         texts_of(docs, text_col), shingle=shingle, seed=seed, per_mille=per_mille, radius=radius, shard_size=shard_size,
         sample=sample, often=often, group=group,
     )
-    roots = simhash.components(edges)
+    roots = materialise(simhash.components(edges), "roots")
     tie = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
     rows = docs.select(F.col(id_col).alias("doc_id"), tie.alias("tie"))
-    rooted = rows.join(roots, rows.tie == roots.node, "left").select("doc_id", "tie", F.coalesce("root", "tie").alias("root"))
-    smallest = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return rooted.join(smallest, "root").select("doc_id", "component_id", "tie")
+    least = materialise(rows.groupBy("tie").agg(F.min("doc_id").alias("least")), "least")
+    # of each component the smallest id, over its texts and its root; told to the texts by salted keys, as one component
+    # may have very many
+    linked = roots.union(roots.select("root", "root").distinct()).toDF("t", "root").join(least, F.col("t") == F.col("tie"))
+    smallest = linked.groupBy("root").agg(F.min("least").alias("component_id"))
+    spread = smallest.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = linked.select("t", "root", F.pmod("t", F.lit(SALTS)).cast("int").alias("salt"))
+    named = salted.join(spread, ["root", "salt"]).select(F.col("t").alias("tie"), "component_id")
+    every = least.join(named, "tie", "left").select("tie", F.coalesce("component_id", "least").alias("component_id"))
+    return rows.join(every, "tie").select("doc_id", "component_id", "tie")
 
 
 def keep_first(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:

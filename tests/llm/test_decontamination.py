@@ -93,3 +93,14 @@ def test_large_benchmark(spark):
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert plan.count("MapInArrow") == 1 and "Exchange" not in plan
     assert {r.doc_id: list(r["items"]) for r in got.collect()} == {i: [str(i)] if i % 2 == 0 else [] for i, _ in texts}
+
+
+def test_several_digits_a_word(texts, items, monkeypatch):
+    """More words than digits: each takes several, and no match begins inside a word."""
+    known = sorted((str(i), t) for i, t in items if i is not None and t is not None)
+    one = decontamination.Patterns(known, 8)
+    monkeypatch.setattr(decontamination, "_BASE", 3)
+    more = decontamination.Patterns(known, 8)
+    assert one.width == 1 and more.width > 2
+    for _, text in texts:
+        assert decontamination.scan(one, text) == decontamination.scan(more, text)
