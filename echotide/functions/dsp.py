@@ -79,25 +79,42 @@ def rank_filter(x: np.ndarray, size: int, pct: float) -> np.ndarray:
 
 def autocorrelation(x: np.ndarray) -> np.ndarray:
     """At every lag, 1 at none; empty for fewer than eight values."""
-    if len(x) < 8:
-        return np.zeros(0)
-    spectrum = np.fft.rfft(x - x.mean(), 2 * len(x))
-    acf = np.fft.irfft(np.abs(spectrum) ** 2, 2 * len(x))[: len(x)]
-    return acf / acf[0] if acf[0] > 0 else np.zeros(len(x))
-
-
-def lag_scaled_acf(x: np.ndarray, low: int, high: int) -> np.ndarray:
-    """Autocorrelation by octaves of lag, each of the series smoothed over an eighth of its lag."""
-    out = np.zeros(high + 1)
-    lag = max(1, low)
-    while lag <= high:
-        top = min(high, 2 * lag)
-        width = max(1, lag // 8)
-        acf = autocorrelation(x if width < 2 else np.convolve(x, np.ones(width) / width, mode="same"))
-        reach = min(top + 1, len(acf))
-        out[lag:reach] = acf[lag:reach]
-        lag = top + 1
-    return out
+    return acf_by_octave(x, np.array([0]))[0] if len(x) >= 8 else np.zeros(0)
+
+
+def acf_by_octave(x: np.ndarray, widths: np.ndarray) -> np.ndarray:
+    """A row for each width: the autocorrelation of the series smoothed over so many values (0: as it is).
+
+    Smoothing is a factor of the power spectrum, so all rows come from one transform there and one batch back.
+    """
+    n = len(x)
+    size = 1 << (2 * n - 1).bit_length()
+    power = np.abs(np.fft.rfft(x - x.mean(), size)) ** 2
+    half = np.pi * np.arange(size // 2 + 1) / size
+    with np.errstate(invalid="ignore", divide="ignore"):
+        gain = np.sin(np.outer(widths, half)) / (np.maximum(widths, 1)[:, None] * np.sin(half))
+    gain[:, 0] = 1
+    gain[widths < 2] = 1
+    rows = np.fft.irfft(power * gain**2, size)[:, :n]
+    first = rows[:, :1]
+    return np.where(first > 0, rows / np.where(first > 0, first, 1), 0.0)
+
+
+def prominences(x: np.ndarray, at: np.ndarray, reach: np.ndarray) -> np.ndarray:
+    """How far each place stands over the higher of the least values within its reach on either side."""
+    levels = [x]  # the least of each 1, 2, 4, ... values
+    while 2 ** len(levels) <= len(x):
+        step = 2 ** (len(levels) - 1)
+        levels.append(np.minimum(levels[-1][:-step], levels[-1][step:]))
+
+    def least(a: np.ndarray, z: np.ndarray) -> np.ndarray:
+        k = np.maximum(z - a, 1)
+        k = np.floor(np.log2(k)).astype(int)
+        return np.array([min(levels[i][s], levels[i][e - (1 << i)]) for i, s, e in zip(k, a, z, strict=True)])
+
+    before = least(np.maximum(at - reach, 0), at)
+    after = least(at + 1, np.minimum(at + reach + 1, len(x)))
+    return x[at] - np.maximum(before, after)
 
 
 def average_linkage(distance: np.ndarray, cut: float) -> np.ndarray:

@@ -113,3 +113,145 @@ def _running_max(df: DataFrame, keys: list[str], value: str, block: int = series
     within = Window.partitionBy(*keys, "_blk").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     out = dealt.withColumn("_w", F.max(value).over(within)).join(tops, [*keys, "_blk"])
     return out.withColumn("_reach", F.greatest("_w", "_o")).drop("_blk", "_w", "_o")
+
+
+def array_bearing(pairs: DataFrame, keys: list[str], geometry: dict) -> DataFrame:
+    """Per frame, the bearing of a linear array from the delays of its pairs (a, b, delay_s, prominence): degrees from the
+    line of the first to the last microphone, its confidence, the residual, and whether it had to be cut to the line."""
+    if not geometry["linear"]:
+        raise ValueError("a bearing needs microphones on a line")
+    along = F.array(*[F.lit(float(v)) for v in geometry["pos"] @ geometry["axis"]])
+    apart = F.get(along, F.col("a")) - F.get(along, F.col("b"))
+    w = F.greatest("prominence", F.lit(0.0))
+    delay = F.when(~F.isnan("delay_s"), F.col("delay_s")).otherwise(0.0)
+    rows = pairs.select(*keys, apart.alias("_d"), w.alias("_w"), F.coalesce(delay, F.lit(0.0)).alias("_t"), "prominence")
+    sums = rows.groupBy(*keys).agg(
+        F.sum(F.col("_w") * F.col("_d") * F.col("_d")).alias("_dd"),
+        F.sum(F.col("_w") * F.col("_d") * F.col("_t")).alias("_dt"),
+        F.sum("_w").alias("_ww"),
+        F.sum(F.col("_w") * F.col("_t") * F.col("_t")).alias("_tt"),
+        quantile(F.col("prominence"), 0.5).alias("confidence"),
+    )
+    c = geometry["c"]
+    cosine = F.when(F.col("_dd") > 1e-12, -c * F.col("_dt") / F.col("_dd"))
+    cut = F.least(F.greatest(cosine, F.lit(-1.0)), F.lit(1.0))
+    rest = F.col("_tt") + 2 * cut / c * F.col("_dt") + cut * cut / (c * c) * F.col("_dd")
+    return sums.select(
+        *keys,
+        F.degrees(F.acos(cut)).alias("bearing_deg"),
+        "confidence",
+        F.sqrt(F.greatest(rest, F.lit(0.0)) / (F.col("_ww") + 1e-12)).alias("residual_s"),
+        (F.abs(cosine) > 1).alias("clipped"),
+    )
+
+
+def on_grid(bearings: DataFrame, node: str, t: str, grid_s: float = 1.0, least: float = 0.2) -> DataFrame:
+    """Per node and step of a common grid, the frame nearest to the step, if within half a step, confident and not cut."""
+    step = F.rint(F.col(t) / grid_s)
+    near = bearings.withColumn("k", step.cast("bigint")).withColumn("_off", F.abs(F.col(t) - F.col("k") * grid_s))
+    first = Window.partitionBy(node, "k").orderBy("_off", t)
+    best = near.where(F.col("_off") <= grid_s / 2).withColumn("_r", F.row_number().over(first)).where("_r = 1")
+    return best.where((F.col("confidence") >= least) & ~F.col("clipped") & F.col("bearing_deg").isNotNull()).drop("_off", "_r")
+
+
+def triangulate(bearings: DataFrame, plan: list[dict], node: str = "node", t: str = "t", grid_s: float = 1.0, least: float = 0.2) -> DataFrame:
+    """Where the bearings of all nodes of a plan meet, per step of a grid: (k, t, x, y, residual_m, angle_deg, confidence,
+    ambiguous).
+
+    A line array does not tell its two sides apart, so every choice of sides is solved by weighted least squares; a
+    choice that puts the source behind a node is out, the one with the least residual wins, and the point is ambiguous
+    if the next is nearly as good.
+    """
+    n = len(plan)
+    held = on_grid(bearings, node, t, grid_s, least)
+    place = {p["name"]: k for k, p in enumerate(plan)}
+    numbered = held.withColumn("_n", F.create_map(*[F.lit(v) for pair in place.items() for v in pair])[F.col(node)]).where("_n is not null")
+    met = numbered.groupBy("k").agg(F.sort_array(F.collect_list(F.struct("_n", "bearing_deg", "confidence"))).alias("b"), F.count("*").alias("_c"))
+    met = met.where(F.col("_c") == n)
+    sides = F.explode(F.array(*[F.array(*[F.lit(1.0 if m >> k & 1 else -1.0) for k in range(n)]) for m in range(1 << n)]))
+    rows = met.select("k", "b", sides.alias("s"))
+    parts = []
+    for k, p in enumerate(plan):
+        turn = F.radians(F.lit(p["axis_deg"]) + F.get("s", F.lit(k)) * F.get("b", F.lit(k))["bearing_deg"])
+        w = F.get("b", F.lit(k))["confidence"]
+        parts.append((F.cos(turn), F.sin(turn), w, F.lit(p["pos"][0]), F.lit(p["pos"][1])))
+    total = lambda values: sum(values[1:], values[0])
+    a = total([w * (1 - u * u) for u, _, w, _, _ in parts])
+    b = total([-w * u * v for u, v, w, _, _ in parts])
+    c = total([w * (1 - v * v) for _, v, w, _, _ in parts])
+    p = total([w * ((1 - u * u) * x - u * v * y) for u, v, w, x, y in parts])
+    q = total([w * (-u * v * x + (1 - v * v) * y) for u, v, w, x, y in parts])
+    solved = rows.withColumns({"_det": a * c - b * b, "_p": p, "_q": q, "_a": a, "_b": b, "_c": c}).where(F.abs("_det") >= 1e-9)
+    solved = solved.withColumns({"x": (F.col("_c") * F.col("_p") - F.col("_b") * F.col("_q")) / F.col("_det"), "y": (F.col("_a") * F.col("_q") - F.col("_b") * F.col("_p")) / F.col("_det")})
+    ahead = [(F.col("x") - x) * u + (F.col("y") - y) * v for u, v, _, x, y in parts]
+    off = [w * (F.pow(F.col("x") - x, 2) + F.pow(F.col("y") - y, 2) - along * along) for (_, _, w, x, y), along in zip(parts, ahead, strict=True)]
+    rest = F.sqrt(F.greatest(total(off), F.lit(0.0)) / total([w for _, _, w, _, _ in parts]))
+    angles = [
+        F.abs(F.degrees(F.asin(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), parts[i][0] * parts[j][1] - parts[i][1] * parts[j][0])))))
+        for i in range(n)
+        for j in range(i + 1, n)
+    ]
+    behind = total([(v < 0).cast("int") for v in ahead]) > 0
+    told = solved.select(
+        "k", "x", "y", rest.alias("residual_m"), (F.least(*angles) if len(angles) > 1 else angles[0]).alias("angle_deg"),
+        F.array_min(F.transform("b", lambda s: s["confidence"])).alias("confidence"), behind.alias("_behind"),
+    )
+    order = Window.partitionBy("k").orderBy("_behind", "residual_m", "x", "y")
+    ranked = told.withColumns({"_r": F.row_number().over(order), "_next": F.lead(F.when(~F.col("_behind"), F.col("residual_m"))).over(order)})
+    best = ranked.where("_r = 1 and not _behind")
+    near = F.coalesce(F.col("_next") <= 2 * F.col("residual_m") + 0.05, F.lit(False))
+    return best.select("k", (F.col("k") * grid_s).alias("t"), "x", "y", "residual_m", "angle_deg", "confidence", near.alias("ambiguous"))
+
+
+def single_sources(labels: DataFrame, keys: list[str], frame: str = "frame") -> DataFrame:
+    """Labels of frames that have exactly one."""
+    alone = labels.groupBy(*keys, frame).agg(F.count("*").alias("_n")).where("_n = 1")
+    return labels.join(alone.select(*keys, frame), [*keys, frame], "left_semi")
+
+
+def frame_directions(blocks: DataFrame, frame_s: float = 0.1, band: tuple[float, float] = (80.0, 3000.0), sub_s: float | None = None) -> DataFrame:
+    """Azimuth, energy and diffuseness of each whole frame of four-channel blocks, in a band: (path, frame, az_deg, energy,
+    diffuseness).
+
+    With ``sub_s`` the azimuths of parts of a frame are averaged by their energy; else the whole frame's intensity counts.
+    """
+    import numpy as np
+    import pandas as pd
+
+    from ..sources.wav import WYZX
+
+    def run(batches):
+        for batch in batches:
+            for r in batch.itertuples():
+                x = np.asarray(r.samples, float).reshape(-1, r.channels)
+                if r.channels < 4:
+                    raise ValueError(f"{r.path} has {r.channels} channels, not four")
+                f = np.fft.rfftfreq(len(x), 1 / r.samplerate)
+                low, high = band[0], min(band[1], 0.45 * r.samplerate)
+                with np.errstate(divide="ignore"):
+                    away = (f**2 - low * high) / (np.maximum(f, 1e-9) * (high - low))
+                x = np.fft.irfft(np.fft.rfft(x, axis=0) / np.sqrt(1 + away**8)[:, None], len(x), axis=0)[r.lead :]
+                size = max(1, round(frame_s * r.samplerate))
+                n = len(x) // size
+                w, y, z, v = (x[: n * size, k].reshape(n, size) for k in WYZX[r.order])
+                ix, iy, iz = ((w * k).sum(axis=1) for k in (v, y, z))
+                energy = (w**2).sum(axis=1) + (v**2 + y**2 + z**2).sum(axis=1) / 3
+                az = np.degrees(np.arctan2(iy, ix))
+                part = max(1, round((sub_s or 0) * r.samplerate))
+                if sub_s and size // part >= 2:
+                    cut = [k[:, : size // part * part].reshape(n, -1, part) for k in (w, y, v)]
+                    a = np.arctan2((cut[0] * cut[1]).sum(axis=2), (cut[0] * cut[2]).sum(axis=2))
+                    az = np.degrees(np.angle(((cut[0] ** 2).sum(axis=2) * np.exp(1j * a)).sum(axis=1)))
+                wide = np.clip(1 - np.sqrt(ix**2 + iy**2 + iz**2) / (energy / 2 + 1e-20), 0, 1)
+                first = round(r.first / size)
+                yield pd.DataFrame({"path": r.path, "frame": first + np.arange(n), "az_deg": az, "energy": (w**2).sum(axis=1), "diffuseness": wide})
+
+    held = blocks.select("path", "first", "samplerate", "channels", "order", "lead", "samples")
+    return held.mapInPandas(run, "path string, frame bigint, az_deg double, energy double, diffuseness double")
+
+
+def validate(labels: DataFrame, directions: DataFrame, keys: list[str], frame: str = "frame") -> DataFrame:
+    """Labelled frames of one source beside their directions: keys, frame, class, error_deg, diffuseness."""
+    alone = single_sources(labels, keys, frame)
+    met = alone.join(directions.select(*keys, frame, "az_deg", "diffuseness"), [*keys, frame])
+    return met.select(*keys, frame, "class", wrap_degrees(F.col("az_deg") - F.col("azimuth")).alias("error_deg"), "diffuseness")

@@ -153,8 +153,30 @@ def grid_scan(df: DataFrame, keys: list[str], t: str, x: str, bg: str, period: f
     )
 
 
-def match_periods(df: DataFrame, keys: list[str], period: Column, known: dict[str, float], tolerance: float = 0.05) -> DataFrame:
-    """The named period nearest to each, in ratio, if within ``tolerance``."""
-    options = F.array(*[F.struct(F.abs(F.ln(period / v)).alias("d"), F.lit(k).alias("name")) for k, v in known.items()])
-    best = F.array_min(options)
-    return df.withColumn("matched", F.when(best["d"] <= math.log(1 + tolerance), best["name"]))
+#: The periods of public clocks, in seconds.
+CIVIC = [60.0, 300.0, 900.0, 1800.0, 3600.0, 86400.0]
+
+
+def match_periods(df: DataFrame, keys: list[str], t: str, periods: list[float] = CIVIC) -> DataFrame:
+    """How events gather at a phase of each period, best first: phase, concentration, spread, chance, number, and how many
+    cycles they are spread over (in one cycle any events gather)."""
+    rows = df.select(*keys, F.col(t).alias("_t"), F.explode(F.array(*[F.lit(float(p)) for p in periods])).alias("period_s"))
+    angle = 2 * math.pi * F.pmod(F.col("_t") / F.col("period_s"), F.lit(1.0))
+    found = rows.groupBy(*keys, "period_s").agg(
+        F.atan2(F.sum(F.sin(angle)), F.sum(F.cos(angle))).alias("_a"),
+        (F.sqrt(F.pow(F.sum(F.sin(angle)), 2) + F.pow(F.sum(F.cos(angle)), 2)) / F.count("*")).alias("r"),
+        F.count("*").alias("n"),
+        (F.max("_t") - F.min("_t")).alias("_span"),
+    )
+    turn = F.pmod(F.col("_a") / (2 * math.pi), F.lit(1.0))
+    out = found.select(
+        *keys,
+        "period_s",
+        (turn * F.col("period_s")).alias("phase_s"),
+        "r",
+        (circular_sd(F.col("r")) / (2 * math.pi) * F.col("period_s")).alias("circ_sd_s"),
+        rayleigh_p(F.col("r"), F.col("n")).alias("rayleigh_p"),
+        "n",
+        (F.floor(F.col("_span") / F.col("period_s")) + 1).alias("n_cycles"),
+    )
+    return out.orderBy(*keys, F.desc("r"))

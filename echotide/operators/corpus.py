@@ -144,27 +144,128 @@ def survey_summary(df: DataFrame, keys: list[str]) -> DataFrame:
     ).drop("_pp", "_ee", "_pe")
 
 
-#: Seconds that a descriptor needs; below them a hard one does not exist, a soft one is unsure.
-NEEDS = {
-    "hard": {
-        "aci": 300.0, "tonal_prominence_db": 60.0, "tonal_prominence_hz": 60.0, "n_prominent_tones": 60.0,
-        "attack_s": 0.2, "decay_s": 0.2, "temporal_centroid": 0.2, "bird_active_minute_fraction": 60.0,
-    },
-    "soft": {
-        "L50": 60.0, "L90": 60.0, "L10": 60.0, "dynamics_L10_L90": 60.0, "fg_fraction_median": 60.0, "fg_fraction_p90": 60.0,
-        "events_per_min": 60.0, "intermittency_ratio_pct": 60.0, "mech_periodicity_hz": 10800.0,
-        "mech_periodicity_strength": 10800.0, "crest_db": 0.2, "iteration_hz": 0.2, "iteration_strength": 0.2, "ndsi": 360.0,
-        "bi": 360.0, "aei": 360.0, "fluctuation_index": 360.0, "spectral_events_per_min": 60.0,
-        "spectral_event_median_dur_s": 30.0, "bird_peaks_per_min": 60.0, "bird_event_rate_per_min": 60.0,
-        "bird_band_activity_pct": 60.0, "acoustic_entropy": 60.0, "anthro_activity_fraction": 60.0, "bird_temporal_entropy": 60.0,
-    },
-}
+#: Per descriptor its tier of evidence, the seconds that it needs, and whether below them it does not exist
+#: (hard) or is unsure (soft).
+REGISTRY = [
+    ("floor_suspect", "S", None, None),
+    ("floor_suspect_lo_hz", "S", None, None),
+    ("floor_suspect_hi_hz", "S", None, None),
+    ("floor_spread_db", "S", None, None),
+    ("duration_min", "S", None, None),
+    ("leq_dbfs", "S", None, None),
+    ("laeq_dbfs", "PC", None, None),
+    ("laeq_trim5_dbfs", "PC", None, None),
+    ("leq_minus_laeq_db", "PC", None, None),
+    ("L10", "PC", 60.0, "soft"),
+    ("L50", "PC", 60.0, "soft"),
+    ("L90", "PC", 60.0, "soft"),
+    ("dynamics_L10_L90", "PC", 60.0, "soft"),
+    ("events_per_min", "PM", 60.0, "soft"),
+    ("event_median_dur_s", "PM", None, None),
+    ("centroid_median_hz", "S", None, None),
+    ("flatness_median", "S", None, None),
+    ("diffuseness_median", "S", None, None),
+    ("diffuseness_iqr", "S", None, None),
+    ("azimuth_mean_deg", "S", None, None),
+    ("azimuth_R", "S", None, None),
+    ("azimuth_fg_deg", "PD", None, None),
+    ("elevation_fg_median_deg", "PD", None, None),
+    ("n_events", "PM", None, None),
+    ("emergence_db", "PM", None, None),
+    ("intermittency_ratio_pct", "PM", 60.0, "soft"),
+    ("fg_fraction_median", "PD", 60.0, "soft"),
+    ("fg_fraction_p90", "PD", 60.0, "soft"),
+    ("spectral_events_per_min", "PM", 60.0, "soft"),
+    ("spectral_event_median_dur_s", "PM", 30.0, "soft"),
+    ("aci", "S", 300.0, "hard"),
+    ("adi", "S", None, None),
+    ("aei", "S", 360.0, "soft"),
+    ("ndsi", "S", 360.0, "soft"),
+    ("bi", "S", 360.0, "soft"),
+    ("acoustic_entropy", "S", 60.0, "soft"),
+    ("directional_entropy", "S", None, None),
+    ("above_horizon_fraction", "S", None, None),
+    ("below_horizon_fraction", "S", None, None),
+    ("fgbg_az_overlap", "PD", None, None),
+    ("bird_peaks_per_min", "S", 60.0, "soft"),
+    ("bird_active_minute_fraction", "S", 60.0, "hard"),
+    ("bird_band_activity_pct", "S", 60.0, "soft"),
+    ("bird_event_rate_per_min", "S", 60.0, "soft"),
+    ("bird_temporal_entropy", "S", 60.0, "soft"),
+    ("bird_directional_entropy", "S", None, None),
+    ("bird_above_horizon_fraction", "S", None, None),
+    ("mech_lowfreq_fraction", "S", None, None),
+    ("mech_rumble_db", "S", None, None),
+    ("mech_periodicity_hz", "S", 10800.0, "soft"),
+    ("mech_periodicity_strength", "S", 10800.0, "soft"),
+    ("mechanical_index", "PM", None, None),
+    ("anthro_voiceband_fraction", "PM", None, None),
+    ("anthro_syllabic_mod", "PM", None, None),
+    ("anthro_activity_fraction", "PM", 60.0, "soft"),
+    ("anthrophony_index", "PM", None, None),
+    ("geo_lowfreq_fraction", "S", None, None),
+    ("geo_highband_fraction", "S", None, None),
+    ("geo_wind_index", "PM", None, None),
+    ("geo_rain_index", "PM", None, None),
+    ("geophony_index", "PM", None, None),
+    ("tonal_prominence_db", "PM", 60.0, "hard"),
+    ("tonal_prominence_hz", "PM", 60.0, "hard"),
+    ("n_prominent_tones", "PM", 60.0, "hard"),
+    ("fluctuation_index", "PM", 360.0, "soft"),
+    ("attack_s", "S", 0.2, "hard"),
+    ("decay_s", "S", 0.2, "hard"),
+    ("temporal_centroid", "S", 0.2, "hard"),
+    ("crest_db", "S", 0.2, "soft"),
+    ("iteration_hz", "S", 0.2, "soft"),
+    ("iteration_strength", "S", 0.2, "soft"),
+]
+#: The tiers, from no listener in the number to a number that stands for one.
+TIERS = {"S": "signal only", "PM": "perceptually motivated", "PC": "perceptually calibrated", "PD": "perceptually defined"}
+
+
+def registry(df: DataFrame) -> DataFrame:
+    """The registry as a table (key, tier, min_s, kind); a tier that is none is an error."""
+    if bad := [k for k, t, _, _ in REGISTRY if t not in TIERS]:
+        raise ValueError(f"no tier: {', '.join(bad)}")
+    return df.sparkSession.createDataFrame(REGISTRY, "key string, tier string, min_s double, kind string")
 
 
 def needs(df: DataFrame) -> DataFrame:
-    """The registry as a table (key, min_s, kind)."""
-    rows = [(k, s, kind) for kind, held in NEEDS.items() for k, s in held.items()]
-    return df.sparkSession.createDataFrame(rows, "key string, min_s double, kind string")
+    """The registered needs as a table (key, min_s, kind)."""
+    return registry(df).where("min_s is not null").select("key", "min_s", "kind")
+
+
+def tiers(df: DataFrame) -> DataFrame:
+    """The registered tiers as a table (tier, meaning, key), from the signal up."""
+    order = {t: k for k, t in enumerate(TIERS)}
+    meaning = F.create_map(*[F.lit(x) for pair in TIERS.items() for x in pair])
+    place = F.create_map(*[F.lit(x) for pair in order.items() for x in pair])
+    return registry(df).select("tier", meaning[F.col("tier")].alias("meaning"), "key", place[F.col("tier")].alias("place")).orderBy("place", "key")
+
+
+def tier_counts(df: DataFrame) -> DataFrame:
+    """How many registered descriptors each tier has."""
+    return registry(df).groupBy("tier").count()
+
+
+def with_tier(long: DataFrame) -> DataFrame:
+    """(session..., key, value) with the key's tier; null where it has none."""
+    return long.join(F.broadcast(registry(long).select("key", "tier")), "key", "left")
+
+
+def cautions(long: DataFrame, keys: list[str]) -> DataFrame:
+    """Per session, the keys whose values are easily taken for facts about a listener (PD), in order, and the number of
+    those that are only motivated by one (PM)."""
+    known = with_tier(long)
+    return known.groupBy(*keys).agg(
+        F.array_sort(F.collect_set(F.when(F.col("tier") == "PD", F.col("key")))).alias("defined"),
+        F.count(F.when(F.col("tier") == "PM", 1)).alias("n_motivated"),
+    )
+
+
+def ungrounded(long: DataFrame, exempt: list[str]) -> DataFrame:
+    """Keys that have neither a tier nor an exemption."""
+    return long.select("key").distinct().join(F.broadcast(registry(long).select("key")), "key", "left_anti").where(~F.col("key").isin(exempt))
 
 
 def gate(long: DataFrame, duration: str) -> DataFrame:
@@ -177,3 +278,38 @@ def gate(long: DataFrame, duration: str) -> DataFrame:
 def unregistered(long: DataFrame, exempt: list[str]) -> DataFrame:
     """Keys that have neither a registered need nor an exemption."""
     return long.select("key").distinct().join(F.broadcast(needs(long)), "key", "left_anti").where(~F.col("key").isin(exempt))
+
+
+def detect_scale(df: DataFrame) -> str:
+    """Whether answers go from 1 to 5 or from 0 to 100, by the least and the largest of all scales; others are an error."""
+    low, high = df.agg(F.min(F.least(*SCALES)), F.max(F.greatest(*SCALES))).first()
+    if low is None or low < 0 or high > 100:
+        raise ValueError("answers are neither 1 to 5 nor 0 to 100")
+    return "1-5" if low >= 1 and high <= 5 else "0-100"
+
+
+def versus(survey: DataFrame, measured: DataFrame, pairs: list[tuple[str, str, list[str]]]) -> DataFrame:
+    """Survey values beside measured ones: for each (label, survey key, measured keys), the first measured key there is.
+
+    Both tables are long (key, value) of one session.
+    """
+    rows = [(place, label, key, k, alt) for place, (label, key, alts) in enumerate(pairs) for k, alt in enumerate(alts)]
+    plan = survey.sparkSession.createDataFrame(rows, "place int, label string, skey string, k int, mkey string")
+    left = F.broadcast(plan).join(survey.select(F.col("key").alias("skey"), F.col("value").alias("survey")), "skey")
+    met = left.join(measured.select(F.col("key").alias("mkey"), F.col("value").alias("measured")), "mkey", "left")
+    first = F.min(F.when(F.col("measured").isNotNull(), F.struct("k", "mkey", "measured"))).alias("m")
+    found = met.groupBy("place", "label", "survey").agg(first)
+    return found.select("place", "label", "survey", F.col("m.mkey").alias("measured_key"), F.col("m.measured").alias("measured")).orderBy("place")
+
+
+def prefixed(long: DataFrame, prefix: str) -> DataFrame:
+    """Long values under keys of their own family, for a summary."""
+    return long.withColumn("key", F.concat(F.lit(prefix), "key"))
+
+
+def finite_series(long: DataFrame, least: int = 3) -> DataFrame:
+    """(session, date, key, value) of keys with ``least`` finite values at least; rows without a date or a finite value go."""
+    ok = F.col("value").isNotNull() & ~F.isnan("value") & (F.abs("value") < float("inf"))
+    rows = long.where(F.col("date").isNotNull() & ok)
+    enough = rows.groupBy("key").agg(F.count("*").alias("_n")).where(F.col("_n") >= least)
+    return rows.join(enough.select("key"), "key", "left_semi")

@@ -106,6 +106,14 @@ def foreground(df: DataFrame, keys: list[str], size: int, pct: float = 10.0, ris
     return rows.groupBy(*keys, "i").agg(part.alias("fg_fraction"))
 
 
+def rises(df: DataFrame, keys: list[str], size: int, pct: float = 10.0) -> DataFrame:
+    """Per row, how far each band stands over its running background, in decibels: (keys..., i, rise)."""
+    rows = series.rank_filter(bands(df, [*keys, "i", "n"]), [*keys, "band"], "power", size, pct, "bg")
+    rise = 10 * F.log10((F.col("power") + _EPS) / (F.col("bg") + _EPS))
+    held = F.sort_array(F.collect_list(F.struct("band", rise.alias("r"))))
+    return rows.groupBy(*keys, "i").agg(F.transform(held, lambda s: s["r"]).alias("rise"))
+
+
 def masking(df: DataFrame, keys: list[str], active: Column) -> DataFrame:
     """Per band, how far the median of active rows stands over that of the others, in decibels."""
     rows = bands(df.withColumn("_on", active), [*keys, "_on"])

@@ -6,8 +6,6 @@ seed, so results repeat.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -26,13 +24,18 @@ def common_clock(sound: DataFrame, movement: DataFrame, keys: list[str], dt: flo
     return a.join(b, [*keys, "k"])
 
 
-def shifted_chance(value: Callable[[int], float], n: int, least: int, surrogates: int, seed: int) -> tuple[float, float, float]:
-    """The unshifted value, the chance of one as large under circular shifts, and their 95th percentile."""
-    low = min(least, max(n // 4, 1))
-    shifts = np.random.default_rng(seed).integers(low, max(n - low, low + 1), size=surrogates)
-    null = np.abs([value(int(s)) for s in shifts])
-    seen = value(0)
-    return seen, float((1 + (null >= abs(seen)).sum()) / (1 + surrogates)), float(np.percentile(null, 95))
+def turned(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The sum of ``a`` times the conjugate of ``b`` moved by s places in a circle, for every s: one product of spectra."""
+    return np.fft.ifft(np.fft.fft(a) * np.conj(np.fft.fft(b)))
+
+
+def chance(values: np.ndarray, least: int, surrogates: int, seed: int) -> tuple[float, float, float]:
+    """The value without a shift, how often one as large comes from a drawn shift of ``least`` places or more, and their
+    95th percentile.  ``values`` holds a value for every shift."""
+    n = len(values)
+    least = min(least, max(n // 4, 1))
+    drawn = np.abs(values[np.random.default_rng(seed).integers(least, max(n - least, least + 1), surrogates)])
+    return float(values[0]), float((1 + np.count_nonzero(drawn >= abs(values[0]))) / (1 + surrogates)), float(np.percentile(drawn, 95))
 
 
 def _statistic(df: DataFrame, keys: list[str], order: str, columns: list[str], dt: float, surrogates: int, least_s: float, seed: int, make) -> DataFrame:
@@ -42,8 +45,8 @@ def _statistic(df: DataFrame, keys: list[str], order: str, columns: list[str], d
         pdf = pdf.sort_values(order).dropna(subset=columns)
         row = dict.fromkeys(("value", "p", "null95"), np.nan)
         if len(pdf) >= 16:
-            held = make(*(pdf[c].to_numpy(float) for c in columns))
-            row = dict(zip(row, shifted_chance(held, len(pdf), int(least_s / dt), surrogates, seed), strict=True))
+            values = make(*(pdf[c].to_numpy(float) for c in columns))
+            row = dict(zip(row, chance(values, int(least_s / dt), surrogates, seed), strict=True))
         out = pd.DataFrame([{**row, "n": len(pdf)}])
         for at, k in enumerate(keys):
             out.insert(at, k, pdf[k].iloc[0] if len(pdf) else None)
@@ -56,15 +59,37 @@ def correlation(df: DataFrame, keys: list[str], order: str, dt: float, surrogate
     """Correlation of the level with the logarithm of movement."""
 
     def make(level, qom):
-        a = level - level.mean()
-        b = np.log10(qom + _EPS)
-        b = b - b.mean()
-        norm = np.sqrt((a**2).sum() * (b**2).sum()) + _EPS
-        return lambda s: float((a * np.roll(b, s)).sum() / norm)
+        sound, body = level - level.mean(), np.log10(qom + _EPS)
+        body = body - body.mean()
+        return np.real(turned(sound, body)) / (np.linalg.norm(sound) * np.linalg.norm(body) + _EPS)
 
     return _statistic(df, keys, order, ["level_db", "qom"], dt, surrogates, least_s, seed, make)
 
 
+def directional_correlation(df: DataFrame, keys: list[str], order: str, dt: float, azimuth: str = "az", sway: str = "sway", mask: str | None = None, surrogates: int = 200, least_s: float = 10.0, seed: int = 0) -> DataFrame:
+    """Circular correlation of a bearing with twice a sway axis, in degrees; rows where ``mask`` is false do not count.
+
+    Sway is an axis, which half a turn maps to itself; hence twice.
+    """
+
+    def make(az, axis, held=None):
+        held = np.ones(len(az)) if held is None else held
+        a, b = np.radians(az), 2 * np.radians(axis)
+        mean = np.angle((held * np.exp(1j * a)).sum())
+        x = held * np.sin(a - mean)
+        one = np.exp(1j * b)
+        # per shift: the mean of the moved axes under the mask, then the sums of products of sines
+        middle = np.angle(turned(held, np.conj(one)))
+        with_sin, with_cos = np.real(turned(x, np.sin(b))), np.real(turned(x, np.cos(b)))
+        over = np.cos(middle) * with_sin - np.sin(middle) * with_cos
+        both = np.real(turned(held, np.sin(b) ** 2)), np.real(turned(held, np.cos(b) ** 2)), np.real(turned(held, np.sin(b) * np.cos(b)))
+        power = np.cos(middle) ** 2 * both[0] + np.sin(middle) ** 2 * both[1] - 2 * np.sin(middle) * np.cos(middle) * both[2]
+        return over / (np.sqrt((x**2).sum() * np.maximum(power, 0)) + _EPS)
+
+    rows = df if mask is None else df.withColumn(mask, F.col(mask).cast("double"))
+    return _statistic(rows, keys, order, [azimuth, sway, *([mask] if mask else [])], dt, surrogates, least_s, seed, make)
+
+
 def phase_locking(df: DataFrame, keys: list[str], order: str, dt: float, band: tuple[float, float], surrogates: int = 200, least_s: float = 10.0, seed: int = 0) -> DataFrame:
     """How steady the phase between both series is within a band of rates."""
 
@@ -75,7 +100,6 @@ def phase_locking(df: DataFrame, keys: list[str], order: str, dt: float, band: t
         return np.angle(analytic(np.fft.irfft(spectrum, len(x))))
 
     def make(level, qom):
-        a, b = phases(level), phases(qom)
-        return lambda s: float(np.abs(np.exp(1j * (a - np.roll(b, s))).mean()))
+        return np.abs(turned(np.exp(1j * phases(level)), np.exp(1j * phases(qom)))) / len(level)
 
     return _statistic(df, keys, order, ["level_db", "qom"], dt, surrogates, least_s, seed, make)

@@ -1,9 +1,11 @@
 """From samples to features on four clocks: 20 ms, 125 ms, 1 s and 60 s.
 
 A block of a recording is one row and is extracted by itself, so a recording is
-spread over as many tasks as it has blocks.  The A-weighting filter starts at
-rest in each block.  Direction and diffuseness are given for four-channel
-recordings, and partly for two channels; they are null for one.
+spread over as many tasks as it has blocks.  The A-weighting filter is at rest
+where a recording begins; other blocks must bring a lead (the source's option
+``lead_s``; half a second is enough) for it to settle.  Direction and diffuseness
+are given for four-channel recordings, in the order that their headers tell, and
+partly for two channels; they are null for one.
 """
 
 from __future__ import annotations
@@ -12,9 +14,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..functions import dsp
+from ..sources.wav import WYZX
 
 _EPS = 1e-20
 SECONDS = (
@@ -93,30 +98,35 @@ def _means(x: np.ndarray, n: int) -> np.ndarray:
 
 
 def _each(blocks: DataFrame, shape: str, make) -> DataFrame:
+    """What ``make(samples, rate, mode, order, lead)`` finds in each block; samples begin with the lead."""
     names = [c.split()[0] for c in shape.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for r in batch.itertuples():
                 x = np.asarray(r.samples, np.float32).reshape(-1, r.channels)
-                rows = pd.DataFrame(make(x, int(r.samplerate), _mode(r.channels)))
+                rows = pd.DataFrame(make(x, int(r.samplerate), _mode(r.channels), WYZX[r.order], int(r.lead)))
                 rows["path"] = r.path
                 if len(rows):
                     rows["t"] += r.first / r.samplerate
                     yield rows.reindex(columns=names)
 
-    return blocks.select("path", "first", "samplerate", "channels", "samples").mapInPandas(run, shape)
+    held = blocks if "order" in blocks.columns else blocks.withColumns({"order": F.lit("ambix"), "lead": F.lit(0)})
+    return held.select("path", "first", "samplerate", "channels", "order", "lead", "samples").mapInPandas(run, shape)
 
 
 def per_second(blocks: DataFrame) -> DataFrame:
-    return _each(blocks, SECONDS, lambda x, fs, mode: [{k: v for k, v in r.items() if k != "spectrum"} for r in seconds_of(x, fs, mode)])
+    def make(x, fs, mode, order, lead):
+        return [{k: v for k, v in r.items() if k != "spectrum"} for r in seconds_of(x[lead:], fs, mode, order=order)]
+
+    return _each(blocks, SECONDS, make)
 
 
 def per_minute(blocks: DataFrame) -> DataFrame:
     """Mean spectrum of each block of a minute."""
 
-    def make(x, fs, mode):
-        found = [r["spectrum"] for r in seconds_of(x, fs, mode) if "spectrum" in r]
+    def make(x, fs, mode, order, lead):
+        found = [r["spectrum"] for r in seconds_of(x[lead:], fs, mode, order=order) if "spectrum" in r]
         return [{"t": 0.0, "minspec": np.mean(found, axis=0).tolist()}] if found else []
 
     return _each(blocks, MINUTES, make)
@@ -125,10 +135,11 @@ def per_minute(blocks: DataFrame) -> DataFrame:
 def fast(blocks: DataFrame, dt: float = 0.125) -> DataFrame:
     """Levels, plain and A-weighted, of each eighth of a second."""
 
-    def make(x, fs, mode):
+    def make(x, fs, mode, order, lead):
         ref, n = _mono(x, mode).astype(float), max(1, round(dt * fs))
-        plain, weighted = (10 * np.log10(_means(v, n) + _EPS) for v in (ref, dsp.filtered(ref, dsp.a_response, fs)))
-        return {"t": np.arange(len(plain)) * n / fs, "fast_db": plain, "fast_dba": weighted}
+        weighted = dsp.filtered(ref, dsp.a_response, fs)
+        plain, heard = (10 * np.log10(_means(v[lead:], n) + _EPS) for v in (ref, weighted))
+        return {"t": np.arange(len(plain)) * n / fs, "fast_db": plain, "fast_dba": heard}
 
     return _each(blocks, FAST, make)
 
@@ -136,9 +147,24 @@ def fast(blocks: DataFrame, dt: float = 0.125) -> DataFrame:
 def envelope(blocks: DataFrame, dt: float = 0.02) -> DataFrame:
     """Power of each 20 ms."""
 
-    def make(x, fs, mode):
+    def make(x, fs, mode, order, lead):
         n = max(1, round(dt * fs))
-        power = _means(_mono(x, mode), n)
+        power = _means(_mono(x[lead:], mode), n)
         return {"t": np.arange(len(power)) * n / fs, "env_hi": power}
 
     return _each(blocks, HIGH, make)
+
+
+def write(blocks: DataFrame, folder: str) -> None:
+    """All four tables as Parquet, parted by recording; recordings that are there already are left out."""
+    spark = blocks.sparkSession
+    for name, make in (("seconds", per_second), ("fast", fast), ("envelope", envelope), ("minutes", per_minute)):
+        target = f"{folder.rstrip('/')}/{name}"
+        todo = blocks.withColumn("take", F.element_at(F.split("path", "/"), -1))
+        try:
+            done = spark.read.parquet(target).select("take").distinct()
+        except AnalysisException:  # none yet
+            done = None
+        todo = todo if done is None else todo.join(done, "take", "left_anti")
+        found = make(todo.drop("take")).withColumn("take", F.element_at(F.split("path", "/"), -1))
+        found.write.mode("append").partitionBy("take").parquet(target)

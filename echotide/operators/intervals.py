@@ -27,6 +27,15 @@ def inside(df: DataFrame, spans: DataFrame, keys: list[str], t: str, width: floa
     return rows.join(cut, condition, "left_anti" if anti else "left_semi").drop("_b")
 
 
+def labelled(df: DataFrame, spans: DataFrame, keys: list[str], t: str, label: str, width: float = 86400.0, least: float = 0.0) -> DataFrame:
+    """Rows with the label of each span [a, b) of their key that holds them, spans of ``least`` length at least; rows that
+    none holds are left out."""
+    cut = spans.where((F.col("a") < F.col("b")) & (F.col("b") - F.col("a") >= least))
+    cut = cut.select(*keys, F.col(label), F.col("a").alias("_a"), F.col("b").alias("_z"), _buckets(F.col("a"), F.col("b"), width).alias("_b"))
+    rows = df.withColumn("_b", F.floor(F.col(t) / width)).join(cut, [*keys, "_b"])
+    return rows.where((F.col(t) >= F.col("_a")) & (F.col(t) < F.col("_z"))).drop("_b", "_a", "_z")
+
+
 def overlap_shares(spans: DataFrame, others: DataFrame, keys: list[str], label: str, width: float = 86400.0) -> DataFrame:
     """Per key and label, the length of the overlaps of ``spans`` with ``others``, and its share of the spans' length."""
     lengths = spans.groupBy(*keys).agg(F.sum(F.col("b") - F.col("a")).alias("total"))

@@ -119,6 +119,79 @@ def floor_spread(df: DataFrame, keys: list[str], chunk: int, x: str = "level_db"
     return found.withColumn("floor_suspect", enough & (F.col("floor_spread_db") < limit_db) & (F.col("floor_median_db") > -119.0))
 
 
+def floor_suspicion(df: DataFrame, keys: list[str], band_powers: str, centres: list[float], nyquist: float, chunk: int = 300, pct: float = 10.0, min_chunks: int = 6, limit_db: float = 1.5, from_hz: float = 2000.0) -> DataFrame:
+    """Whether the floors of high bands move so little that they may be the recorder's: per series ``floor_suspect``, the
+    range in Hz of the bands that say so, and the smallest spread among them (null if none does).
+
+    Rows are seconds with ``i``, ``n`` and an array of band powers.  A band counts from ``from_hz`` on, if it reaches
+    under the Nyquist rate; its floor is that of whole chunks, of which there must be ``min_chunks``.
+    """
+    whole = df.withColumn("chunk", F.floor((F.col("i") - 1) / chunk)).where(F.col("chunk") < F.floor(F.col("n") / chunk))
+    cells = whole.select(*keys, "chunk", F.posexplode(band_powers).alias("band", "_p"))
+    hz = F.get(F.array(*[F.lit(float(c)) for c in centres]), F.col("band"))
+    low = cells.groupBy(*keys, "chunk", "band").agg(quantile(db(F.col("_p")), pct / 100).alias("floor"))
+    bands = low.groupBy(*keys, "band").agg(
+        F.count("*").alias("chunks"),
+        quantile(F.col("floor"), 0.5).alias("middle"),
+        (quantile(F.col("floor"), 0.5) - quantile(F.col("floor"), 0.05)).alias("spread"),
+    )
+    suspect = (F.col("chunks") >= min_chunks) & (hz >= from_hz) & (hz / 2**0.5 < nyquist) & (F.col("spread") < limit_db) & (F.col("middle") > -119.0)
+    held = bands.withColumn("_s", suspect)
+    of = lambda c: F.when(F.col("_s"), c)
+    found = held.groupBy(*keys).agg(
+        F.max("_s").alias("floor_suspect"),
+        F.rint(F.min(of(hz)) / 2**0.5).cast("int").alias("floor_suspect_lo_hz"),
+        F.rint(F.least(F.max(of(hz)) * 2**0.5, F.lit(float(nyquist)))).cast("int").alias("floor_suspect_hi_hz"),
+        F.min(of(F.col("spread"))).alias("floor_spread_db"),
+    )
+    some = F.col("floor_suspect")
+    named = {c: F.when(some, F.col(c)) for c in ("floor_suspect_lo_hz", "floor_suspect_hi_hz")}
+    return df.select(*keys).distinct().join(found.withColumns(named), keys, "left").fillna(False, ["floor_suspect"])
+
+
+def pick_segments(df: DataFrame, keys: list[str], t: str, x: str, dt: float, seg_s: float = 600.0, jump_db: float = 6.0, smooth_s: float = 30.0) -> DataFrame:
+    """Windows worth hearing: the quietest, the most active, the most typical, and that about the largest jump of the
+    level (if it is over ``jump_db``); of a series shorter than a window, all of it.  (keys..., kind, t0, dur_s, also):
+    a window that several kinds share is given once, with the others in ``also``.
+
+    Rows are numbered (``i``, ``n``).
+    """
+    size = max(1, int(seg_s / dt))
+    means = df.groupBy(*keys).agg(F.avg(x).alias("_mean"), F.min(t).alias("_first"), F.max(t).alias("_last"))
+    rows = df.select(*keys, "i", "n", F.col(t).alias("_t"), F.col(x).alias("_x")).join(means, keys)
+    away = F.pow(F.col("_x") - F.col("_mean"), 2)
+    rows = rows.withColumns({"_p": power(F.col("_x")), "_v": away})
+    windows = series.framed(rows, keys, 0, size - 1, {"_e": lambda w: F.avg("_p").over(w), "_a": lambda w: F.avg("_v").over(w)})
+    whole = windows.where(F.col("i") + size - 1 <= F.col("n")).withColumn("_l", db(F.col("_e")))
+    middle = whole.groupBy(*keys).agg(quantile(F.col("_l"), 0.5).alias("_mid"))
+    near = F.abs(F.col("_l") - F.col("_mid"))
+    best = lambda value: F.min_by("_t", F.struct(F.round(value, 9), F.col("i")))
+    picks = whole.join(middle, keys).groupBy(*keys).agg(
+        best(F.col("_e")).alias("quietest"), best(-F.col("_a")).alias("most_active"), best(near).alias("typical")
+    )
+    smooth = series.rank_filter(rows.select(*keys, "i", "n", "_t", "_x", "_first"), keys, "_x", max(3, int(smooth_s / dt) | 1), 50.0, "_s")
+    steps = series.previous(smooth, keys, {"_b": "_s"})
+    jump = F.abs(F.col("_s") - F.col("_b"))
+    at = F.greatest(F.min("_first"), F.max_by(F.col("_t") - dt, F.struct(jump, -F.col("i"))) - seg_s / 2)
+    moves = steps.where(F.col("_b").isNotNull()).groupBy(*keys).agg(F.when(F.max(jump) > jump_db, at).alias("transition"))
+    wide = means.join(picks, keys, "left").join(moves, keys, "left")
+    kinds = ["quietest", "most_active", "typical", "transition"]
+    listed = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(at).alias("place"), F.col(k).alias("t0")) for at, k in enumerate(kinds)])
+    some = wide.where("quietest is not null").select(*keys, F.explode(F.filter(listed, lambda s: s["t0"].isNotNull())).alias("s")).select(*keys, "s.*")
+    # a kind joins the first one whose window starts within a frame of its own
+    earlier = some.select(*keys, F.col("place").alias("_pl"), F.col("t0").alias("_t0"), F.col("kind").alias("_k"))
+    met = some.join(earlier, keys).where((F.col("_pl") <= F.col("place")) & (F.abs(F.col("_t0") - F.col("t0")) <= dt))
+    owner = met.groupBy(*keys, "kind", "place", "t0").agg(F.min(F.struct("_pl", "_k", "_t0")).alias("o"))
+    out = owner.groupBy(*keys, F.col("o._k").alias("kind"), F.col("o._t0").alias("t0")).agg(
+        F.lit(float(seg_s)).alias("dur_s"),
+        F.transform(F.sort_array(F.collect_list(F.when(F.col("kind") != F.col("o._k"), F.struct("place", "kind")))), lambda s: s["kind"]).alias("also"),
+    )
+    short = wide.where("quietest is null").select(
+        *keys, F.lit("whole").alias("kind"), F.col("_first").alias("t0"), (F.col("_last") - F.col("_first")).alias("dur_s"), F.array().cast("array<string>").alias("also")
+    )
+    return out.unionByName(short)
+
+
 def quietest(df: DataFrame, keys: list[str], channel: str, x: str = "level_db", pct: float = 5.0) -> DataFrame:
     """Per key, the channel with the lowest low percentile (the first in order among equals)."""
     floors = df.groupBy(*keys, channel).agg(quantile(F.col(x), pct / 100).alias("low_db"))

@@ -43,31 +43,79 @@ def loudest(matrix: DataFrame, floor: DataFrame, node: str, margin_db: float = 3
     return ranked.join(floor, node).select("bin", F.when(won, F.col(node)).alias("winner"), (F.col("level_db") - F.col("_next")).alias("lead_db"))
 
 
-def pairwise(on_grid: DataFrame, node: str, window: int, max_lag: int, min_rows: int = 3) -> DataFrame:
+def pairwise(on_grid: DataFrame, node: str, window: int, max_lag: int, min_coverage: float = 0.9) -> DataFrame:
     """Per window of ``window`` steps and pair of nodes (a < b), the strongest correlation within ``max_lag`` steps.
 
-    A positive lag says that ``a`` leads.  The nodes are a stated, small set; their rows meet by step, so work grows
-    with rows, pairs and lags.
+    A node counts in a window if it has ``min_coverage`` of its steps and is not flat; gaps take its mean, and its line
+    over the window is taken away.  Correlations are sums of products over the steps that overlap, over their number and
+    the deviations of the whole windows; at most 1.  The lag, positive if ``a`` leads, is refined by a parabola.
+    The nodes of a window meet as arrays, one for each node, so work grows with windows, pairs and lags.
     """
-    lags = F.explode(F.sequence(F.lit(-max_lag), F.lit(max_lag)))
-    a = on_grid.select(F.col(node).alias("a"), F.col("k").alias("ka"), F.col("level_db").alias("x"))
-    b = on_grid.select(F.col(node).alias("b"), F.col("k").alias("kb"), F.col("level_db").alias("y"))
-    shifted = a.withColumn("lag", lags).withColumn("kb", F.col("ka") + F.col("lag"))
-    met = shifted.join(b, "kb").where(F.col("a") < F.col("b")).withColumn("window", F.floor(F.col("ka") / window))
-    met = met.where(F.floor(F.col("kb") / window) == F.col("window"))
-    found = met.groupBy("window", "a", "b", "lag").agg(F.corr("x", "y").alias("r"), F.count("*").alias("rows"))
-    found = found.where((F.col("rows") >= min_rows) & F.col("r").isNotNull() & ~F.isnan("r"))
-    best = F.max(F.struct(F.round("r", 9).alias("r"), (-F.abs("lag")).alias("near"), "lag")).alias("m")
-    return found.groupBy("window", "a", "b").agg(best).select("window", "a", "b", F.col("m.r").alias("coupling"), F.col("m.lag").alias("lag"))
+    cells = on_grid.withColumn("window", F.floor(F.col("k") / window)).where(F.col("level_db").isNotNull() & ~F.isnan("level_db"))
+    at = F.pmod("k", F.lit(window)).cast("int")
+    held = cells.groupBy("window", node).agg(
+        F.map_from_entries(F.collect_list(F.struct(at.alias("s"), F.col("level_db").alias("v")))).alias("_m"),
+        F.avg("level_db").alias("_mean"),
+        F.count("*").alias("_n"),
+    )
+    held = held.where(F.col("_n") >= min_coverage * window)
+    steps = F.sequence(F.lit(0), F.lit(window - 1))
+    middle = (window - 1) / 2
+    add = lambda values: F.aggregate(values, F.lit(0.0), lambda s, x: s + x)
+    held = held.withColumn("_x", F.transform(steps, lambda s: F.coalesce(F.try_element_at("_m", s), F.col("_mean")) - F.col("_mean")))
+    slope = add(F.transform("_x", lambda x, i: x * (i - middle))) / (window * (window**2 - 1) / 12)
+    held = held.withColumn("_slope", slope).withColumn("_x", F.transform("_x", lambda x, i: x - F.col("_slope") * (i - middle)))
+    held = held.withColumn("_sd", F.sqrt(add(F.transform("_x", lambda x: x * x)) / window)).where("_sd > 1e-6")
+    one = held.select("window", F.col(node).alias("a"), F.col("_x").alias("x"), F.col("_sd").alias("sx"))
+    other = held.select("window", F.col(node).alias("b"), F.col("_x").alias("y"), F.col("_sd").alias("sy"))
+    met = one.join(other, "window").where(F.col("a") < F.col("b"))
+
+    def at_lag(lag: Column) -> Column:
+        """Steps of ``a`` against those of ``b`` that come ``lag`` later."""
+        n = F.lit(window) - F.abs(lag)
+        x = F.slice("x", F.greatest(F.lit(1), 1 - lag), n)
+        y = F.slice("y", F.greatest(F.lit(1), 1 + lag), n)
+        return F.struct((add(F.zip_with(x, y, lambda p, q: p * q)) / (n * F.col("sx") * F.col("sy"))).alias("r"), lag.alias("lag"))
+
+    # among equal ones the latest wins, as the first of the search by the other node's lag
+    lags = F.transform(F.sequence(F.lit(-max_lag), F.lit(max_lag)), at_lag)
+    found = met.select("window", "a", "b", lags.alias("_r"))
+    best = F.aggregate("_r", F.get("_r", F.lit(0)), lambda s, x: F.when(F.round(x["r"], 9) >= F.round(s["r"], 9), x).otherwise(s))
+    found = found.withColumn("_b", best)
+    near = lambda d: F.get(F.col("_r"), (F.col("_b.lag") + max_lag + d).cast("int"))["r"]
+    bend = near(-1) - 2 * F.col("_b.r") + near(1)
+    inner = F.abs("_b.lag") < max_lag
+    move = F.when(inner & (bend < 0), 0.5 * (near(-1) - near(1)) / bend).otherwise(0.0)
+    return found.select("window", "a", "b", F.least(F.col("_b.r"), F.lit(1.0)).alias("coupling"), (F.col("_b.lag") + move).alias("lag"))
+
+
+def strength(edges: DataFrame) -> DataFrame:
+    """Per window and node, the sum of its coupling with all others."""
+    ends = edges.select("window", F.col("a").alias("node"), "coupling").unionByName(edges.select("window", F.col("b").alias("node"), "coupling"))
+    return ends.groupBy("window", "node").agg(F.sum("coupling").alias("strength"))
 
 
 def density(edges: DataFrame, n_nodes: int, threshold: float = 0.35) -> DataFrame:
-    """Per window, the share of possible links at or over the threshold and the sum of coupling."""
+    """Per window, the share of possible links at or over the threshold, and the pairs with a coupling."""
     linked = F.col("coupling") >= threshold
     possible = n_nodes * (n_nodes - 1) / 2
-    return edges.groupBy("window").agg(
-        (F.sum(linked.cast("double")) / possible).alias("density"), F.sum("coupling").alias("strength"), F.count("*").alias("pairs")
+    return edges.groupBy("window").agg((F.sum(linked.cast("double")) / possible).alias("density"), F.count("*").alias("pairs"))
+
+
+def hourly(edges: DataFrame, n_nodes: int, hour: Column, threshold: float = 0.35) -> DataFrame:
+    """Per hour of day: median density, windows, and the node with the largest median strength (first among equals)."""
+    timed = density(edges, n_nodes, threshold).withColumn("hour", hour).groupBy("hour").agg(
+        quantile(F.col("density"), 0.5).alias("density"), F.count("*").alias("n_windows")
     )
+    return timed.join(hubs(edges, hour), "hour")
+
+
+def representative_hours(found: DataFrame, n: int = 3) -> DataFrame:
+    """Of the hours with a density, all if there are at most ``n``, else the quietest, the middle and the busiest."""
+    order = Window.partitionBy(F.lit(1)).orderBy("density", "hour")
+    told = found.withColumns({"_k": F.row_number().over(order) - 1, "_n": F.count("*").over(Window.partitionBy(F.lit(1)))})
+    picked = (F.col("_n") <= n) | (F.col("_k") == 0) | (F.col("_k") == F.floor(F.col("_n") / 2)) | (F.col("_k") == F.col("_n") - 1)
+    return told.where(picked).drop("_k", "_n")
 
 
 def transitivity(edges: DataFrame, threshold: float = 0.35) -> DataFrame:

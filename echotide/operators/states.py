@@ -148,3 +148,53 @@ def cycle_series(segs: DataFrame, keys: list[str]) -> DataFrame:
     return on.groupBy(*keys).agg(
         F.count("*").alias("n_cycles"), *trend(length, "on"), *trend(F.col("period"), "period"), F.max("cut").alias("truncated_final_run")
     )
+
+
+def auto_states(segs: DataFrame, keys: list[str], rows_total: DataFrame, min_rows: int = 180, min_step_db: float = 4.0, min_share: float = 0.05) -> DataFrame:
+    """The segments, if both states last ``min_rows`` rows and ``min_share`` of the series (``rows_total``: keys, n) at least
+    and their median levels differ by ``min_step_db``; else none."""
+    sums = segs.groupBy(*keys).agg(
+        *[F.sum(F.when(F.col("state") == s, F.col("rows")).otherwise(0)).alias(f"_{s}") for s in ("on", "off")],
+        *[quantile(F.when(F.col("state") == s, F.col("median_db")), 0.5).alias(f"_{s}_db") for s in ("on", "off")],
+    )
+    least = F.greatest(F.lit(min_rows), min_share * F.col("_all"))
+    told = sums.join(rows_total.select(*keys, F.col("n").alias("_all")), keys)
+    both = told.where((F.least("_on", "_off") >= least) & (F.abs(F.col("_on_db") - F.col("_off_db")) >= min_step_db))
+    return segs.join(both.select(*keys), keys, "left_semi")
+
+
+def state_intervals(segs: DataFrame, keys: list[str], dt: float = 1.0, labels: tuple[str, str] = ("machine_on", "machine_off")) -> DataFrame:
+    """Segments as [a, b) in seconds of the series, under the names given."""
+    name = F.when(F.col("state") == "on", labels[0]).otherwise(labels[1])
+    return segs.select(*keys, name.alias("state"), (F.col("t0") * dt).alias("a"), ((F.col("t0") + F.col("rows")) * dt).alias("b"))
+
+
+def transitions(df: DataFrame, segs: DataFrame, keys: list[str], x: str = "level_db", dt: float = 1.0, tolerance_db: float = 1.0, most_s: float = 120.0, around_s: float = 30.0) -> DataFrame:
+    """How one state gives way to the next: the step, the time spent from 10 to 90 % of it within ``around_s`` on either
+    side, and how long until nine tenths of what is left of ``most_s`` lie within the tolerance of the new median (null:
+    never).  The tolerance is ``tolerance_db``, or twice the new state's deviation if that is more.
+    """
+    in_order = Window.partitionBy(*keys).orderBy("segment")
+    edges = segs.withColumn("from_db", F.lag("median_db").over(in_order)).where("from_db is not null and t0 > 0")
+    edges = edges.select(
+        *keys, "segment", F.col("t0").alias("_i"), "from_db", F.col("median_db").alias("to_db"), (F.col("median_db") - F.col("from_db")).alias("step_db"),
+        F.greatest(F.lit(tolerance_db), 2 * F.coalesce("sd_db", F.lit(0.0))).alias("settle_tol_db"),
+    ).where(F.abs("step_db") >= 1e-9)
+    w, m = int(round(min(most_s, around_s) / dt)), int(round(most_s / dt))
+    reach = max(w, m)
+    block = series.BLOCK
+    cells = F.sequence(F.floor(F.greatest(F.col("_i") - w, F.lit(0)) / block), F.floor((F.col("_i") + reach - 1) / block))
+    dealt = edges.withColumn("_blk", F.explode(cells))
+    rows = df.select(*keys, (F.col("i") - 1).alias("_r"), F.col(x).alias("_x"), F.floor((F.col("i") - 1) / block).alias("_blk"))
+    met = rows.join(dealt, [*keys, "_blk"]).withColumn("_k", F.col("_r") - F.col("_i")).where(f"_k >= -{w} AND _k < {reach}")
+    part = (F.col("_x") - F.col("from_db")) / F.col("step_db")
+    crossing = (F.col("_k") < w) & (part >= 0.1) & (part <= 0.9)
+    inside = (F.abs(F.col("_x") - F.col("to_db")) <= F.col("settle_tol_db")).cast("double")
+    named = [*keys, "segment"]
+    rest = Window.partitionBy(*named).orderBy("_k").rowsBetween(0, Window.unboundedFollowing)
+    tail = met.where(f"_k >= 0 AND _k < {m}").withColumn("_share", F.avg(inside).over(rest))
+    settle = tail.groupBy(*named).agg((F.min(F.when(F.col("_share") >= 0.9, F.col("_k"))) * dt).alias("settle_s"))
+    cross = met.groupBy(*named).agg((F.sum(crossing.cast("int")) * dt).alias("crossing_s"))
+    out = edges.join(cross, named).join(settle, named, "left")
+    way = F.when(F.col("step_db") > 0, "onset").otherwise("cessation")
+    return out.select(*named, (F.col("_i") * dt).alias("t_s"), way.alias("direction"), "step_db", "crossing_s", "settle_s", "settle_tol_db", "from_db", "to_db")

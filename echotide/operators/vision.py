@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import quantile
@@ -44,8 +44,32 @@ def describe(rgb: np.ndarray, cells: int = 3) -> dict[str, float]:
     return dict(zip(NAMES, map(float, values), strict=True))
 
 
+def unit(rgb: np.ndarray) -> np.ndarray:
+    """Colours from 0 to 1, of bytes or of numbers that go beyond 1.5."""
+    values = np.asarray(rgb, float)
+    return values / 255 if rgb.dtype == np.uint8 or (values.size and values.max() > 1.5) else values
+
+
 def _frame(data: bytes, height: int, width: int) -> np.ndarray:
-    return np.frombuffer(data, np.uint8).reshape(height, width, 3) / 255
+    return unit(np.frombuffer(data, np.uint8).reshape(height, width, 3))
+
+
+def frames_of(spark: SparkSession, folder: str, fps: float = 1.0) -> DataFrame:
+    """The images of a folder, in order of their names, as frames: name, i, n, t, rgb, height, width."""
+    held = spark.read.format("image").option("dropInvalid", True).load(folder).select("image.*")
+    name = F.element_at(F.split("origin", "/"), -1)
+    rows = held.where("nChannels = 3").select(name.alias("name"), "height", "width", F.col("data").alias("bgr"))
+
+    def turned(batches):
+        for p in batches:
+            out = p.copy()
+            out["rgb"] = [np.frombuffer(b, np.uint8).reshape(-1, 3)[:, ::-1].tobytes() for b in p["bgr"]]
+            yield out[["name", "height", "width", "rgb"]]
+
+    frames = rows.mapInPandas(turned, "name string, height int, width int, rgb binary")
+    order = Window.partitionBy(F.lit(1)).orderBy("name")
+    places = rows.select("name").withColumns({"i": F.row_number().over(order).cast("bigint"), "n": F.count("*").over(Window.partitionBy(F.lit(1)))})
+    return frames.join(places, "name").withColumn("t", (F.col("i") - 1) / fps)
 
 
 def frame_features(frames: DataFrame, keep: list[str]) -> DataFrame:

@@ -117,11 +117,6 @@ def detect_events(spark, d):
     return events.detect(tables.numbered(spark, d), NODE, size=61, min_frames=2)
 
 
-@query()
-def detect_cessations(spark, d):
-    return events.cessations(tables.numbered(spark, d), NODE, before=5, after=3, drop_db=6.0)
-
-
 FLOOR = """f AS (SELECT *, min(level_db) OVER (PARTITION BY node ORDER BY i ROWS BETWEEN 30 PRECEDING AND 30 FOLLOWING) + 1.5 AS floor_db FROM s),
 c AS (SELECT *, pow(10, level_db / 10) - pow(10, floor_db / 10) AS excess, pow(10, floor_db / 10) AS nf FROM f),
 m AS (SELECT *, excess > nf * (pow(10, 0.6) - 1) AS measurable FROM c)"""
@@ -530,26 +525,31 @@ def node_grid(spark, d):
 
 
 PAIRS = """g AS (SELECT node, round_even(t / 3600, 0)::BIGINT AS k, arg_max(level_db, t) AS x FROM s GROUP BY ALL),
-j AS (SELECT a.k // 72 AS w, a.node AS a, b.node AS b, b.k - a.k AS lag, a.x AS x, b.x AS y FROM g a JOIN g b ON a.node < b.node
-    AND b.k - a.k BETWEEN -3 AND 3 AND a.k // 72 = b.k // 72),
-cc AS (SELECT w, a, b, lag, round(corr(x, y), 9) AS r, count(*) AS c FROM j GROUP BY ALL HAVING count(*) >= 20),
-pr AS (SELECT w AS "window", a, b, max(r) AS coupling, arg_max(lag, (r, -abs(lag), lag)) AS lag FROM cc WHERE r IS NOT NULL AND NOT isnan(r) GROUP BY ALL)"""
+h AS (SELECT node, k // 72 AS w, avg(x) AS m FROM g GROUP BY ALL HAVING count(*) >= 0.2 * 72),
+y AS (SELECT h.node, h.w, z.s, coalesce(g.x, m) - m AS x FROM h CROSS JOIN (SELECT range AS s FROM range(72)) z LEFT JOIN g ON g.node = h.node AND g.k = h.w * 72 + z.s),
+sl AS (SELECT node, w, sum(x * (s - 35.5)) / (72 * (72 * 72 - 1) / 12.0) AS b FROM y GROUP BY ALL),
+v AS (SELECT y.node, y.w, s, x - b * (s - 35.5) AS x FROM y JOIN sl ON y.node = sl.node AND y.w = sl.w),
+sd AS (SELECT node, w, sqrt(avg(x * x)) AS sd FROM v GROUP BY ALL HAVING sqrt(avg(x * x)) > 1e-6),
+cc AS (SELECT p.w, p.node AS a, q.node AS b, l.lag, sum(p.x * q.x) / ((72 - abs(l.lag)) * any_value(c.sd) * any_value(d.sd)) AS r
+    FROM v p CROSS JOIN (SELECT range - 3 AS lag FROM range(7)) l JOIN v q ON q.w = p.w AND q.s = p.s + l.lag AND p.node < q.node
+    JOIN sd c ON c.node = p.node AND c.w = p.w JOIN sd d ON d.node = q.node AND d.w = q.w GROUP BY p.w, p.node, q.node, l.lag),
+bt AS (SELECT w, a, b, bx.r, bx.lag FROM (SELECT w, a, b, arg_max({r: r, lag: lag}, (round(r, 9), lag)) AS bx FROM cc GROUP BY w, a, b)),
+pr AS (SELECT bt.w AS "window", bt.a, bt.b, least(bt.r, 1) AS coupling, bt.lag + CASE WHEN abs(bt.lag) < 3 AND x.r - 2 * bt.r + z.r < 0
+    THEN 0.5 * (x.r - z.r) / (x.r - 2 * bt.r + z.r) ELSE 0 END AS lag FROM bt LEFT JOIN cc x ON x.w = bt.w AND x.a = bt.a AND x.b = bt.b AND x.lag = bt.lag - 1
+    LEFT JOIN cc z ON z.w = bt.w AND z.a = bt.a AND z.b = bt.b AND z.lag = bt.lag + 1)"""
 
 
 def _pairs(spark, d):
     on_grid = network.grid(tables.levels(spark, d), "node", "t", "level_db", 3600.0)
-    return network.pairwise(on_grid, "node", window=72, max_lag=3, min_rows=20)
+    return network.pairwise(on_grid, "node", window=72, max_lag=3, min_coverage=0.2)
 
 
-@query("WITH {s}, " + PAIRS + ' SELECT "window", a, b, round(coupling, 6) AS coupling, lag FROM pr')
+@query("WITH {s}, " + PAIRS + ' SELECT "window", a, b, round(coupling, 6) AS coupling, round(lag, 6) AS lag FROM pr')
 def pairwise_coupling(spark, d):
-    out = _pairs(spark, d)
-    return out.withColumn("lag", F.col("lag").cast("bigint"))
+    return _pairs(spark, d)
 
 
-@query(
-    "WITH {s}, " + PAIRS + ' SELECT "window", round(sum((coupling >= 0.2)::INT) / 10.0, 6) AS density, round(sum(coupling), 6) AS strength, count(*) AS pairs FROM pr GROUP BY 1'
-)
+@query("WITH {s}, " + PAIRS + ' SELECT "window", round(sum((coupling >= 0.2)::INT) / 10.0, 6) AS density, count(*) AS pairs FROM pr GROUP BY 1')
 def graph_density(spark, d):
     return network.density(_pairs(spark, d), 5, threshold=0.2)
 
@@ -896,6 +896,8 @@ def mains_summary(spark, d):
     return indices.mains_summary(tables.levels(spark, d), NODE, "p", "level_db")
 
 
+from . import further  # noqa: E402, F401  registers its queries
+
 SQL: dict[str, str] = {
     k: v.replace("{s}", SERIES).replace("{seg}", SEGMENTS).replace("{day}", DAY).replace("{band}", BANDS) for k, v in _SQL.items()
 }

@@ -9,12 +9,13 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.dsp import log_edges
+from ..functions.dsp import OCTAVES, log_edges
 from ..functions.scalars import nan_to_null, power, quantile
-from ..operators import circular, corpus, ecology, events, indices, levels
+from ..operators import circular, corpus, ecology, events, indices, levels, spectral, tones
 from . import series
 
 
@@ -107,24 +108,71 @@ def spectrum_keys(seconds: DataFrame, keys: list[str], chunk: int = 300, window:
 def source_keys(seconds: DataFrame, envelope: DataFrame, keys: list[str], dt: float = 0.02) -> DataFrame:
     """Indices of machines, voices, wind and rain."""
     rates = indices.envelope_bands(envelope, keys, "t", "env_hi", dt, {"syllabic": (3.0, 8.0), "machine": (0.3, 12.0)})
-    parts = [indices.weather(seconds, keys), indices.machines(seconds, keys), indices.voices(seconds, keys), rates]
+    voice = indices.voice_activity(seconds, keys, "t")
+    parts = [indices.weather(seconds, keys), indices.machines(seconds, keys), indices.voices(seconds, keys), rates, voice]
     out = reduce(lambda a, b: a.join(b, keys, "left"), parts)
-    return out.withColumnRenamed("syllabic_share", "anthro_syllabic_mod").withColumnRenamed("machine_hz", "mech_periodicity_hz").drop(
-        "syllabic_hz", "machine_share"
+    named = out.withColumnsRenamed(
+        {"syllabic_share": "anthro_syllabic_mod", "machine_hz": "mech_periodicity_hz", "machine_strength": "mech_periodicity_strength"}
     )
+    return indices.attributed(named).drop("syllabic_hz", "syllabic_strength", "machine_share")
 
 
-def full_summary(seconds: DataFrame, fast: DataFrame, envelope: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys..., key, value, low_confidence): values that need a longer recording are null or marked."""
+def region_keys(seconds: DataFrame, keys: list[str], window: int = 301) -> DataFrame:
+    """Rate and median length of regions of time and band that stand out."""
+    rows = series.number_rows(seconds.select(*keys, "t", F.col("logspec").alias("spec")), keys, ["t"], "t", 3600.0)
+    over = ecology.rises(rows, keys, window)
+    found = spectral.spectral_events(over, keys, "i", "rise", log_edges().tolist())
+    return spectral.spectral_event_keys(found, keys, seconds.groupBy(*keys).agg((F.count("*") / 60).alias("minutes")))
+
+
+def minute_keys(seconds: DataFrame, minutes: DataFrame, envelope: DataFrame, keys: list[str], f: np.ndarray, dt: float = 0.02) -> DataFrame:
+    """What the spectra of minutes say: lasting tones and birds; and the fluctuation of the envelope."""
+    fc = ecology.centres(log_edges().tolist())
+    held = seconds.select(*keys).distinct()
+    tone = tones.tone_keys(tones.prominent_tones(minutes, keys, "t", "minspec", f), keys)
+    parts = [
+        held.join(tone, keys, "left").fillna(0.0, ["n_prominent_tones"]),
+        tones.fluctuation_index(envelope, keys, "t", "env_hi", dt),
+        indices.bird_keys(seconds, minutes, keys, fc, f),
+    ]
+    return reduce(lambda a, b: a.join(b, keys, "left"), parts)
+
+
+def floor_keys(seconds: DataFrame, keys: list[str], nyquist: float) -> DataFrame:
+    """Whether floors may be those of the recorder."""
+    rows = series.number_rows(seconds.select(*keys, "t", "oct_pow"), keys, ["t"], "t", 3600.0)
+    return levels.floor_suspicion(rows, keys, "oct_pow", OCTAVES, nyquist)
+
+
+def full_summary(seconds: DataFrame, fast: DataFrame, envelope: DataFrame, keys: list[str], minutes: DataFrame | None = None, f: np.ndarray | None = None, nyquist: float = 24000.0) -> DataFrame:
+    """(keys..., key, value, low_confidence): values that need a longer recording are null or marked.
+
+    With ``minutes`` and their frequencies ``f`` all 65 values of a session, without them those that need no spectra of
+    minutes.  For a summary by state, give a state as one of the keys.
+    """
     parts = [
         level_keys(seconds, fast, keys),
         event_keys(fast, keys),
         direction_keys(seconds, keys),
         spectrum_keys(seconds, keys),
         source_keys(seconds, envelope, keys),
+        region_keys(seconds, keys),
+        floor_keys(seconds, keys, nyquist),
     ]
+    if minutes is not None:
+        parts.append(minute_keys(seconds, minutes, envelope, keys, f))
     wide = reduce(lambda a, b: a.join(b, keys, "left"), parts)
     names = [c for c in wide.columns if c not in keys]
     doubles = wide.select(*keys, (F.col("duration_min") * 60).alias("_s"), *[F.col(c).cast("double").alias(c) for c in names])
     long = doubles.unpivot([*keys, "_s"], names, "key", "value")
     return corpus.gate(long, "_s").select(*keys, "key", "value", "low_confidence")
+
+
+def by_state(tables: dict[str, DataFrame], states: DataFrame, keys: list[str], least: int = 30) -> dict[str, DataFrame]:
+    """Feature tables cut to the intervals [a, b) of states (keys..., state, a, b), with the column ``state``; states of under
+    ``least`` seconds are left out.  Summaries by keys and state are then one pass, whatever the number of states."""
+    from ..operators.intervals import labelled
+
+    cut = {name: labelled(rows, states, keys, "t", "state") for name, rows in tables.items()}
+    enough = cut["seconds"].groupBy(*keys, "state").agg(F.count("*").alias("_n")).where(F.col("_n") >= least)
+    return {name: rows.join(enough.select(*keys, "state"), [*keys, "state"], "left_semi") for name, rows in cut.items()}

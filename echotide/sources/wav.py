@@ -12,6 +12,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -20,7 +21,7 @@ TAKES = (
     "path string, samplerate int, channels int, bits int, coding int, frames bigint, data_at bigint,"
     " description string, date string, time string, time_reference bigint"
 )
-BLOCKS = "path string, block int, first bigint, samplerate int, channels int, samples array<float>"
+BLOCKS = "path string, block int, first bigint, samplerate int, channels int, order string, lead int, samples array<float>"
 
 
 @dataclass
@@ -80,13 +81,16 @@ def decode(data: bytes, bits: int, coding: int, channels: int) -> np.ndarray:
     return x.reshape(-1, channels)
 
 
-def encode(x: np.ndarray, samplerate: int, bits: int = 16) -> bytes:
-    """A RIFF file of integer samples."""
+def encode(x: np.ndarray, samplerate: int, bits: int = 16, floating: bool = False) -> bytes:
+    """A RIFF file of integer samples, or of 32-bit floating ones."""
     rows = np.atleast_2d(x.T).T
-    full = np.clip(np.rint(rows * 2 ** (bits - 1)), -(2 ** (bits - 1)), 2 ** (bits - 1) - 1).astype(np.int64)
-    data = full.astype("<i2").tobytes() if bits == 16 else full.astype("<i4").view(np.uint8).reshape(-1, 4)[:, : bits // 8].tobytes()
+    if floating:
+        bits, data = 32, rows.astype("<f4").tobytes()
+    else:
+        full = np.clip(np.rint(rows * 2 ** (bits - 1)), -(2 ** (bits - 1)), 2 ** (bits - 1) - 1).astype(np.int64)
+        data = full.astype("<i2").tobytes() if bits == 16 else full.astype("<i4").view(np.uint8).reshape(-1, 4)[:, : bits // 8].tobytes()
     frame = rows.shape[1] * bits // 8
-    fmt = struct.pack("<HHIIHH", 1, rows.shape[1], samplerate, samplerate * frame, frame, bits)
+    fmt = struct.pack("<HHIIHH", 3 if floating else 1, rows.shape[1], samplerate, samplerate * frame, frame, bits)
     return b"RIFF" + struct.pack("<I", 36 + len(data)) + b"WAVEfmt " + struct.pack("<I", 16) + fmt + b"data" + struct.pack("<I", len(data)) + data
 
 
@@ -105,8 +109,12 @@ def _reader(file):
     return read
 
 
-def takes(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """One row for each file, from its header."""
+#: Where W, Y, Z and X are among the channels of each order.
+WYZX = {"ambix": (0, 1, 2, 3), "fuma": (0, 2, 3, 1)}
+
+
+def takes(spark: SparkSession, paths: list[str], skip_bad: bool = False) -> DataFrame:
+    """One row for each file, from its header; one that can't be read is an error, or left out."""
 
     def run(batches) -> Iterator:
         import pandas as pd
@@ -114,8 +122,12 @@ def takes(spark: SparkSession, paths: list[str]) -> DataFrame:
         for batch in batches:
             rows = []
             for path in batch["path"]:
-                with _open(path) as file:
-                    rows.append({"path": path, **vars(parse_header(_reader(file)))})
+                try:
+                    with _open(path) as file:
+                        rows.append({"path": path, **vars(parse_header(_reader(file)))})
+                except (ValueError, OSError, struct.error):
+                    if not skip_bad:
+                        raise
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in TAKES.split(", ")])
 
     table = spark.createDataFrame([(p,) for p in paths], "path string").repartition(max(1, min(len(paths), 1000)))
@@ -129,35 +141,51 @@ class _Block(InputPartition):
     header: Header
     first: int
     frames: int
+    lead: int = 0
 
 
 class _WavReader(DataSourceReader):
-    def __init__(self, paths: list[str], block_s: float):
-        self.paths, self.block_s = paths, block_s
+    def __init__(self, paths: list[str], block_s: float, lead_s: float):
+        self.paths, self.block_s, self.lead_s = paths, block_s, lead_s
 
     def partitions(self) -> list[_Block]:
         out = []
         for path in self.paths:
             with _open(path) as file:
                 header = parse_header(_reader(file))
-            size = max(1, round(self.block_s * header.samplerate))
+            size, lead = max(1, round(self.block_s * header.samplerate)), round(self.lead_s * header.samplerate)
             out += [
-                _Block(path, k, header, first, min(size, header.frames - first))
+                _Block(path, k, header, first, min(size, header.frames - first), min(lead, first))
                 for k, first in enumerate(range(0, header.frames, size))
             ]
         return out
 
-    def read(self, partition: _Block) -> Iterator[tuple]:
-        h = partition.header
+    def read(self, partition: _Block) -> Iterator[pa.RecordBatch]:
+        h, lead = partition.header, partition.lead
         frame = h.channels * h.bits // 8
         with _open(partition.path) as file:
-            data = _reader(file)(h.data_at + partition.first * frame, partition.frames * frame)
-        x = decode(data, h.bits, h.coding, h.channels)
-        yield partition.path, partition.block, partition.first, h.samplerate, h.channels, x.ravel().tolist()
+            data = _reader(file)(h.data_at + (partition.first - lead) * frame, (partition.frames + lead) * frame)
+        x = decode(data, h.bits, h.coding, h.channels).ravel()
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array([partition.path]),
+                pa.array([partition.block], pa.int32()),
+                pa.array([partition.first], pa.int64()),
+                pa.array([h.samplerate], pa.int32()),
+                pa.array([h.channels], pa.int32()),
+                pa.array([order_in(h.description)]),
+                pa.array([lead], pa.int32()),
+                pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x, pa.float32())),
+            ],
+            ["path", "block", "first", "samplerate", "channels", "order", "lead", "samples"],
+        )
 
 
 class WavSource(DataSource):
-    """``spark.read.format("wav").option("block_s", 60).load(path)``; several paths are parted by commas."""
+    """``spark.read.format("wav").option("block_s", 60).load(path)``; several paths are parted by commas.
+
+    ``samples`` begin with ``lead`` frames from before the block (option ``lead_s``), for filters that must settle.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -168,13 +196,19 @@ class WavSource(DataSource):
 
     def reader(self, schema) -> DataSourceReader:
         paths = [p for p in self.options["path"].split(",") if p]
-        return _WavReader(paths, float(self.options.get("block_s", "60")))
+        return _WavReader(paths, float(self.options.get("block_s", "60")), float(self.options.get("lead_s", "0")))
 
 
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(WavSource)
 
 
+def order_in(description: str | None) -> str:
+    """``fuma`` where the tags of the first four tracks are W, X, Y, Z, else ``ambix``."""
+    tags = dict(re.findall(r"zTRK([1-4])=([^\r\n]*)", description or ""))
+    return "fuma" if [tags.get(k, "").strip().upper() for k in "1234"] == list("WXYZ") else "ambix"
+
+
 def channel_order(description: Column) -> Column:
     """``fuma`` where the tags of the first four tracks are W, X, Y, Z, else ``ambix``."""
     tags = [F.upper(F.trim(F.regexp_extract(description, rf"zTRK{k}=([^\r\n]*)", 1))) for k in (1, 2, 3, 4)]
@@ -191,10 +225,13 @@ def stamp_in(name: Column) -> Column:
     return F.coalesce(long, short)
 
 
-def session_takes(found: DataFrame, offsets: dict[str, float] | None = None, offset: float = 0.0) -> DataFrame:
-    """Adds ``started``, ``day0`` and ``start``, seconds since the first day's midnight, with clock corrections."""
+def session_takes(found: DataFrame, offsets: dict[str, float] | None = None, offset: float = 0.0, fallback: str | None = None) -> DataFrame:
+    """Adds ``started``, ``day0`` and ``start``, seconds since the first day's midnight, with clock corrections.
+
+    The time is that of the header, else of the name, else of the column ``fallback``.
+    """
     told = F.try_to_timestamp(F.concat_ws(" ", "date", "time"), F.lit("yyyy-MM-dd HH:mm:ss"))
-    rows = found.withColumn("name", F.element_at(F.split("path", "/"), -1)).withColumn("started", F.coalesce(told, stamp_in(F.col("name"))))
+    rows = found.withColumn("name", F.element_at(F.split("path", "/"), -1)).withColumn("started", F.coalesce(told, stamp_in(F.col("name")), *([F.col(fallback)] if fallback else [])))
     first = rows.agg(F.to_date(F.min("started")).alias("day0"))
     own = F.coalesce(*[F.when(F.col("name") == k, F.lit(float(v))) for k, v in (offsets or {}).items()], F.lit(float(offset)))
     since = F.unix_timestamp("started") - F.unix_timestamp(F.col("day0").cast("timestamp"))

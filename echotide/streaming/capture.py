@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
@@ -54,16 +56,58 @@ def switches(stream: DataFrame, key: str, t: str, x: str, threshold: float, hyst
 def roll_up_days(stream: DataFrame, table: str, checkpoint: str, summarise, day: str = "day") -> StreamingQuery:
     """Appends each batch to ``table``/rows and writes anew the summaries of the days that it touches.
 
-    A batch that is replayed replaces what it wrote, so days are right after a restart.
+    Rows are parted by day and then by batch: only the days of a batch are read again, and a batch that is replayed
+    replaces what it wrote, so days are right after a restart.
     """
 
     def step(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        batch = batch.withColumn("batch", F.lit(number))
-        batch.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(f"{table}/rows")
-        days = batch.select(day).distinct()
-        rows = spark.read.parquet(f"{table}/rows").drop("batch").join(F.broadcast(days), day, "left_semi")
+        parted = batch.withColumn("batch", F.lit(number)).withColumn("_day", F.col(day).cast("string"))
+        parted.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_day", "batch").parquet(f"{table}/rows")
+        days = [r["_day"] for r in parted.select("_day").distinct().collect()]  # a batch is of a few days
+        if not days:
+            return
+        rows = spark.read.parquet(f"{table}/rows").where(F.col("_day").cast("string").isin(days)).drop("batch", "_day")
         out = summarise(rows).repartition(day)
         out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day).parquet(f"{table}/days")
 
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def capture(spark: SparkSession, inbox: str, out: str, checkpoint: str, *, block_s: float = 60.0, files: int = 16, keep_audio: bool = True, matrix=None, log=None) -> StreamingQuery:
+    """Feature tables of recordings as they come into a folder, parted by recording; ends when the folder is empty.
+
+    A recording that can't be read is told to ``log`` and left out.  One that is there already is left out as well, so a
+    batch that is replayed changes nothing.  Without ``keep_audio`` a recording is deleted once its features are there.
+    ``matrix`` turns the channels of capsules into those of a field.
+    """
+    from ..operators import features
+    from ..sources import sessions, wav
+
+    wav.register(spark)
+    names = spark.readStream.format("binaryFile").option("maxFilesPerTrigger", files).option("pathGlobFilter", "*.wav").load(inbox).select("path")
+
+    def step(batch: DataFrame, number: int) -> None:
+        paths = [r["path"] for r in batch.collect()]  # at most ``files`` names
+        good = [r["path"] for r in wav.takes(spark, paths, skip_bad=True).select("path").collect()] if paths else []
+        for bad in sorted(set(paths) - set(good)):
+            (log or print)(f"{bad} can't be read")
+        if not good:
+            return
+        blocks = spark.read.format("wav").options(block_s=block_s, lead_s=0.5).load(",".join(good))
+        if matrix is not None:
+            turn = sessions.b_format
+
+            @F.arrow_udf("array<float>")
+            def field(samples: pa.Array) -> pa.Array:
+                made = [turn(np.asarray(s, np.float32).reshape(-1, len(matrix)), matrix).astype(np.float32).ravel() for s in samples.to_pylist()]
+                return pa.array(made, pa.list_(pa.float32()))
+
+            blocks = blocks.withColumn("samples", field("samples"))
+        features.write(blocks, out)
+        if not keep_audio:
+            for path in good:
+                files_, where = sessions._files(path)
+                files_.delete_file(where)
+
+    return names.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
