@@ -45,11 +45,13 @@ def _grams(text: str, shingle: int, seed: int):
 
 
 def _parities(sets: list, bits: int):
-    """Per set, of its grams by their lowest bits, which places hold an odd number."""
+    """Per set, of its grams by their lowest bits, which places hold an odd number; a row of bytes for each set."""
     import numpy as np
 
-    odd = np.array([np.bincount(s & (bits - 1), minlength=bits) & 1 for s in sets], "u1").reshape(-1, bits)
-    return np.packbits(odd, axis=1)
+    out = np.zeros((len(sets), bits // 8), "u1")
+    for k, s in enumerate(sets):
+        out[k] = np.packbits((np.bincount(s & (bits - 1), minlength=bits) & 1).astype("u1"))
+    return out
 
 
 def _lists(sets: list) -> pa.Array:

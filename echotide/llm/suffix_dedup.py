@@ -365,9 +365,9 @@ def spans(
     text_col: str = "text",
     length: int = 100,
     gram: int = 32,
-    block: int = 1 << 20,
+    block: int = 1 << 18,
     sample: int = 64,
-    hot: int = 512,
+    hot: int = 1024,
     bits: int = 64,
     keys: tuple[Column, Column, bool] | None = None,
 ) -> DataFrame:
