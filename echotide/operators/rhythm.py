@@ -123,10 +123,21 @@ def cycle_grid(df: DataFrame, keys: list[str], stream: str, t: str, period: floa
     Per stream: place in the cycle, share of cycles hit (within 0.45 of a period; the nearest counts), deviation, its
     parts slower and faster than ``wander_s``, and the correlation of neighbours.
     """
-    of = lambda x: F.pmod(x, F.lit(1.0)) * period
-    start = df.where(F.col(stream) == reference).groupBy(*keys).agg(quantile(of(F.col(t) / period), 0.5).alias("_t0"))
+    def middle(rows: DataFrame, by: list[str], since: Column, name: str) -> DataFrame:
+        """The median place in the cycle, taken about the mean direction, so that it does not matter where a cycle begins."""
+        angle = 2 * np.pi * since / period
+        mean = rows.groupBy(*by).agg(F.atan2(F.sum(F.sin(angle)), F.sum(F.cos(angle))).alias("_m"))
+        off = F.pmod(since / period - F.col("_m") / (2 * np.pi) + 0.5, F.lit(1.0)) - 0.5
+        about = rows.join(mean, by) if by else rows.join(F.broadcast(mean))
+        found = about.groupBy(*by, "_m").agg(quantile(off, 0.5).alias("_o"))
+        return found.select(*by, (F.pmod(F.col("_m") / (2 * np.pi) + F.col("_o"), F.lit(1.0)) * period).alias(name))
+
+    start = middle(df.where(F.col(stream) == reference), keys, F.col(t), "_t0")
     rows = df.join(start, keys).withColumn("_n", F.floor((end - F.col("_t0")) / period))
-    place = rows.groupBy(*keys, stream).agg(quantile(of((F.col(t) - F.col("_t0")) / period), 0.5).alias("place_s"))
+    place = middle(rows, [*keys, stream], F.col(t) - F.col("_t0"), "place_s")
+    # a place just under a whole cycle is one just before its start
+    near_end = F.when(F.col("place_s") > 0.999 * period, F.col("place_s") - period).otherwise(F.col("place_s"))
+    place = place.withColumn("place_s", near_end)
     rows = rows.join(place, [*keys, stream]).withColumn("cycle", F.rint((F.col(t) - F.col("_t0") - F.col("place_s")) / period).cast("bigint"))
     rest = F.col(t) - (F.col("_t0") + F.col("cycle") * period + F.col("place_s"))
     rows = rows.withColumn("rest", rest).where((F.col("cycle") >= 0) & (F.col("cycle") < F.col("_n")) & (F.abs("rest") < 0.45 * period))
