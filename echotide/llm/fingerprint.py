@@ -19,12 +19,14 @@ some 16 million paragraphs.
 
 Defined results: a null text is the empty text, which is one empty paragraph;
 rows with a null id follow all others and rows that repeat an id follow one
-another in order of the first 64 characters, then a hash, of their texts; in a table of one row the row follows
+another in order of the first 8 characters, then a hash, of their texts; rows that
+are equal in id and text stay in one range; in a table of one row the row follows
 itself; an empty table gives an empty table; other columns are ignored.
 
 Scale: fingerprints are native expressions over one row.  To find the next
-document, ids alone are put in order and numbered; texts are shuffled by id, where
-rows equal in id and text become one, and once more to blocks of neighbours.
+document, ids alone are put in order and numbered; texts are shuffled once, to
+ranges of neighbours, of which a broadcast row holds the first ids, 40 bytes for
+each ``range_rows`` documents.
 """
 
 from __future__ import annotations
@@ -154,35 +156,50 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     return rows.withColumn("roots", paragraph_roots(F.col("text"))).select("doc_id", "text", vector(F.col("roots")).alias("lanes"))
 
 
-def with_next(docs: DataFrame, *, id_col: str, text_col: str, range_rows: int) -> DataFrame:
-    """Per distinct id and text: doc_id, text, copies (rows that have both) and next_text.
+def _rank(rows: DataFrame, range_rows: int) -> DataFrame:
+    """One row: ``firsts``, the first (doc_id, head, tie) of each range of neighbours, and every so many of them."""
+    order = [F.col("doc_id").desc_nulls_last(), F.col("head"), F.col("tie")]
+    at = placed(rows.select("doc_id", "head", "tie").distinct(), order)
+    some = at.where(F.pmod("place", F.lit(range_rows)) == 0).select("place", F.struct("doc_id", "head", "tie").alias("first"))
+    held = some.agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "first"))), lambda s: s["first"]).alias("firsts"))
+    step = (F.floor(F.sqrt(F.size("firsts").cast("double"))) + 1).cast("int")
+    told = held.withColumn("step", step)
+    return told.withColumn("coarse", F.filter("firsts", lambda _, i: F.pmod(i, F.col("step")) == 0))
 
-    The next is that in descending id, then by the start and a hash of the text; after the last comes the first.  Blocks hold ``range_rows``
-    neighbours each, and the first of a block also goes to the block before.
+
+def _not_after(first: Column) -> Column:
+    """Whether the first of a range comes no later than the row."""
+    same = first["doc_id"].eqNullSafe(F.col("doc_id"))
+    before = F.when(F.col("doc_id").isNull(), first["doc_id"].isNotNull()).otherwise(F.coalesce(first["doc_id"] > F.col("doc_id"), F.lit(False)))
+    head = (first["head"] < F.col("head")) | ((first["head"] == F.col("head")) & (first["tie"] <= F.col("tie")))
+    return before | (same & head)
+
+
+def with_next(rows: DataFrame, *, range_rows: int, carry: list[str]) -> DataFrame:
+    """Adds ``next_<c>`` for each column c of ``carry``: that of the row next in descending id, after the last the first's.
+
+    Rows are doc_id and text.  Ids alone are put in order; every ``range_rows``-th is the first of a range, and these
+    firsts, as one broadcast row, tell each row its range.  The first row of a range also goes to the one before.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    key = F.coalesce(F.concat(F.lit("="), F.col(id_col).cast("string")), F.lit(""))
-    rows = docs.select(key.alias("key"), F.xxhash64(text).alias("tie"), F.col(id_col).alias("doc_id"), text.alias("text"))
-    ids = rows.groupBy("key", "tie").agg(F.first("doc_id").alias("doc_id"), F.min(F.substring("text", 1, 64)).alias("head"))
-    order = [F.col("doc_id").desc_nulls_last(), F.col("key"), F.col("head"), F.col("tie")]
-    places = placed(ids, order).select("key", "tie", "place", "places")
-    distinct = rows.groupBy("key", "tie").agg(
-        F.first("doc_id").alias("doc_id"), F.first("text").alias("text"), F.count("*").alias("copies")
-    )
-    at = distinct.join(places.hint("shuffle_merge"), ["key", "tie"]).drop("key", "tie")
-    home = F.floor(F.col("place") / range_rows)
-    last = F.floor((F.col("places") - 1) / range_rows)
-    own = F.struct(home.alias("block"), F.col("place").alias("at"), F.lit(False).alias("spare"))
-    before = F.struct((home - 1).alias("block"), F.col("place").alias("at"), F.lit(True).alias("spare"))
-    around = F.struct(last.alias("block"), F.col("places").alias("at"), F.lit(True).alias("spare"))
-    targets = (
-        F.when(F.col("place") == 0, F.array(own, around))
-        .when(F.col("place") % range_rows == 0, F.array(own, before))
-        .otherwise(F.array(own))
+    told = rows.withColumns({"head": F.substring("text", 1, 8), "tie": F.xxhash64("text")})
+    ranges = _rank(told, range_rows)
+    met = told.join(F.broadcast(ranges))
+    skipped = (F.size(F.filter("coarse", _not_after)) - 1) * F.col("step")
+    home = skipped + F.size(F.filter(F.slice("firsts", skipped + 1, F.col("step")), _not_after)) - 1
+    placed_rows = met.withColumn("home", home)
+    own_first = F.get("firsts", F.col("home"))
+    leads = own_first["doc_id"].eqNullSafe(F.col("doc_id")) & (own_first["head"] == F.col("head")) & (own_first["tie"] == F.col("tie"))
+    own = F.struct(F.col("home").alias("range"), F.lit(0).alias("spare"))
+    before = F.struct((F.col("home") - 1).alias("range"), F.lit(1).alias("spare"))
+    around = F.struct((F.size("firsts") - 1).alias("range"), F.lit(2).alias("spare"))
+    targets = F.when(leads & (F.col("home") == 0), F.array(own, around)).when(leads, F.array(own, before)).otherwise(F.array(own))
+    names = [c for c in rows.columns]
+    dealt = placed_rows.select(*names, "head", "tie", F.explode(targets).alias("target"))
+    order = Window.partitionBy("target.range").orderBy(
+        F.when(F.col("target.spare") == 2, 1).otherwise(0), F.col("doc_id").desc_nulls_last(), "head", "tie", "target.spare"
     )
-    dealt = at.withColumn("target", F.explode(targets)).drop("place", "places")
-    order = Window.partitionBy("target.block").orderBy("target.at")
-    return dealt.withColumn("next_text", F.lead("text").over(order)).where(~F.col("target.spare")).drop("target")
+    nexts = [F.lead(c).over(order).alias(f"next_{c}") for c in carry]
+    return dealt.select(*names, "target", *nexts).where("target.spare = 0").drop("target")
 
 
 def compare_edited(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", range_rows: int = 1000) -> DataFrame:
@@ -191,40 +208,18 @@ def compare_edited(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     The edited text has its last floor(n_chars/2) code points replaced by the
     first as many, or all, of the next document's.
     """
-    rows = with_next(docs, id_col=id_col, text_col=text_col, range_rows=range_rows)
-    # of rows equal in id and text each but the last is followed by its like
-    follows = F.when(F.col("copies") > 1, F.array(F.struct(F.lit(1).alias("rows"), F.col("next_text").alias("next")),
-                                                  F.struct((F.col("copies") - 1).cast("int").alias("rows"), F.col("text").alias("next"))))
-    follows = follows.otherwise(F.array(F.struct(F.lit(1).alias("rows"), F.col("next_text").alias("next"))))
-    rows = rows.withColumn("follow", F.explode(follows))
+    rows = with_next(fingerprints(docs, id_col=id_col, text_col=text_col), range_rows=range_rows, carry=["text", "lanes"])
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
-    after = F.col("follow.next")
-    edited = F.concat(F.substring("text", F.lit(1), n - half), F.substring(after, F.lit(1), half))
-    compared = rows.select(
-        "doc_id",
-        n.cast("bigint").alias("n_chars"),
-        F.col("follow.rows").alias("rows"),
-        edited.alias("edited"),
-        paragraph_roots(F.col("text")).alias("roots"),
-        paragraph_roots(after).alias("next_roots"),
-    )
-    compared = compared.withColumn("edited_roots", paragraph_roots(F.col("edited")))
-    compared = compared.select(
+    edited = F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half))
+    compared = rows.select("doc_id", n.cast("bigint").alias("n_chars"), "lanes", "next_lanes", edited.alias("edited"))
+    compared = compared.withColumn("roots", paragraph_roots(F.col("edited"))).withColumn("edited_lanes", vector(F.col("roots")))
+    return compared.select(
         "doc_id",
         "n_chars",
-        "rows",
         F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-        *[vector(F.col(f"{c}roots")).alias(f"{c}lanes") for c in ("", "edited_", "next_")],
-    )
-    result = compared.select(
-        "doc_id",
-        "n_chars",
-        "edited_sha256",
         as_hex(F.col("lanes")).alias("fingerprint"),
         as_hex(F.col("edited_lanes")).alias("edited_fingerprint"),
         likeness(F.col("lanes"), F.col("edited_lanes")).alias("near_edited"),
         likeness(F.col("lanes"), F.col("next_lanes")).alias("near_next"),
-        "rows",
     )
-    return result.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("rows")))).drop("copy", "rows")
