@@ -39,6 +39,7 @@ from echotide.operators import (
     vision,
 )
 from echotide.plans import series, summary
+from echotide.plans.store import written
 from echotide.sources import reports, sessions, sinks, text, wav
 from echotide.streaming import capture as streams
 
@@ -94,7 +95,7 @@ def analyze(spark, folder, block):
     paths = [r["path"] for r in takes.select("path").collect()]
     blocks = spark.read.format("wav").options(block_s=block, lead_s=0.5).load(",".join(paths))
     features.write(blocks, f"{folder}/analysis/features")
-    found = summarise(spark, folder, ["take"])
+    found = written(summarise(spark, folder, ["take"]), "summary")
     reports.summary_json(found.groupBy("key").agg(F.avg("value").alias("value")), f"{folder}/analysis/summary.json")
     return found
 

@@ -17,6 +17,7 @@ from ..functions.dsp import OCTAVES, log_edges
 from ..functions.scalars import nan_to_null, power, quantile
 from ..operators import circular, corpus, ecology, events, indices, levels, spectral, tones
 from . import series
+from .store import written
 
 
 def level_keys(seconds: DataFrame, fast: DataFrame, keys: list[str]) -> DataFrame:
@@ -161,6 +162,8 @@ def full_summary(seconds: DataFrame, fast: DataFrame, envelope: DataFrame, keys:
     ]
     if minutes is not None:
         parts.append(minute_keys(seconds, minutes, envelope, keys, f))
+    # each family of values is a plan of its own: together they would be planned for longer than they run
+    parts = [written(p, "summary") for p in parts]
     wide = reduce(lambda a, b: a.join(b, keys, "left"), parts)
     names = [c for c in wide.columns if c not in keys]
     doubles = wide.select(*keys, (F.col("duration_min") * 60).alias("_s"), *[F.col(c).cast("double").alias(c) for c in names])

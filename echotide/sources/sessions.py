@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from . import wav
 from .wav import _open, _reader
+from .wav import located as _files
 
 #: Kinds of processing and the channels each can have (least, most).
 MODES = {"mono": (1, 1), "stereo": (2, 2), "binaural": (2, 2), "ambix": (4, 1 << 30)}
@@ -27,12 +28,6 @@ SUFFIXES = (".wav", ".wave")
 # ------------------------------------------------------------------ documents
 
 
-def _files(path: str):
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(path if re.match(r"^\w+:", path) else f"file://{path}")
-
-
 def read_json(path: str) -> dict | None:
     """A JSON document; null if there is none or it is none."""
     files, name = _files(path)

@@ -94,10 +94,19 @@ def encode(x: np.ndarray, samplerate: int, bits: int = 16, floating: bool = Fals
     return b"RIFF" + struct.pack("<I", 36 + len(data)) + b"WAVEfmt " + struct.pack("<I", 16) + fmt + b"data" + struct.pack("<I", len(data)) + data
 
 
-def _open(path: str):
+def located(path: str):
+    """The file system of a path or address, and the path in it; blanks and the like are as they are."""
+    from urllib.parse import quote
+
     from pyarrow import fs
 
-    files, name = fs.FileSystem.from_uri(path if re.match(r"^\w+:", path) else f"file://{path}")
+    if not re.match(r"^\w+:", path):
+        return fs.LocalFileSystem(), path
+    return fs.FileSystem.from_uri(quote(path, safe="/:@?=&%+,;~!$'()*"))
+
+
+def _open(path: str):
+    files, name = located(path)
     return files.open_input_file(name)
 
 

@@ -38,6 +38,26 @@ def test_values(found):
     assert len(got) >= 40
 
 
+def test_all_values(spark, tmp_path_factory):
+    """With the spectra of minutes, all 65 values of a session."""
+    from echotide.operators import corpus
+
+    t = np.arange(12 * FS) / FS
+    x = 0.02 * np.random.default_rng(2).normal(size=len(t)) + 0.2 * np.sin(2 * np.pi * 700 * t)
+    path = tmp_path_factory.mktemp("all") / "a.wav"
+    path.write_bytes(wav.encode(np.stack([x, 0.5 * x, 0 * x, 0.8 * x], axis=1), FS))
+    wav.register(spark)
+    blocks = spark.read.format("wav").options(block_s=4, lead_s=0.5).load(str(path)).cache()
+    minutes = features.per_minute(blocks)
+    f = np.linspace(0, FS / 2, len(minutes.first().minspec))
+    rows = summary.full_summary(features.per_second(blocks), features.fast(blocks), features.envelope(blocks), ["path"], minutes, f, FS / 2).collect()
+    names = {r.key for r in rows}
+    missing = {r[0] for r in corpus.REGISTRY[:65]} - names
+    assert not missing and len(names) == len(rows)
+    got = {r.key: r.value for r in rows}
+    assert got["n_prominent_tones"] is None and got["fluctuation_index"] < 0.5 and got["floor_suspect"] == 0 and got["spectral_events_per_min"] >= 0
+
+
 def test_gates(found):
     got = found["mono"]
     assert got["aci"].value is None and got["aci"].low_confidence
