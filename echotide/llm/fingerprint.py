@@ -1,6 +1,6 @@
 """Document fingerprints by a homomorphic multiset hash of paragraphs.
 
-A paragraph, the text between two line ends, is hashed to a wide vector: 72 lanes
+A paragraph, the text between two line ends, is hashed to a wide vector: 144 lanes
 of 20 bits, all filled, three to a word of 64 bits, and ten groups of 64 lanes of
 16 bits.  The first group takes every paragraph, each further one the quarter of
 the one before whose hash is least; a hash fills one lane of a group that takes it.
@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from ._order import placed
 
 #: Words of three filled lanes each: lane i of a word stands from bit 21 i, with a spare bit above it for the carry.
-DENSE, LANE_BITS = 24, 20
+DENSE, LANE_BITS = 48, 20
 LANES = sum(((1 << LANE_BITS) - 1) << (LANE_BITS + 1) * i for i in range(3))
 SPARSE, SPARSE_BITS = 64, 16
 GROUPS, CROWDED = 10, 56
@@ -122,6 +122,11 @@ def as_hex(lanes: Column) -> Column:
     return F.concat(F.array_join(wide, ""), F.array_join(narrow, ""))
 
 
+def _let(value: Column, body) -> Column:
+    """What ``body`` makes of a value that is worked out once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def likeness(a: Column, b: Column) -> Column:
     """0 to 1 for two fingerprints as lanes."""
     both = F.zip_with(
@@ -134,20 +139,22 @@ def likeness(a: Column, b: Column) -> Column:
         held, differ = F.filter(codes, lambda x: x > 0), F.filter(codes, lambda x: x == 2)
         return F.struct(F.size(held).alias("held"), F.size(differ).alias("differ"))
 
-    counts = F.transform(
-        F.sequence(F.lit(0), F.lit(GROUPS - 1)), lambda g: counted(F.slice(both, g * SPARSE + 1, F.lit(SPARSE)))
-    )
-    of = F.coalesce(F.get(F.filter(counts, lambda c: c["held"] <= CROWDED), F.lit(0)), F.element_at(counts, -1))
+    def counts(codes: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.lit(GROUPS - 1)), lambda g: counted(F.slice(codes, g * SPARSE + 1, F.lit(SPARSE))))
+
+    def finest(found: Column) -> Column:
+        return F.coalesce(F.get(F.filter(found, lambda c: c["held"] <= CROWDED), F.lit(0)), F.element_at(found, -1))
 
     def fallen(lanes: Column) -> Column:
         """How many paragraphs fill so many lanes."""
         return -F.log(1 - F.least(lanes.cast("double"), F.lit(SPARSE - 0.5)) / SPARSE)
 
-    near = F.transform(
-        F.array(of), lambda c: F.when(c["held"] == 0, F.lit(0.0)).otherwise(1 - fallen(c["differ"]) / fallen(c["held"]))
-    )
+    def near(c: Column) -> Column:
+        return F.when(c["held"] == 0, F.lit(0.0)).otherwise(1 - fallen(c["differ"]) / fallen(c["held"]))
+
+    found = _let(both, lambda codes: _let(counts(codes), lambda held: _let(finest(held), near)))
     same_dense = F.slice(a, 1, DENSE) == F.slice(b, 1, DENSE)
-    return F.when(same_dense, F.lit(1.0)).otherwise(F.get(near, F.lit(0)))
+    return F.when(same_dense, F.lit(1.0)).otherwise(found)
 
 
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

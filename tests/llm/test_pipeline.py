@@ -48,3 +48,25 @@ def test_tokens_decode_to_the_text(stages):
 def test_run(spark, stages):
     got = corpus_pipeline.run(spark, DIR).collect()
     assert sorted((r.doc_id, r.ids) for r in got) == sorted((r.doc_id, r.ids) for r in stages[-1].collect())
+
+
+@pytest.mark.parametrize("place", range(5))
+def test_stages_on_odd_and_no_rows(spark, docs, no_docs, place):
+    """Nulls, empty and long texts, repeated rows and ids, and columns named like those used inside."""
+    _, stage = corpus_pipeline.STAGES[place]
+    kept = stage(spark, docs, DIR)
+    assert 0 < kept.count() <= docs.count()
+    assert stage(spark, no_docs, DIR).count() == 0
+    if place < 4:
+        assert kept.columns == corpus_pipeline.COLUMNS
+        if place != 2:  # other stages leave texts as they are
+            texts = {(str(r.doc_id), r.text) for r in docs.collect()}
+            assert {(str(r.doc_id), r.text) for r in kept.collect()} <= texts
+
+
+def test_intermediate_tables_are_deleted(spark):
+    from echotide.llm import _store as store
+
+    before = len(store.WRITTEN)
+    corpus_pipeline.run(spark, DIR).count()
+    assert len(store.WRITTEN) - before <= 2  # the last stage's input and its own
