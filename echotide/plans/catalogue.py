@@ -363,19 +363,21 @@ def circular_correlation(spark, d):
 
 
 @query(
-    """WITH {s}, c AS (SELECT t FROM s WHERE node = (SELECT min(node) FROM s)), r AS (SELECT t FROM s WHERE node = (SELECT max(node) FROM s)),
-    f AS (SELECT min(t) AS f0 FROM r), j AS (SELECT c.t - coalesce(r.t, f0) AS b FROM f, c ASOF LEFT JOIN r ON c.t >= r.t),
-    g AS (SELECT avg(cos(2 * pi() * (b / 600 - floor(b / 600)))) AS c, avg(sin(2 * pi() * (b / 600 - floor(b / 600)))) AS z, count(*) AS n FROM j),
+    """WITH {s}, nd AS (SELECT DISTINCT node AS ref FROM s), c AS (SELECT s.node, nd.ref, s.t FROM s JOIN nd ON s.node <> nd.ref), r AS (SELECT node AS ref, t FROM s),
+    f AS (SELECT ref, min(t) AS f0 FROM r GROUP BY ref), k AS (SELECT c.node, c.ref, c.t, r.t AS m FROM c ASOF LEFT JOIN r ON c.ref = r.ref AND c.t >= r.t),
+    j AS (SELECT k.node, k.ref, k.t - coalesce(k.m, f0) AS b FROM k JOIN f ON k.ref = f.ref),
+    g AS (SELECT node, ref, avg(cos(2 * pi() * (b / 600 - floor(b / 600)))) AS c, avg(sin(2 * pi() * (b / 600 - floor(b / 600)))) AS z, count(*) AS n FROM j GROUP BY node, ref),
     h AS (SELECT *, sqrt(c * c + z * z) AS r FROM g)
-    SELECT 1 AS pair, round(((atan2(z, c) / (2 * pi())) % 1 + 1) % 1, 6) AS mean_phase, round(r, 6) AS r,
+    SELECT node, ref, round(((atan2(z, c) / (2 * pi())) % 1 + 1) % 1, 6) AS mean_phase, round(r, 6) AS r,
     round(sqrt(-2 * ln(greatest(r, 1e-20))) * 600 / (2 * pi()), 6) AS circ_sd_s,
     round(least(exp(sqrt(1 + 4.0 * n + 4 * (n * n - pow(n * r, 2))) - (1 + 2 * n)), 1), 6) AS rayleigh_p, n FROM h"""
 )
 def relative_phase(spark, d):
-    rows = tables.levels(spark, d).withColumn("pair", F.lit(1))
-    ends = rows.agg(F.min("node").alias("first"), F.max("node").alias("last"))
-    rows = rows.crossJoin(F.broadcast(ends))
-    return circular.relative_phase(rows.where("node = first"), rows.where("node = last"), ["pair"], "t", 600.0)
+    rows = tables.levels(spark, d).select("node", "t")
+    nodes = rows.select(F.col("node").alias("ref")).distinct()
+    times = rows.join(F.broadcast(nodes), F.col("node") != F.col("ref"))
+    refs = times.select(F.col("ref").alias("node"), F.col("node").alias("ref"), "t")
+    return circular.relative_phase(times, refs, ["node", "ref"], "t", 600.0)
 
 
 ENTROPY = """x AS (SELECT node, p, least(floor((360 * (t % 86400) / 86400 - 180 + 180.0) / (360.0 / 36))::INT, 35) AS cell, level_db FROM s),
@@ -478,17 +480,16 @@ def activity_lanes(spark, d):
 
 
 @query(
-    """WITH {s}, c AS (SELECT event_id, t FROM s WHERE node = (SELECT min(node) FROM s)),
-    r AS (SELECT t, arg_max(level_db, event_id) AS level_db FROM s WHERE node = (SELECT max(node) FROM s) GROUP BY t)
-    SELECT event_id, round(r.t, 6) AS matched_t, round(r.level_db, 6) AS matched FROM c ASOF LEFT JOIN r ON c.t >= r.t"""
+    """WITH {s}, nd AS (SELECT DISTINCT node AS ref FROM s), c AS (SELECT event_id, nd.ref, t FROM s JOIN nd ON s.node <> nd.ref),
+    r AS (SELECT node AS ref, t, arg_max(level_db, event_id) AS level_db FROM s GROUP BY ALL)
+    SELECT event_id, c.ref, round(r.t, 6) AS matched_t, round(r.level_db, 6) AS matched FROM c ASOF LEFT JOIN r ON c.ref = r.ref AND c.t >= r.t"""
 )
 def as_of_join(spark, d):
-    rows = tables.levels(spark, d).withColumn("k", F.lit(1))
-    ends = F.broadcast(rows.agg(F.min("node").alias("first"), F.max("node").alias("last")))
-    rows = rows.crossJoin(ends)
-    right = rows.where("node = last").groupBy("k", "t").agg(F.max_by("level_db", "event_id").alias("level_db"))
-    out = intervals.as_of(rows.where("node = first").select("k", "t", "event_id"), right, ["k"], "t", "level_db")
-    return out.select("event_id", "matched_t", "matched")
+    rows = tables.levels(spark, d).select("node", "t", "event_id", "level_db")
+    right = rows.groupBy(F.col("node").alias("ref"), "t").agg(F.max_by("level_db", "event_id").alias("level_db"))
+    nodes = rows.select(F.col("node").alias("ref")).distinct()
+    left = rows.join(F.broadcast(nodes), F.col("node") != F.col("ref")).select("ref", "t", "event_id")
+    return intervals.as_of(left, right, ["ref"], "t", "level_db").select("event_id", "ref", "matched_t", "matched")
 
 
 MATRIX = """mm AS (SELECT node, floor(t / 21600)::BIGINT AS bin, 10 * log10(avg(pow(10, level_db / 10))) AS level_db FROM s GROUP BY ALL HAVING count(*) > 10),

@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 import struct
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
@@ -158,10 +159,14 @@ class _WavReader(DataSourceReader):
         self.paths, self.block_s, self.lead_s = paths, block_s, lead_s
 
     def partitions(self) -> list[_Block]:
-        out = []
-        for path in self.paths:
+        def header_of(path: str) -> Header:
             with _open(path) as file:
-                header = parse_header(_reader(file))
+                return parse_header(_reader(file))
+
+        with ThreadPoolExecutor(32) as pool:  # a few short reads a file
+            headers = list(pool.map(header_of, self.paths))
+        out = []
+        for path, header in zip(self.paths, headers, strict=True):
             size, lead = max(1, round(self.block_s * header.samplerate)), round(self.lead_s * header.samplerate)
             out += [
                 _Block(path, k, header, first, min(size, header.frames - first), min(lead, first))
