@@ -53,19 +53,26 @@ def pairwise(on_grid: DataFrame, node: str, window: int, max_lag: int, min_cover
     """
     cells = on_grid.withColumn("window", F.floor(F.col("k") / window)).where(F.col("level_db").isNotNull() & ~F.isnan("level_db"))
     at = F.pmod("k", F.lit(window)).cast("int")
+    middle, v = (window - 1) / 2, F.col("level_db")
+    ramp = at - F.lit(middle)
     held = cells.groupBy("window", node).agg(
-        F.map_from_entries(F.collect_list(F.struct(at.alias("s"), F.col("level_db").alias("v")))).alias("_m"),
-        F.avg("level_db").alias("_mean"),
+        F.map_from_entries(F.collect_list(F.struct(at.alias("s"), v.alias("v")))).alias("_m"),
+        F.avg(v).alias("_mean"),
+        F.var_pop(v).alias("_var"),
+        F.sum(v * ramp).alias("_vr"),
+        F.sum(ramp).alias("_r"),
         F.count("*").alias("_n"),
     )
     held = held.where(F.col("_n") >= min_coverage * window)
-    steps = F.sequence(F.lit(0), F.lit(window - 1))
-    middle = (window - 1) / 2
     add = lambda values: F.aggregate(values, F.lit(0.0), lambda s, x: s + x)
-    held = held.withColumn("_x", F.transform(steps, lambda s: F.coalesce(F.try_element_at("_m", s), F.col("_mean")) - F.col("_mean")))
-    slope = add(F.transform("_x", lambda x, i: x * (i - middle))) / (window * (window**2 - 1) / 12)
-    held = held.withColumn("_slope", slope).withColumn("_x", F.transform("_x", lambda x, i: x - F.col("_slope") * (i - middle)))
-    held = held.withColumn("_sd", F.sqrt(add(F.transform("_x", lambda x: x * x)) / window)).where("_sd > 1e-6")
+    squares = window * (window**2 - 1) / 12  # of the ramp; gaps, at the mean, add nothing to what follows
+    held = held.withColumn("_slope", (F.col("_vr") - F.col("_mean") * F.col("_r")) / squares)
+    rest = F.greatest(F.col("_var") * F.col("_n") - F.col("_slope") * F.col("_slope") * squares, F.lit(0.0))
+    held = held.withColumn("_sd", F.sqrt(rest / window)).where("_sd > 1e-6")
+    steps = F.sequence(F.lit(0), F.lit(window - 1))
+    held = held.withColumn(
+        "_x", F.transform(steps, lambda s: F.coalesce(F.try_element_at("_m", s) - F.col("_mean"), F.lit(0.0)) - F.col("_slope") * (s - F.lit(middle)))
+    )
     one = held.select("window", F.col(node).alias("a"), F.col("_x").alias("x"), F.col("_sd").alias("sx"))
     other = held.select("window", F.col(node).alias("b"), F.col("_x").alias("y"), F.col("_sd").alias("sy"))
     met = one.join(other, "window").where(F.col("a") < F.col("b"))
