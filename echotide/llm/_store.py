@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Paths of the tables written by this process that are still there.
@@ -74,3 +77,38 @@ def small_batches(spark: SparkSession, size: str = "4m") -> None:
     The setting stays with the session, as it must still hold when the caller runs the lazy result.
     """
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
+def portions(batch: pa.RecordBatch, column: str, size: int = 1 << 19) -> Iterator[pa.RecordBatch]:
+    """All rows of a batch in order, in slices that end with the row that fills ``size`` bytes of the string column."""
+    begin = held = 0
+    for at, n in enumerate(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist(), 1):
+        held += n
+        if held >= size:
+            yield batch.slice(begin, at - begin)
+            begin, held = at, 0
+    if begin < batch.num_rows or not batch.num_rows:
+        yield batch.slice(begin)
+
+
+def give_back() -> None:
+    """Freed memory goes back to the system: what an allocator keeps counts for the executor, whoever runs next."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+Run = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def trimmed(run: Run) -> Run:
+    """``run`` for ``mapInArrow``; workers outlive tasks and stages, so each task ends by giving its memory back."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return task

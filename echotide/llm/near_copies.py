@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import simhash
-from ._store import discard, materialise, small_batches
+from ._store import discard, materialise, portions, small_batches, trimmed
 
 BITS, WIDE = 512, 8192
 #: Parts that the texts of a component are dealt to when they are told its smallest id.
@@ -71,24 +71,24 @@ def _sets(texts: DataFrame, shingle: int, seed: int) -> DataFrame:
     """Per row: tie and grams, in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [_grams(t, shingle, seed)[0] for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("tie"), _lists(found)], ["tie", "grams"])
+        for part in (p for batch in batches for p in portions(batch, "text")):
+            found = [_grams(t, shingle, seed)[0] for t in part.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column("tie"), _lists(found)], ["tie", "grams"])
 
-    return texts.mapInArrow(run, "tie bigint, grams array<bigint>")
+    return texts.mapInArrow(trimmed(run), "tie bigint, grams array<bigint>")
 
 
 def _maps(texts: DataFrame, shingle: int, seed: int) -> DataFrame:
     """Per row: tie, size and map, the parities of the grams in ``WIDE`` places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [_grams(t, shingle, seed)[0] for t in batch.column("text").to_pylist()]
+        for part in (p for batch in batches for p in portions(batch, "text")):
+            found = [_grams(t, shingle, seed)[0] for t in part.column("text").to_pylist()]
             maps = pa.array([m.tobytes() for m in _parities(found, WIDE)], pa.binary())
             sizes = pa.array([len(f) for f in found], pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column("tie"), sizes, maps], ["tie", "size", "map"])
+            yield pa.RecordBatch.from_arrays([part.column("tie"), sizes, maps], ["tie", "size", "map"])
 
-    return texts.mapInArrow(run, "tie bigint, size int, map binary")
+    return texts.mapInArrow(trimmed(run), "tie bigint, size int, map binary")
 
 
 def contents(texts: DataFrame, late: list[int], *, shingle: int, seed: int, per_mille: int) -> DataFrame:
@@ -104,17 +104,17 @@ def contents(texts: DataFrame, late: list[int], *, shingle: int, seed: int, per_
         return grams[: len(grams) - (len(grams) * per_mille + 999) // 1000 + 1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [_grams(t, shingle, seed) for t in batch.column("text").to_pylist()]
+        for part in (p for batch in batches for p in portions(batch, "text")):
+            found = [_grams(t, shingle, seed) for t in part.column("text").to_pylist()]
             sets = [g for g, _ in found]
             marks = pa.array([simhash._signed(simhash.majority(h)) for _, h in found], pa.int64())
             words = pa.array(_parities(sets, BITS).view("i8").ravel(), pa.int64())
             bits = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * (BITS // 64), pa.int32()), words)
             sizes = pa.array([len(g) for g in sets], pa.int32())
-            columns = [batch.column("tie"), marks, sizes, bits, _lists([first(g) for g in sets])]
+            columns = [part.column("tie"), marks, sizes, bits, _lists([first(g) for g in sets])]
             yield pa.RecordBatch.from_arrays(columns, ["tie", "fingerprint", "size", "bits", "prefix"])
 
-    return texts.mapInArrow(run, "tie bigint, fingerprint bigint, size int, bits array<bigint>, prefix array<bigint>")
+    return texts.mapInArrow(trimmed(run), "tie bigint, fingerprint bigint, size int, bits array<bigint>, prefix array<bigint>")
 
 
 def _of(known: DataFrame, ends: DataFrame) -> DataFrame:
@@ -186,7 +186,7 @@ def _met_pairs(rooted: DataFrame, small: DataFrame, per_mille: int, group: int)
     rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
     rows = rows.withColumn("p", F.least("own", "other")).withColumn("q", F.greatest("own", "other"))
     dealt = rows.select("gram", "p", "q", "tie", "root", "size", "place", "bits").repartition("gram", "p", "q")
-    return dealt.sortWithinPartitions("gram", "p", "q").mapInArrow(_meeting(per_mille), "a bigint, b bigint").distinct()
+    return dealt.sortWithinPartitions("gram", "p", "q").mapInArrow(trimmed(_meeting(per_mille)), "a bigint, b bigint").distinct()
 
 
 def _end(rows: DataFrame, c: str) -> DataFrame:
@@ -220,7 +220,7 @@ def _nearer(pairs: DataFrame, texts: DataFrame, shingle: int, seed: int, per_mil
             yield batch.select(["a", "b"]).filter(may)
 
     joined = pairs.join(_end(maps, "a"), "a").join(_end(maps, "b"), "b")
-    return joined.select("a", "b", "size_a", "size_b", "map_a", "map_b").mapInArrow(run, "a bigint, b bigint")
+    return joined.select("a", "b", "size_a", "size_b", "map_a", "map_b").mapInArrow(trimmed(run), "a bigint, b bigint")
 
 
 def _similar(pairs: DataFrame, texts: DataFrame, shingle: int, seed: int, per_mille: int) -> DataFrame:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import small_batches
+from ._store import small_batches, trimmed
 
 
 @dataclass(frozen=True)
@@ -226,4 +226,4 @@ def score(docs: DataFrame, network: Network, *, id_col: str = "doc_id", text_col
                 [*batch.columns, pa.array(found, pa.float64())], [*names, "quality_score"]
             )
 
-    return rows.mapInArrow(run, f"{types}, quality_score double")
+    return rows.mapInArrow(trimmed(run), f"{types}, quality_score double")

@@ -13,12 +13,12 @@ and is left out of the automaton.  Characters outside the vocabulary become byte
 tokens.  No token joins a character to a space mark behind it, so a text is
 encoded in units: space marks and then either ASCII marks that no token holds
 beside another character, or a run of other characters.  Units repeat, and a
-bounded table keeps their results.
+bounded table keeps the results of those met of late.
 
 Defined results: a null text is the empty text, which has no tokens; repeated
 rows are encoded alike; other columns are ignored.
 
-Scale: texts are encoded in place, without a shuffle; the model file is read
+Scale: texts are encoded in place, without a shuffle, half a megabyte at a time; the model file is read
 from ``model_path`` on the driver and shipped once to the executors (its size is
 that of the vocabulary).
 """
@@ -28,13 +28,14 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import small_batches
+from ._store import portions, small_batches, trimmed
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -114,15 +115,19 @@ class Codec(dict):
     """Encodes and decodes with one model.
 
     As a dict it holds, for each unit met, its ids as text and what they decode
-    to; it is emptied when it has ``keep`` units.
+    to.  When it has ``keep`` units they become the older ones, in place of those
+    before; an older unit that is met again is taken over.  So there are twice as
+    many at most, and rare units don't drive out common ones.  ``pairs`` bounds the
+    compatible pairs that are kept.
     """
 
-    def __init__(self, data: bytes, keep: int = 400_000):
+    def __init__(self, data: bytes, keep: int = 100_000, pairs: int = 300_000):
         import ahocorasick
 
         super().__init__()
         self.model = model = Model(data)
-        self.keep = keep
+        self.keep, self.pairs = keep, pairs
+        self.older: dict[str, tuple[str, str]] = {}
         self.id_of = {p: i for i, (p, _, what) in enumerate(model.pieces) if what == NORMAL}
         self.score = {p: s for p, s, what in model.pieces if what == NORMAL}
         self.byte_id = {int(p[3:5], 16): i for i, (p, _, what) in enumerate(model.pieces) if what == BYTE}
@@ -179,7 +184,7 @@ class Codec(dict):
         """Whether merging the two tokens' characters gives the two tokens again."""
         a, b = self.text_of[left], self.text_of[right]
         known = self.merge(a + b) == [a, b]
-        if len(self.fits) >= 4 * self.keep:
+        if len(self.fits) >= self.pairs:
             self.fits.clear()
         self.fits[left << 24 | right] = known
         return known
@@ -213,12 +218,15 @@ class Codec(dict):
         return out
 
     def __missing__(self, unit: str) -> tuple[str, str]:
-        ids = self.ids(unit)
-        pieces = self.pieces_text(ids)
-        got = ",".join(map(str, ids)), unit if pieces == unit else pieces
-        if len(self) >= self.keep:
-            self.clear()
+        got = self.older.get(unit)
+        if got is None:
+            ids = self.ids(unit)
+            pieces = self.pieces_text(ids)
+            got = ",".join(map(str, ids)), unit if pieces == unit else pieces
         if len(unit) <= 64:
+            if len(self) >= self.keep:
+                self.older = dict(self)
+                self.clear()
             self[unit] = got
         return got
 
@@ -299,30 +307,36 @@ def encode_decode(
     data = spark.sparkContext.broadcast(read_model(model_path))
     kind = docs.select(F.col(id_col).alias("doc_id")).schema["doc_id"].dataType.simpleString()
     names = ("ids_sha256", "decoded_sha256") if digests else ("ids", "decoded")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    first = "string" if digests else "array<int>"
+    run = trimmed(_encoder(lambda: codec_of(data.value), names, digests))
+    return rows.mapInArrow(run, f"doc_id {kind}, n_tokens bigint, {names[0]} {first}, {names[1]} string")
+
+
+def _encoder(codec_here: Callable[[], Codec], names: tuple[str, str], digests: bool):
+    """Encodes batches of doc_id and text, a portion at a time: ids and decoded texts take many times a text's bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = codec_of(data.value)
+        codec = codec_here()
         sha = lambda s: hashlib.sha256(s.encode("utf-8")).hexdigest()
-        for batch in batches:
+        for part in (p for batch in batches for p in portions(batch, "text")):
             n, first, second = [], [], []
-            for text in batch.column("text").to_pylist():
+            for text in part.column("text").to_pylist():
                 count, ids, decoded = codec.both(text)
                 n.append(count)
-                first.append(sha(ids) if digests else [int(i) for i in ids.split(",")] if ids else [])
+                first.append(sha(ids) if digests else np.fromstring(ids, np.int32, sep=",") if ids else np.zeros(0, np.int32))
                 second.append(sha(decoded) if digests else decoded)
             shape = pa.string() if digests else pa.list_(pa.int32())
             yield pa.RecordBatch.from_pydict(
                 {
-                    "doc_id": batch.column("doc_id"),
+                    "doc_id": part.column("doc_id"),
                     "n_tokens": pa.array(n, pa.int64()),
                     names[0]: pa.array(first, shape),
                     names[1]: pa.array(second, pa.string()),
                 }
             )
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    first = "string" if digests else "array<int>"
-    return rows.mapInArrow(run, f"doc_id {kind}, n_tokens bigint, {names[0]} {first}, {names[1]} string")
+    return run
 
 
 _CODECS: dict[bytes, Codec] = {}

@@ -43,7 +43,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
-from ._store import materialise, small_batches
+from ._store import materialise, small_batches, trimmed
 from .suffix_array import suffix_array
 
 _U = np.uint64
@@ -378,7 +378,7 @@ def spans(
     data = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     rows = docs.select(doc.alias("doc"), tie.alias("tie"), data.alias("data")).where(F.octet_length("data") >= length)
     rows = rows if unique else rows.dropDuplicates(["doc", "tie"])
-    search = _searcher(length, gram, bits)
+    search = trimmed(_searcher(length, gram, bits))
     some = rows.where(F.pmod(F.xxhash64("doc", "tie"), F.lit(sample)) == 0).mapInArrow(search, _FOUND)
     counts = some.where("kind = 0").groupBy(F.col("key").alias("of")).agg(F.count_distinct("seg").alias("n"))
     parts = F.ceil(F.col("n") * sample / hot).cast("int")
@@ -400,7 +400,7 @@ def spans(
         _cutter, "key bigint, piece int, doc bigint, tie bigint, start int, bytes binary"
     )
     ordered = pieces_of.repartition("key", "piece").sortWithinPartitions("key", "piece", "doc", "tie", "start")
-    decided = materialise(ordered.mapInArrow(_decider(length, block), _DECIDED), "repeats")
+    decided = materialise(ordered.mapInArrow(trimmed(_decider(length, block)), _DECIDED), "repeats")
     across = decided.where("kind = 2").select("one", "two", F.struct("doc", "tie", "start").alias("at"), "end")
     earliest = across.groupBy(F.col("one").alias("o"), F.col("two").alias("w")).agg(F.min("at").alias("least"), F.count("*").alias("n"))
     earliest = earliest.where("n > 1")
@@ -480,4 +480,4 @@ def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
             yield batch.set_column(at, text_col, pa.array(out, pa.string())).drop_columns(["repeats"])
 
     shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.drop("repeats").schema)
-    return rows.mapInArrow(run, shape)
+    return rows.mapInArrow(trimmed(run), shape)
