@@ -46,8 +46,8 @@ def critical_bandwidth(f: Column) -> Column:
 
 
 def fluctuation_weight(f: Column) -> Column:
-    """Weight of a modulation frequency, 1 at 4 Hz."""
-    return 2 / (f / 4 + 4 / f)
+    """Weight of a modulation frequency, 1 at 4 Hz, 0 at 0."""
+    return F.when(f == 0, F.lit(0.0)).otherwise(2 / (f / 4 + 4 / f))
 
 
 def band_of(seconds: Column) -> Column:
@@ -67,8 +67,8 @@ def note_number(f: Column) -> Column:
 
 
 def note_name(f: Column) -> Column:
-    """Name and octave of the nearest semitone."""
-    nearest = F.rint(note_number(f)).cast("int")
+    """Name and octave of the nearest semitone; null where there is none (not above 0, not finite)."""
+    nearest = F.rint(note_number(f)).try_cast("int")
     names = F.array(*[F.lit(n) for n in NOTES])
     octave = (F.floor(nearest / 12) - 1).cast("int")
     return F.concat(F.get(names, F.pmod(nearest, F.lit(12))), octave.cast("string"))

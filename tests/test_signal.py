@@ -168,6 +168,15 @@ def test_scalars(spark):
     assert tuple(row) == ("A4", "C4", -170.0, 180.0, "1 01:01:01", 90061.0, 12.5, None, "2024-02-28", "meso", "stereo", "chaotic")
 
 
+def test_scalars_at_odd_values(spark):
+    odd = [0.0, -0.0, 4.0, -4.0, float("inf"), float("-inf"), float("nan"), None]
+    df = spark.createDataFrame(list(enumerate(odd)), "k int, f double")
+    got = df.select("k", scalars.fluctuation_weight(F.col("f")).alias("w"), scalars.note_name(F.col("f")).alias("n")).orderBy("k").collect()
+    assert [r.w for r in got[:6]] == [0.0, 0.0, 1.0, -1.0, 0.0, 0.0]
+    assert np.isnan(got[6].w) and got[7].w is None
+    assert [r.n for r in got] == [None, None, "C-2", None, None, None, None, None]
+
+
 def test_text_sources(spark, tmp_path):
     (tmp_path / "log.csv").write_text("Class;Start time;Stop time\ncook;2024-01-02 00:00:10.500000;2024-01-02 00:01:00\n")
     row = text.activities(spark, str(tmp_path / "log.csv")).first()
