@@ -45,11 +45,14 @@ def number_rows(df: DataFrame, keys: list[str], order: list[str], t: str, bucket
 def framed(
     df: DataFrame, keys: list[str], left: int, right: int, exprs: dict[str, Callable[[Window], Column]], block: int = BLOCK
 ) -> DataFrame:
-    """Adds columns over the rows i-left to i+right; each is made from its window.  Needs ``i`` and ``n``."""
+    """Adds columns over the rows i-left to i+right; each is made from its window.  Needs ``i`` and ``n``.
+
+    A frame may lie beside its row (``right`` or ``left`` under 0); the row still goes to its own block.
+    """
     block = max(block, left + right)
     at = F.col("i") - 1
-    lowest = F.floor(F.greatest(at - right, F.lit(0)) / block)
-    highest = F.floor(F.least(at + left, F.col("n") - 1) / block)
+    lowest = F.floor(F.greatest(at - max(right, 0), F.lit(0)) / block)
+    highest = F.floor(F.least(at + max(left, 0), F.col("n") - 1) / block)
     dealt = df.withColumn("_blk", F.explode(F.sequence(lowest, highest)))
     window = Window.partitionBy(*keys, "_blk").orderBy("i").rowsBetween(-left, right)
     out = dealt.withColumns({name: make(window) for name, make in exprs.items()})

@@ -63,6 +63,24 @@ def test_floor(df, walks, n):
         assert np.allclose(v, np.array(want) + 1.5)
 
 
+@pytest.mark.parametrize("left, right", [(5, -1), (-2, 4), (3, 2)])
+def test_frames_beside_their_row(df, walks, left, right):
+    got = series.framed(df, ["node"], left, right, {"m": lambda w: F.max("level_db").over(w)}, block=7).collect()
+    assert len(got) == sum(map(len, walks.values()))
+    for k, v in by_node(got, "m").items():
+        x = walks[k]
+        want = [x[max(0, i - left) : max(0, i + right + 1)] for i in range(len(x))]
+        assert v == [w.max() if len(w) else None for w in want]
+
+
+def test_cessation_at_the_end_of_a_block(spark):
+    n, at = series.BLOCK + 50, series.BLOCK - 2  # the frame from here on holds the last row of a block
+    level = {at: 9.0, at + 1: 3.0, at + 2: 3.0}
+    df = spark.createDataFrame([("a", i + 1, n, level.get(i, 10.0)) for i in range(n)], "node string, i bigint, n bigint, level_db double")
+    got = events.cessations(df, ["node"], before=5, after=3, drop_db=6.0).collect()
+    assert [(r.i, r.before_db, r.after_db) for r in got] == [(at, 10.0, 3.0)]
+
+
 def test_number_rows(spark):
     rows = [("a", float(t % 50), t) for t in range(100)] + [("b", 3.0, 0)]
     df = spark.createDataFrame(rows, "node string, t double, id int")
