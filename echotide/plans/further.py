@@ -167,7 +167,7 @@ def pick_segments(spark, d):
     digits=3,
 )
 def allan_deviation(spark, d):
-    return cycles.allan_deviation(tables.numbered(spark, d), NODE, "i", "p", 10.0)
+    return cycles.allan_of_numbered(tables.numbered(spark, d), NODE, "p", 10.0)
 
 
 @query(

@@ -42,6 +42,20 @@ def number_rows(df: DataFrame, keys: list[str], order: list[str], t: str, bucket
     return _on([*keys, "_b"], numbered, offsets).withColumn("i", (F.col("_o") + F.col("_w")).cast("bigint")).drop("_b", "_w", "_o")
 
 
+def number_evenly(df: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """:func:`number_rows` by any numeric ``order``: each series' span is dealt into a bucket for every ``BLOCK`` of its rows.
+
+    Reads ``df`` three times.
+    """
+    at = F.col(order).cast("double")
+    spans = df.groupBy(*keys).agg(F.min(at).alias("_lo"), F.max(at).alias("_hi"), F.ceil(F.count("*") / BLOCK).alias("_parts"))
+    place = F.when(F.col("_hi") > F.col("_lo"), (at - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * F.col("_parts"))
+    # as Spark sorts: null before all, not a number after all
+    dealt = F.when(at.isNull(), -1.0).when(F.isnan(place), F.col("_parts") + 1.0).otherwise(F.coalesce(place, F.lit(0.0)))
+    placed = _on(keys, df, spans).withColumn("_at", dealt).drop("_lo", "_hi", "_parts")
+    return number_rows(placed, keys, [order], "_at", 1.0).drop("_at")
+
+
 def framed(
     df: DataFrame, keys: list[str], left: int, right: int, exprs: dict[str, Callable[[Window], Column]], block: int = BLOCK
 ) -> DataFrame:

@@ -7,8 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from echotide.functions import dsp
-from echotide.operators import events, levels, states
-from echotide.plans import series
+from echotide.operators import cycles, events, levels, states
+from echotide.plans import catalogue, series
 
 
 @pytest.fixture(scope="module")
@@ -132,3 +132,42 @@ def test_events_and_cessations(df, walks):
         else:
             i += 1
     assert sorted(r.i for r in got if r.node == "a") == want
+
+
+def allan(x, m):
+    """By plain loops; None is no beat."""
+    mean = []
+    for k in range(len(x) // m):
+        some = [v for v in x[k * m : k * m + m] if v is not None]
+        mean.append(sum(some) / len(some) if some else None)
+    steps = [b - a for a, b in zip(mean, mean[1:], strict=False) if a is not None and b is not None]
+    return np.sqrt(0.5 * np.mean(np.square(steps))) / 0.5 * 1e6 if steps else None
+
+
+def test_allan_deviation_in_blocks(spark):
+    rng = np.random.default_rng(8)
+    beats = {k: (1 + rng.normal(0, 1e-3, n)).tolist() for k, n in (("a", 2 * series.BLOCK + 77), ("b", series.BLOCK), (None, 1025), ("d", 4), ("e", 3))}
+    beats["a"][series.BLOCK - 300 : series.BLOCK + 20] = [None] * 320  # whole stretches, over the edge of a block
+    beats["f"] = [None] * 9
+    rows = [(k, float(i) ** 3, i + 1, len(x), v) for k, x in beats.items() for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "node string, t double, i bigint, n bigint, x double").repartition(5)
+    want = {(k, 1 << p): allan(x, 1 << p) for k, x in beats.items() for p in range(9) if 1 << p <= len(x) // 4}
+    for found in (cycles.allan_of_numbered(df, ["node"], "x", 0.5), cycles.allan_deviation(df.drop("i", "n"), ["node"], "t", "x", 0.5)):
+        assert found.schema["beats"].dataType.simpleString() == "int"
+        got = {(r.node, r.beats): r.ppm for r in found.collect()}
+        assert set(got) == set(want)
+        assert all(got[k] is None if v is None else np.isclose(got[k], v, rtol=1e-9) for k, v in want.items())
+
+
+def test_allan_deviation_holds_no_whole_series(spark):
+    found = catalogue.QUERIES["allan_deviation"](spark, "/root/testdata/sf0.001")
+    assert "Window" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("order", [[None, 3.0, 1.0, 2.0, float("nan"), 2.5], [7.0, 7.0, 7.0], [float("inf"), 1.0, 2.0], [1, 5, 4, None], [-1e9, 0.0, 1.0, 2.0]])
+def test_number_evenly(spark, order, monkeypatch):
+    monkeypatch.setattr(series, "BLOCK", 2)
+    df = spark.createDataFrame([("a", v) for v in order], f"node string, o {'bigint' if 5 in order else 'double'}")
+    got = sorted(series.number_evenly(df, ["node"], "o").collect(), key=lambda r: r.i)
+    assert [(r.i, r.n) for r in got] == [(k + 1, len(order)) for k in range(len(order))]
+    assert [repr(r.o) for r in got] == [repr(r.o) for r in df.orderBy("o").collect()]
